@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_tail(x: np.ndarray, a: np.ndarray, b: float) -> np.ndarray:
@@ -25,7 +26,7 @@ def _beta_tail(x: np.ndarray, a: np.ndarray, b: float) -> np.ndarray:
     return area(upper) / area(np.full_like(upper, np.pi / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     ok = t.notna() & dof.notna() & (dof > 0)
     out = pd.Series(np.nan, index=t.index)

@@ -37,7 +37,7 @@ def lag_slope(name: str, width: int) -> Column:
     sy = reduce(add, [y for _, _, _, y in present])
     sxy = reduce(add, [y * x for x, _, _, y in present])
     det = n * sxx - sx * sx
-    return F.when((n >= 2) & (F.col("_row") > width), (n * sxy - sx * sy) / F.when(det != 0, det))
+    return F.when((n >= 2) & (F.col("_row") >= width), (n * sxy - sx * sy) / F.when(det != 0, det))
 
 
 def rolling(name: str, width: int) -> dict[str, Column]:

@@ -1,6 +1,6 @@
 """All registered queries, in inventory order."""
 
-from daystrata.plans import q_labels  # noqa: F401
+from daystrata.plans import q_labels, q_features, q_explore  # noqa: F401, I001
 from daystrata.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
