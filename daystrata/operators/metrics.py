@@ -37,26 +37,36 @@ def threshold_metrics(df: DataFrame, threshold: float, by: list[str] | None = No
     return rates(known.groupBy(*(by or [])).agg(*confusion(F.col("label"), F.col("p") >= threshold)))
 
 
-def rank_table(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def rank_table(df: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Per distinct score, from high to low: own and running positives and negatives."""
     by = by or []
+    w = F.col(weight) if weight else F.lit(1)
     known = df.filter(F.col("p").isNotNull() & F.col("label").isNotNull())
-    tied = known.groupBy(*by, "p").agg(F.sum(F.col("label").cast("bigint")).alias("pos"),
-                                       F.sum((1 - F.col("label")).cast("bigint")).alias("neg"))
+    tied = known.groupBy(*by, "p").agg(F.sum((F.col("label") * w).cast("bigint")).alias("pos"),
+                                       F.sum(((1 - F.col("label")) * w).cast("bigint")).alias("neg"))
     return running_sums(with_bucket(tied, "p"), [F.desc("p")], {"tp": F.col("pos"), "fp": F.col("neg")}, by,
                         descending=True).drop("_bucket")
 
 
-def rank_metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Average precision (step sum) and ROC area (ties count half); NULL with one class."""
+def rank_metrics(df: DataFrame, by: list[str] | None = None, weight: str | None = None,
+                 threshold: float | None = None) -> DataFrame:
+    """Average precision (step sum) and ROC area (ties count half); NULL with one class.
+
+    With a ``threshold`` the F1 there comes from the same pass.
+    """
     by = by or []
-    t = rank_table(df, by)
+    t = rank_table(df, by, weight)
     ap = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     # positives of a tie beat the negatives below it and half of those in it
     wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") * 0.5)
     p, n = F.sum("pos"), F.sum("neg")
     both = (p > 0) & (n > 0)
-    return t.groupBy(*by).agg(p.alias("positives"), n.alias("negatives"),
+    extra = []
+    if threshold is not None:
+        above = F.col("p") >= threshold
+        hits, called = F.sum(F.when(above, F.col("pos")).otherwise(0)), F.sum(F.when(above, F.col("pos") + F.col("neg")).otherwise(0))
+        extra.append(ratio(2.0 * hits, called + p).alias("f1"))
+    return t.groupBy(*by).agg(*extra, p.alias("positives"), n.alias("negatives"),
                               F.when(both, ap / F.when(p > 0, p)).alias("average_precision"),
                               F.when(both, wins / F.when(both, p * n)).alias("roc_auc"))
 

@@ -291,12 +291,12 @@ def _(spark, sf):
     return x.withColumn("dates", F.array_join(F.transform("dates", lambda d: d.cast("string")), ","))
 
 
-@query("b7_trend_series", "entity:i date:d v:f departure:g label:i", """
-    SELECT entity, date, round(v, 4) AS v, round(departure, 4) AS departure, coalesce(target, 0) AS label FROM featured""",
+@query("b7_trend_series", "entity:i date:d v:f v_roll7_mean:f label:i", """
+    SELECT entity, date, round(v, 4) AS v, round(v_roll7_mean, 4) AS v_roll7_mean, coalesce(target, 0) AS label FROM featured""",
        ("featured",))
 def _(spark, sf):
     x = panels.featured(spark, sf).drop("label").withColumnRenamed("target", "label")
-    return ex.trend_series(x, SUPPLIER, ["v", "departure"], "label")
+    return ex.trend_series(x, SUPPLIER, ["v", "v_roll7_mean"], "label")
 
 
 @query("b9_j3_region_filter", "entity:i date:d v:f region:s", """

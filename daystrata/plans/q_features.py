@@ -196,9 +196,9 @@ def _(spark, sf):
 @query("g7_day_folds", "entity:i date:d fold:i", """
     WITH d AS (SELECT date, count(*) AS c FROM supplier_daily GROUP BY 1),
     s AS (SELECT date, coalesce(sum(c) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM d),
-    t AS (SELECT count(*) AS n FROM supplier_daily)
-    SELECT entity, date, CASE WHEN spot < n - 3 * (n // 4) THEN 0
-      ELSE least((spot - (n - 3 * (n // 4))) // (n // 4) + 1, 3) END AS fold
+    t AS (SELECT count(*) AS m FROM supplier_daily)
+    SELECT entity, date, CASE WHEN spot < m - 3 * (m // 4) THEN 0
+      ELSE least((spot - (m - 3 * (m // 4))) // (m // 4) + 1, 3) END AS fold
     FROM supplier_daily JOIN s USING (date), t""", ("supplier_daily",))
 def _(spark, sf):
     return sp.time_folds(supplier_daily(spark, sf).select("entity", "date"), SUPPLIER, whole_days=True)
