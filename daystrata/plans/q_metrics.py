@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query("i9_entity_metrics", "entity:s tp:i fp:i fn:i precision:f recall:f f1:f average_precision:f", f"""
     WITH c AS (SELECT entity, {CONF.format(0.7)} FROM doc_scores GROUP BY 1), r AS (SELECT entity, {RATES} FROM c),
-    k AS ({_rank_sql('doc_scores', 'entity').replace('WITH s AS', 'WITH s AS')})
+    k AS ({_rank_sql('doc_scores', 'entity')})
     SELECT r.entity, tp, fp, fn, CASE WHEN tp + fn > 0 THEN precision END AS precision,
            CASE WHEN tp + fn > 0 THEN recall END AS recall, CASE WHEN tp + fn > 0 THEN f1 END AS f1, average_precision
     FROM r JOIN k ON k.entity = r.entity""", ("doc_scores",))
@@ -90,10 +90,8 @@ def _(spark, sf):
 
 
 @query("i11_calibration_curve", "bin:i n:i mean_p:f rate:f", """
-    WITH e AS (SELECT list_distinct(list_transform(range(1, 10), i -> 0.0)) AS x,
-                      quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM doc_scores),
-    d AS (SELECT list_distinct(q) AS q FROM e)
-    SELECT len(list_filter(q, c -> c < p)) AS bin, count(*) AS n, avg(p) AS mean_p, avg(label) AS rate
+    WITH d AS (SELECT list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS q FROM doc_scores)
+    SELECT len(list_filter(q, lambda c: c < p)) AS bin, count(*) AS n, avg(p) AS mean_p, avg(label) AS rate
     FROM doc_scores, d GROUP BY 1""", ("doc_scores",))
 def _(spark, sf):
     return mt.calibration_curve(doc_scores(spark, sf))
