@@ -232,7 +232,7 @@ def leakage(df: DataFrame, spec: PanelSpec, cutoffs: Column, compute, columns: l
     # each row learns which audited dates have it in their history: a short list of dates
     cuts = F.collect_list(F.when(cutoffs, F.col(spec.date))).over(ahead)
     own = [c for c in df.columns if c != spec.entity]
-    cut = df.select("*", F.explode(cuts).alias("_t")).select(
+    cut = df.withColumn("_cuts", cuts).withColumn("_t", F.explode("_cuts")).select(
         F.struct(F.col(spec.entity).alias("e"), F.col("_t").alias("t")).alias(spec.entity), *own)
     at_t = compute(cut).filter(F.col(spec.date) == F.col(f"{spec.entity}.t"))
     seen = at_t.select(F.col(f"{spec.entity}.e").alias(spec.entity), spec.date, *[F.col(c).alias(f"_cut_{c}") for c in columns])

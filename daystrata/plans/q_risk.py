@@ -114,7 +114,7 @@ def _(spark, sf):
 WEATHER = {"zone": "region_type", "tmax": "tmax", "tmin": "tmin", "roll7": "roll7", "departure": "dep", "zscore": "z"}
 CTES["weather"], NEEDS["weather"] = """
     SELECT entity, date, region_type, v / 2 AS tmax, qty * 0.625::DOUBLE AS tmin, v_roll7_mean / 2 AS roll7,
-           departure / 2 AS dep, departure_zscore AS z, v / 128 + qty / 256 AS p, qualifying, label_lag1, disc = 5 AS broken
+           departure / 2 AS dep, departure_zscore AS z, (v + qty) * 3 / 512 AS p, qualifying, label_lag1, disc = 5 AS broken
     FROM featured""", ("featured",)
 _RULES = {
     "RULE_01": "tmax >= CASE WHEN region_type = 'coastal' THEN 40 ELSE 45 END",
@@ -131,7 +131,7 @@ def weather(spark, sf):
     x = panels.featured(spark, sf)
     return x.select("entity", "date", "region_type", (F.col("v") / 2).alias("tmax"), (F.col("qty") * 0.625).alias("tmin"),
                     (F.col("v_roll7_mean") / 2).alias("roll7"), (F.col("departure") / 2).alias("dep"),
-                    F.col("departure_zscore").alias("z"), (F.col("v") / 128 + F.col("qty") / 256).alias("p"),
+                    F.col("departure_zscore").alias("z"), ((F.col("v") + F.col("qty")) * 3 / 512).alias("p"),
                     "qualifying", "label_lag1", (F.col("disc") == 5).alias("broken"))
 
 
@@ -209,7 +209,7 @@ def _deliveries(spark, sf):
         F.when(F.col("o_totalprice") > 250000, "EXTREME").otherwise("HIGH").alias("level"),
         F.when(F.col("o_orderstatus") == "F", "sent").otherwise("failed").alias("status"),
         F.expr("cast(o_orderkey % 8 as int)").alias("attempts"),
-        F.expr("timestamp_seconds(1001894400 - o_orderkey % 4000 * 60)").alias("created_at"))
+        F.expr("timestamp_seconds(1001912400 - o_orderkey % 4000 * 60)").alias("created_at"))
 
 
 _ALERT_SQL = f"""
@@ -234,19 +234,19 @@ def _(spark, sf):
     dl AS (SELECT o_custkey AS subscription_id, DATE '2001-10-01' + CAST(o_orderkey % 31 AS INT) AS date,
              CASE WHEN o_totalprice > 250000 THEN 'EXTREME' ELSE 'HIGH' END AS level,
              CASE WHEN o_orderstatus = 'F' THEN 'sent' ELSE 'failed' END AS status, o_orderkey % 8 AS attempts,
-             1001894400 - o_orderkey % 4000 * 60 AS at FROM orders WHERE o_orderstatus IN ('F', 'O')),
-    fl AS (SELECT subscription_id, date, level, arg_max(attempts, at) AS attempts, max(at) AS at FROM dl WHERE status = 'failed' GROUP BY 1, 2, 3),
-    td AS (SELECT subscription_id, count(*) AS n FROM dl WHERE status = 'sent' AND (at + 19800) // 86400 = (1001894400 + 19800) // 86400 GROUP BY 1),
+             1001912400 - o_orderkey % 4000 * 60 AS made FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    fl AS (SELECT subscription_id, date, level, arg_max(attempts, made) AS attempts, max(made) AS made FROM dl WHERE status = 'failed' GROUP BY 1, 2, 3),
+    td AS (SELECT subscription_id, count(*) AS n FROM dl WHERE status = 'sent' AND (made + 19800) // 86400 = (1001912400 + 19800) // 86400 GROUP BY 1),
     op AS (SELECT c.*, coalesce(td.n, 0) AS n FROM cand c ANTI JOIN (SELECT * FROM dl WHERE status = 'sent') s
              ON s.subscription_id = c.subscription_id AND s.date = c.date AND s.level = c.level
            LEFT JOIN fl ON fl.subscription_id = c.subscription_id AND fl.date = c.date AND fl.level = c.level
            LEFT JOIN td ON td.subscription_id = c.subscription_id
-           WHERE fl.at IS NULL OR 1001894400 >= fl.at + least(60, pow(2, fl.attempts)) * 60)
+           WHERE fl.made IS NULL OR 1001912400 >= fl.made + least(60, pow(2, fl.attempts)) * 60)
     SELECT subscription_id, date, level, slot FROM (
       SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY date, rk) + n AS slot FROM op) WHERE slot <= 2""",
        ("supplier_daily",))
 def _(spark, sf):
-    now = F.timestamp_seconds(F.lit(1001894400))  # 2001-10-01 00:00 UTC, 05:30 + 0 local is quiet; see below
+    now = F.timestamp_seconds(F.lit(1001912400))  # 2001-10-01 05:00 UTC, mid-morning local time
     cand = al.candidates(_forecasts(spark, sf), _subscriptions(spark, sf))
     return al.due(cand, _deliveries(spark, sf), now)
 
