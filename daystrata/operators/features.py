@@ -3,7 +3,8 @@
 Offsets are positions within an entity, not calendar days. Rolling means, maxima,
 minima and slopes over at most seven previous rows are plain arithmetic on lag
 columns: the window operator only delivers offsets and one 30-row frame, the
-rest is generated code, and a NULL in the window makes the result NULL by itself.
+rest is generated code. That is about half the time of one sliding aggregate per
+column, provided the JVM compiles the generated method: see ``daystrata.session``.
 """
 
 from __future__ import annotations

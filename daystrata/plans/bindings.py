@@ -48,8 +48,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
+def _whole(value):
+    """Nearest integer of a non-negative double (``round`` would go through BigDecimal per row)."""
+    return F.floor(value + 0.5)
+
+
 def _cents(column: str):
-    return F.round(F.col(column) * 100).cast("bigint")
+    return _whole(F.col(column) * 100)
 
 
 def _sixteenths(total, unit: int = 1):
@@ -69,7 +74,7 @@ def supplier_daily(spark, sf) -> DataFrame:
     """entity = supplier; mean price in thousands, quantity, discount and tax percent."""
     return (table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("entity"),
                                                  F.to_date("l_shipdate").alias("date"))
-            .agg(F.sum(_cents("l_extendedprice")).alias("c"), F.sum(F.round("l_quantity").cast("bigint")).alias("q"),
+            .agg(F.sum(_cents("l_extendedprice")).alias("c"), F.sum(_whole(F.col("l_quantity"))).alias("q"),
                  F.sum(_cents("l_discount")).alias("d"), F.sum(_cents("l_tax")).alias("t"),
                  F.count(F.lit(1)).alias("n"))
             .select("entity", "date", _sixteenths("c", 6250).alias("v"), _sixteenths("q * 16").alias("qty"),
@@ -96,8 +101,7 @@ def supplier_dim(spark, sf) -> DataFrame:
 
 def scored(spark, sf) -> DataFrame:
     """Score table (entity, date, year, label, p): a mixture of quantity and price."""
-    p = F.expr("(cast(round(l_quantity) as bigint) * 12000"
-               " + cast(round(l_extendedprice * 100) as bigint) * 4 div 105)") / 1000000.0
+    p = F.expr("(floor(l_quantity + 0.5) * 12000 + floor(l_extendedprice * 100 + 0.5) * 4 div 105)") / 1000000.0
     label = (F.col("l_quantity") >= 30) & (F.col("l_extendedprice") >= 30000) & (F.col("l_discount") >= 0.03)
     return table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("entity"), F.to_date("l_shipdate").alias("date"),

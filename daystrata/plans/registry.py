@@ -15,22 +15,22 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Decimal ties (x.xxxxxx5) are rounded differently by different engines, and means of
-# multiples of 1/16 hit them; both sides move off the ties by the same amount.
-TIE_SHIFT = 2.3e-8
+# Both engines round by the same double arithmetic. Means of multiples of 1/16 hit the
+# decimal ties (x.xxxxxx5), where 1e-16 of noise would decide; 0.523 moves off them.
+HALF = 0.523
 
 _SPARK: dict[str, Callable[[Column], Column]] = {
     "i": lambda c: c.cast("bigint"),
-    "f": lambda c: F.round(c.cast("double") + F.lit(TIE_SHIFT), 6) + F.lit(0.0),
-    "g": lambda c: F.round(c.cast("double") + F.lit(TIE_SHIFT), 4) + F.lit(0.0),
+    "f": lambda c: F.floor(c.cast("double") * 1e6 + HALF) / 1e6,
+    "g": lambda c: F.floor(c.cast("double") * 1e4 + HALF) / 1e4,
     "d": lambda c: c.cast("date").cast("string"),
     "s": lambda c: c.cast("string"),
     "b": lambda c: c.cast("int").cast("bigint"),
 }
 _SQL = {
     "i": "CAST({0} AS BIGINT)",
-    "f": f"round(CAST({{0}} AS DOUBLE) + {TIE_SHIFT}::DOUBLE, 6) + 0.0",
-    "g": f"round(CAST({{0}} AS DOUBLE) + {TIE_SHIFT}::DOUBLE, 4) + 0.0",
+    "f": f"floor(CAST({{0}} AS DOUBLE) * 1e6::DOUBLE + {HALF}::DOUBLE) / 1e6::DOUBLE",
+    "g": f"floor(CAST({{0}} AS DOUBLE) * 1e4::DOUBLE + {HALF}::DOUBLE) / 1e4::DOUBLE",
     "d": "CAST(CAST({0} AS DATE) AS VARCHAR)",
     "s": "CAST({0} AS VARCHAR)",
     "b": "CAST(CAST({0} AS INT) AS BIGINT)",
