@@ -25,16 +25,16 @@ def long_rows(df: DataFrame, spec: PanelSpec, features: list[str]) -> DataFrame:
     return complete.unpivot([spec.entity, spec.date, "month"], features, "feature", "value")
 
 
-def _bin_shares(placed: DataFrame, keys: list[str]) -> DataFrame:
+def _bin_shares(placed: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
     """Shares per bin, empty bins included; out-of-range values count for no bin."""
-    cells = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"), F.first("edges").alias("edges"))
+    kept = [F.first(c).alias(c) for c in carry]
+    cells = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"), *kept)
     inside = F.when(F.col("bin") > 0, F.struct("bin", "_n"))
     grouped = cells.groupBy(*keys).agg(
-        F.first("edges").alias("edges"), F.sum("_n").alias("rows"),
-        F.sum(F.when(F.col("bin") > 0, F.col("_n")).otherwise(0)).alias("_in"),
+        *kept, F.sum("_n").alias("rows"), F.sum(F.when(F.col("bin") > 0, F.col("_n")).otherwise(0)).alias("_in"),
         F.map_from_entries(F.collect_list(inside)).alias("_c"))  # at most one entry per bin
     share = lambda i: F.coalesce(F.try_element_at("_c", i), F.lit(0)) / F.greatest(F.col("_in"), F.lit(1))
-    return grouped.select(*keys, "edges", "rows", F.transform(F.sequence(F.lit(1), F.size("edges") - 1), share).alias("shares"))
+    return grouped.select(*keys, *carry, "rows", F.transform(F.sequence(F.lit(1), F.size("edges") - 1), share).alias("shares"))
 
 
 def baseline(df: DataFrame, spec: PanelSpec, features: list[str], bins: int = 10) -> DataFrame:
@@ -50,8 +50,8 @@ def baseline(df: DataFrame, spec: PanelSpec, features: list[str], bins: int = 10
     # a one-element array must not reach slice with a negative length
     edges = q.select(*keys, F.when(F.size("_q") < 2, point).otherwise(
         F.when(F.size("_q") == 2, F.array(F.lit(-PSI_OUTER), F.lit(PSI_OUTER))).otherwise(spread)).alias("edges"))
-    placed = long.join(edges, keys).withColumn("bin", bin_of(F.col("value"), F.col("edges")))
-    return _bin_shares(placed, keys).select(*keys, "edges", F.col("shares").alias("proportions"))
+    placed = long.join(edges, keys).withColumn("bin", bin_of(F.col("value"), F.col("edges"), bins + 1))
+    return _bin_shares(placed, keys, ["edges"]).select(*keys, "edges", F.col("shares").alias("proportions"))
 
 
 def level(psi: Column) -> Column:
@@ -65,15 +65,12 @@ def psi(observed: Column, expected: Column) -> Column:
     return F.aggregate(F.zip_with(observed, expected, term), F.lit(0.0), lambda a, x: a + x)
 
 
-def month_psi(recent: DataFrame, base: DataFrame, spec: PanelSpec, features: list[str]) -> DataFrame:
+def month_psi(recent: DataFrame, base: DataFrame, spec: PanelSpec, features: list[str], bins: int = 10) -> DataFrame:
     """PSI per entity, month and feature; NULL where the baseline lacks the month."""
     keys = [spec.entity, *KEYS]
-    long = long_rows(recent, spec, features)
-    enough = (long.filter(F.col("feature") == features[0]).groupBy(spec.entity)
-              .agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") >= PSI_MIN_ROWS))
-    placed = (long.join(enough, spec.entity, "left_semi").join(base.select(*keys, "edges"), keys, "left")
-              .withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("edges")), F.lit(0))))
-    shares = _bin_shares(placed, keys).join(base.select(*keys, "proportions"), keys, "left")
+    placed = (long_rows(recent, spec, features).join(base.select(*keys, "edges", "proportions"), keys, "left")
+              .withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("edges"), bins + 1), F.lit(0))))
+    shares = _bin_shares(placed, keys, ["edges", "proportions"])
     return shares.select(*keys, "rows", F.when(F.col("proportions").isNotNull(), psi(F.col("shares"), F.col("proportions"))).alias("psi"))
 
 
@@ -87,17 +84,17 @@ def feature_drift(months: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def assess(recent: DataFrame, base: DataFrame, spec: PanelSpec, features: list[str], today: str | None = None) -> DataFrame:
-    """One row per entity: status, sample size, overall PSI and level, drifting features."""
+    """One row per entity: status, sample size (complete rows), overall PSI and level,
+    drifting features. Too short a history gets a status instead of a level."""
     rows = recent.filter(F.col(spec.date) <= F.lit(today).cast("date")) if today else recent
     by_feature = feature_drift(month_psi(rows, base, spec, features), spec)
     overall = by_feature.groupBy(spec.entity).agg(
-        F.avg("psi").alias("overall_psi"), F.count_if(F.col("level").isin("drift_detected", "high_drift")).alias("drifting"))
-    complete = rows.select(spec.entity, spec.date, *[F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")).alias(c)
-                                                     for c in features]).na.drop(subset=[spec.date, *features])
-    size = complete.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("sample_size"))
-    every = rows.select(spec.entity).distinct().join(size, spec.entity, "left").join(overall, spec.entity, "left")
-    enough = F.coalesce("sample_size", F.lit(0)) >= PSI_MIN_ROWS
+        F.avg("psi").alias("psi"), F.max("rows").alias("size"),
+        F.count_if(F.col("level").isin("drift_detected", "high_drift")).alias("drifting"))
+    every = rows.select(spec.entity).distinct().join(overall, spec.entity, "left")
+    size = F.coalesce("size", F.lit(0))
+    enough = size >= PSI_MIN_ROWS
     return every.select(
-        spec.entity, F.when(enough, "available").otherwise("insufficient_history").alias("status"),
-        F.coalesce("sample_size", F.lit(0)).alias("sample_size"), F.round("overall_psi", 4).alias("overall_psi"),
-        F.when(enough, level(F.col("overall_psi"))).alias("level"), F.coalesce("drifting", F.lit(0)).alias("drifting"))
+        spec.entity, F.when(enough, "available").otherwise("insufficient_history").alias("status"), size.alias("sample_size"),
+        F.when(enough, F.round("psi", 4)).alias("overall_psi"), F.when(enough, level(F.col("psi"))).alias("level"),
+        F.when(enough, F.col("drifting")).otherwise(0).alias("drifting"))

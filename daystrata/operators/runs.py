@@ -27,7 +27,8 @@ def label_runs(df: DataFrame, spec: PanelSpec, min_run: int | None = None) -> Da
     least = min_run or spec.rule.min_run
     isl = Window.partitionBy(spec.entity, "_island")
     upto = isl.orderBy(spec.date).rowsBetween(Window.unboundedPreceding, 0)
-    w = Window.partitionBy(spec.entity).orderBy(spec.date).rowsBetween(Window.unboundedPreceding, 0)
+    # islands follow the dates; naming them first reuses the sort of ``upto``
+    w = Window.partitionBy(spec.entity).orderBy("_island", spec.date).rowsBetween(Window.unboundedPreceding, 0)
     hot = F.col(spec.qualifying) == 1
     x = (islands(df, spec, spec.qualifying)
          .withColumn("_len", F.count(F.lit(1)).over(isl).cast("int"))
