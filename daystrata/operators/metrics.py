@@ -38,14 +38,15 @@ def threshold_metrics(df: DataFrame, threshold: float, by: list[str] | None = No
 
 
 def rank_table(df: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Per distinct score, from high to low: own and running positives and negatives."""
+    """Per distinct score, from high to low: own and running positives and negatives, and
+    the position of the score."""
     by = by or []
     w = F.col(weight) if weight else F.lit(1)
     known = df.filter(F.col("p").isNotNull() & F.col("label").isNotNull())
     tied = known.groupBy(*by, "p").agg(F.sum((F.col("label") * w).cast("bigint")).alias("pos"),
                                        F.sum(((1 - F.col("label")) * w).cast("bigint")).alias("neg"))
-    return running_sums(with_bucket(tied, "p"), [F.desc("p")], {"tp": F.col("pos"), "fp": F.col("neg")}, by,
-                        descending=True).drop("_bucket")
+    return running_sums(with_bucket(tied, "p", known), [F.desc("p")],
+                        {"tp": F.col("pos"), "fp": F.col("neg"), "point": F.lit(1)}, by, descending=True).drop("_bucket")
 
 
 def rank_metrics(df: DataFrame, by: list[str] | None = None, weight: str | None = None,
@@ -75,8 +76,7 @@ def curve_points(df: DataFrame, keep: int = 200, by: list[str] | None = None) ->
     """ROC and precision-recall points, one per distinct score, thinned to every
     max(1, n // keep)-th point in descending score order."""
     by = by or []
-    t = with_bucket(rank_table(df, by), "p")
-    numbered = running_sums(t, [F.desc("p")], {"point": F.lit(1)}, by, descending=True).drop("_bucket")
+    numbered = rank_table(df, by)
     size = numbered.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"), F.count(F.lit(1)).alias("_k"))
     if by:
         x = numbered.join(size, by)

@@ -32,15 +32,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
 
 
-def with_bucket(df: DataFrame, column: str, out: str = "_bucket", buckets: int = BUCKETS) -> DataFrame:
+def with_bucket(df: DataFrame, column: str, raw: DataFrame | None = None, out: str = "_bucket",
+                buckets: int = BUCKETS) -> DataFrame:
     """Cut a numeric column at approximate quantiles of its non-null rows.
 
     ``approxQuantile`` is a mergeable sketch, so the driver gets ``buckets`` numbers
     and nothing else. The cuts become literals of the plan: a recomputed task
-    cannot see different ones.
+    cannot see different ones. They are taken from ``raw`` (the rows before ties
+    were collapsed) where given, which needs no shuffle.
     """
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(column, probabilities, 1 / (2 * buckets))))
+    cuts = sorted(set((df if raw is None else raw).approxQuantile(column, probabilities, 1 / (2 * buckets))))
     splits = [float("-inf"), *cuts, float("inf")]
     return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
 
@@ -75,7 +77,8 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), **extra: Co
 def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linearly interpolated quantiles of arbitrarily large groups."""
     by = list(by)
-    counts = with_bucket(value_counts(df.withColumn(column, F.col(column).cast("double")), column, by), column)
+    df = df.withColumn(column, F.col(column).cast("double"))
+    counts = with_bucket(value_counts(df, column, by), column, df)
     cum = running_sums(counts, [F.col(column)], {"cum": F.col("n")}, by)
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
     cum = cum.join(sizes, by) if by else cum.withColumn("_size", sizes.scalar())
@@ -93,7 +96,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], by: Seq
 
 def average_ranks(df: DataFrame, column: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Distinct values with their tie-averaged 1-based rank and multiplicity ``n``."""
-    counts = with_bucket(value_counts(df, column, by), column)
+    counts = with_bucket(value_counts(df, column, by), column, df)
     cum = running_sums(counts, [F.col(column)], {"_cum": F.col("n")}, by)
     return cum.select(*by, column, "n", (F.col("_cum") - (F.col("n") - 1) / 2).alias(out))
 

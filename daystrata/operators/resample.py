@@ -71,18 +71,20 @@ def iid_interval(df: DataFrame, key: Column, threshold: float, draws: int = 500,
                                       F.count(F.lit(1)).alias("draws"))
 
 
-def block_weights(df: DataFrame, spec: PanelSpec, size: int, draws: int, seed: int) -> DataFrame:
+def block_weights(df: DataFrame, spec: PanelSpec, size: int, draws: int, seed: int, per_task: int = 20) -> DataFrame:
     """(draw, label, p_ref, p_cmp, w): per entity max(1, n // size) blocks of consecutive
-    rows, cut at the entity's end. An entity is at most a calendar long."""
+    rows, cut at the entity's end. A task holds one entity (at most a calendar long) for a few draws."""
     columns = [spec.entity, spec.date, "label", "p_ref", "p_cmp"]
     both = df.filter(F.col("p_ref").isNotNull() & F.col("p_cmp").isNotNull()).select(*columns)
-    both = both.withColumn("_seed", F.abs(F.xxhash64(spec.entity)))
+    both = both.withColumns({"_seed": F.abs(F.xxhash64(spec.entity)),
+                             "_draws": F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // per_task)))})
 
     def resample(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(spec.date)
         n = len(part)
         frames = []
-        for d in range(draws):
+        first = int(part["_draws"].iloc[0]) * per_task
+        for d in range(first, min(first + per_task, draws)):
             starts = np.random.default_rng([seed, d, int(part["_seed"].iloc[0])]).integers(0, n, max(1, n // size))
             steps = np.zeros(n + 1, dtype=np.int64)
             np.add.at(steps, starts, 1)
@@ -92,7 +94,7 @@ def block_weights(df: DataFrame, spec: PanelSpec, size: int, draws: int, seed: i
             frames.append(part.loc[used, ["label", "p_ref", "p_cmp"]].assign(draw=d, w=w[used]))
         return pd.concat(frames)[["draw", "label", "p_ref", "p_cmp", "w"]]
 
-    return both.groupBy(spec.entity).applyInPandas(
+    return both.groupBy(spec.entity, "_draws").applyInPandas(
         resample, "draw int, label int, p_ref double, p_cmp double, w bigint")
 
 

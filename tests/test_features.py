@@ -166,3 +166,22 @@ def test_live_features_match_the_batch_rows(spark):
     batch = ft.build(p, SPEC, live=True).orderBy("date").toPandas().tail(7).reset_index(drop=True)
     for c in ("v_lag7", "v_roll7_mean", "v_slope_7d", "departure_zscore", "label_lag1"):
         np.testing.assert_allclose(live[c].to_numpy(float), batch[c].to_numpy(float), atol=1e-9)
+
+
+def test_heat_configuration_builds_the_whole_contract(spark):
+    from pyspark.sql import functions as F
+
+    from daystrata.operators import runs
+    from daystrata.operators.contract import check, project
+    from daystrata.spec import WEATHER
+    rng = np.random.default_rng(3)
+    rows = [(c, d, "coastal" if c == "mumbai" else "plains", 20.0, 70.0, *map(float, rng.random(len(WEATHER)) * 45))
+            for c in ("delhi", "mumbai") for d in days(400)]
+    schema = "city_key string, date date, region_type string, latitude double, longitude double, " + ", ".join(f"{w} double" for w in WEATHER)
+    p = spark.createDataFrame(rows, schema)
+    n = cl.normals(p, HEAT, "2000-01-01", "2000-12-31")
+    x = runs.label_runs(cl.qualifying_absolute(cl.attach(p, n, HEAT), HEAT), HEAT)
+    f = ft.trim(ft.build(x, HEAT)).withColumn("entity_code", (F.col("city_key") == "mumbai").cast("int"))
+    out = project(f, HEAT.contract(), ["city_key", "date"])
+    assert len(out.columns) == 112 and out.count() == 2 * (400 - 11)
+    assert check(out, HEAT.contract()).count() == 0

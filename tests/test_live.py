@@ -93,3 +93,26 @@ def test_streams(spark, tmp_path):
     # a later file updates an open day; nothing is counted twice
     spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 12), 4.0)], schema).coalesce(1).write.mode("append").parquet(src)
     assert run() == {("a", 1): 7.0, ("b", 2): 5.0}
+
+
+def test_streamed_features_equal_the_batch_build_after_a_late_correction(spark, tmp_path):
+    from daystrata.operators import features as ft
+    src, schema = str(tmp_path / "days"), "entity string, date date, v double"
+    base = [(e, d, float((i * 7 + len(e)) % 23)) for e in ("a", "bb") for i, d in enumerate(days(80))]
+
+    def prepare(p):
+        return p.withColumns({"departure": F.col("v") - 10, "qualifying": (F.col("v") > 15).cast("int")})
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        lv.run_refresh(lv.file_stream(spark, src, schema), SPEC, str(tmp_path / "p"), str(tmp_path / "f"), str(tmp_path / "c"), prepare)
+
+    feed(base[:75] + base[80:155])
+    feed([("a", days(80)[60], 99.0)] + base[75:80])  # a correction and five new days of one entity
+    feed(base[155:])
+    got = lv.latest(spark.read.parquet(str(tmp_path / "f")), ["entity", "date"]).orderBy("entity", "date").toPandas()
+    final = [(e, d, 99.0 if (e, d) == ("a", days(80)[60]) else v) for e, d, v in base]
+    want = ft.build(prepare(spark.createDataFrame(final, schema)), SPEC, live=True).orderBy("entity", "date").toPandas()
+    assert len(got) == len(want) == 160
+    for c in ("v", "v_lag7", "v_roll7_max", "v_slope_3d", "departure_zscore", "label_lag1"):
+        assert got[c].round(9).equals(want[c].round(9)), c
