@@ -118,13 +118,3 @@ def row_index(df: DataFrame, order: Sequence[str], out: str = "row_index") -> Da
     return (pinned.withColumn("_part", part).join(F.broadcast(offsets), "_part")
             .withColumn(out, F.col("_offset") + F.col("_mid").bitwiseAND(F.lit(2**33 - 1)))
             .drop("_part", "_mid", "_offset"))
-
-
-def smallest_by_hash(df: DataFrame, hash_column: str, keep: Column, tie: Sequence[str]) -> DataFrame:
-    """Keep exactly ``keep`` (a scalar) rows, those with the smallest hash.
-
-    The hash is uniform on [0, 2^32), so its top 16 bits are even buckets.
-    """
-    bucketed = df.withColumn("_bucket", F.shiftright(F.col(hash_column), 16))
-    ranked = running_sums(bucketed, [F.col(hash_column), *[F.col(t) for t in tie]], {"_kept": F.lit(1)})
-    return ranked.filter(F.col("_kept") <= keep).drop("_kept", "_bucket")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daystrata.functions.scalar import mix
-from daystrata.operators.prefix import row_index, running_sums, smallest_by_hash
+from daystrata.operators.prefix import row_index, running_sums
 from daystrata.spec import PanelSpec
 
 
@@ -40,8 +40,10 @@ def undersample(df: DataFrame, label: str, key: Column, ratio: int = 10, seed: i
     size = df.agg(F.least(F.sum((F.col(label) == 1).cast("int")) * ratio,
                           F.sum((F.col(label) == 0).cast("int")))).scalar()
     hashed = df.withColumn("_key", key.cast("bigint")).withColumn("_hash", mix(F.col("_key"), seed))
-    kept = smallest_by_hash(hashed.filter(F.col(label) == 0), "_hash", size, ["_key"])
-    return hashed.filter(F.col(label) == 1).unionByName(kept).drop("_hash", "_key")
+    # the hash is uniform, so its top 16 bits are even buckets
+    bucketed = hashed.withColumn("_bucket", F.shiftright("_hash", 16))
+    ranked = running_sums(bucketed, [F.col("_hash"), F.col("_key")], {"_rank": F.lit(1)}, [label])
+    return ranked.filter((F.col(label) == 1) | (F.col("_rank") <= size)).drop("_hash", "_key", "_bucket", "_rank")
 
 
 def hash_index(df: DataFrame, key: str, seed: int, out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from daystrata.operators import splits as sp
 from daystrata.plans import panels
 from daystrata.plans.bindings import NEEDS, ORDERS, SUPPLIER, CTES, orders_daily, supplier_daily, supplier_dim
 from daystrata.plans.registry import query
+from daystrata.sources.files import materialise
 
 VARS = SUPPLIER.variables
 W = "(PARTITION BY entity ORDER BY date{})"
@@ -153,6 +154,11 @@ def _(spark, sf):
     return sp.reassemble(x, y, meta, SUPPLIER)
 
 
+def _label_rows(spark, sf):
+    # resampling reads its rows several times: write them once
+    return materialise(panels.labelled(spark, sf).select("entity", "date", "label"), "labels")
+
+
 @query("g3_undersample", "entity:i date:d label:i", f"""
     WITH k AS (SELECT *, {mix_sql(KEY)} AS h FROM labelled),
     r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, {KEY}) AS rn FROM k),
@@ -160,7 +166,7 @@ def _(spark, sf):
     SELECT entity, date, label FROM r WHERE label = 1 OR rn <= (SELECT m FROM c)""", ("labelled",))
 def _(spark, sf):
     key = F.col("entity") * 100000 + F.unix_date("date")
-    return sp.undersample(panels.labelled(spark, sf).select("entity", "date", "label"), "label", key, ratio=2)
+    return sp.undersample(_label_rows(spark, sf), "label", key, ratio=2)
 
 
 @query("g4_oversample", "entity:i date:d label:i copies:i", f"""
@@ -171,7 +177,7 @@ def _(spark, sf):
     UNION ALL SELECT entity, date, label, count(*) FROM d JOIN p ON p.pos = d.pos GROUP BY 1, 2, 3""", ("labelled",))
 def _(spark, sf):
     key = F.col("entity") * 100000 + F.unix_date("date")
-    both = sp.oversample(panels.labelled(spark, sf).select("entity", "date", "label"), "label", key)
+    both = sp.oversample(_label_rows(spark, sf), "label", key)
     return both.groupBy("entity", "date", "label").agg(F.count(F.lit(1)).alias("copies"))
 
 

@@ -116,3 +116,17 @@ def test_streamed_features_equal_the_batch_build_after_a_late_correction(spark,
     assert len(got) == len(want) == 160
     for c in ("v", "v_lag7", "v_roll7_max", "v_slope_3d", "departure_zscore", "label_lag1"):
         assert got[c].round(9).equals(want[c].round(9)), c
+
+
+def test_pending_forecasts(spark):
+    log = spark.createDataFrame([(i, d) for i, d in enumerate(days(4))], "id int, date date")
+    outcomes = spark.createDataFrame([(0, 41.0)], "id int, observed double")
+    assert [r.id for r in lv.pending(log, outcomes, str(days(4)[3])).orderBy("id").collect()] == [1, 2]
+    seen = spark.createDataFrame([("x", days(1)[0], 1)], "entity string, date date, prediction int")
+    obs = spark.createDataFrame([("x", days(1)[0], 42.0)], "entity string, date date, observed double")
+    lim = spark.createDataFrame([("x", 40.0)], "entity string, threshold double")
+    from daystrata.operators.metrics import tracked_summary
+    r = tracked_summary(lv.match_outcomes(seen, obs, str(days(2)[1]), lim)).first()
+    assert (r.logged, r.matched, r.precision, r.recall, r.status) == (1, 1, 1.0, 1.0, "available")
+    none = tracked_summary(lv.match_outcomes(seen, obs.limit(0), str(days(2)[1]), lim)).first()
+    assert (none.matched, none.status, none.precision) == (0, "not_enough_data", None)
