@@ -15,7 +15,7 @@ from daystrata.operators import metrics as mt
 from daystrata.operators.splits import hash_index
 from daystrata.spec import DECISION_THRESHOLD
 
-# The reference settings of each model kind; ``trees`` scales the ensembles.
+# The default settings of each model kind.
 
 
 def logistic(strength: float, weight: str | None = None) -> LogisticRegression:
