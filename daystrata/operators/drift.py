@@ -42,8 +42,16 @@ def baseline(df: DataFrame, spec: PanelSpec, features: list[str], bins: int = 10
     outer bins; a constant group gets one unit-wide bin around its value."""
     keys = [spec.entity, *KEYS]
     long = long_rows(df, spec, features)
-    cuts = F.percentile("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    q = long.groupBy(*keys).agg(F.array_distinct(cuts).alias("_q"))
+    # integer positions: a cut that falls on a value is that value, whatever q * (n - 1) rounds to
+    ordered = long.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_s"))
+    ordered = ordered.withColumn("_last", F.size("_s") - 1)
+
+    def cut(i: int) -> Column:
+        low = F.get("_s", F.expr(f"{i} * _last div {bins}").cast("int"))
+        high = F.get("_s", F.least(F.expr(f"{i} * _last div {bins} + 1").cast("int"), F.col("_last")))
+        return low + (high - low) * (F.expr(f"{i} * _last % {bins}") / F.lit(float(bins)))
+
+    q = ordered.select(*keys, F.array_distinct(F.array(*[cut(i) for i in range(bins + 1)])).alias("_q"))
     inner = F.slice("_q", 2, F.size("_q") - 2)
     spread = F.concat(F.array(F.lit(-PSI_OUTER)), inner, F.array(F.lit(PSI_OUTER)))
     point = F.array(F.col("_q")[0] - 0.5, F.col("_q")[0] + 0.5)

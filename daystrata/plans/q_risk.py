@@ -13,15 +13,17 @@ from daystrata.plans.registry import query
 from daystrata.streaming import alerts as al
 
 FEATS = ["v", "qty", "disc"]
-_Q = ", ".join(str(i / 10) for i in range(11))
 CTES["drift_long"], NEEDS["drift_long"] = """
     SELECT entity, date, month(date) AS month, unnest(['v', 'qty', 'disc']) AS feature, unnest([v, qty, disc]) AS value
     FROM supplier_daily""", ("supplier_daily",)
 CTES["drift_edges"], NEEDS["drift_edges"] = f"""
     SELECT entity, month, feature, CASE WHEN len(q) < 2 THEN [q[1] - 0.5::DOUBLE, q[1] + 0.5::DOUBLE]
              ELSE list_concat(list_concat([-1e308::DOUBLE], q[2:len(q) - 1]), [1e308::DOUBLE]) END AS edges
-    FROM (SELECT entity, month, feature, list_sort(list_distinct(quantile_cont(value, [{_Q}]))) AS q
-          FROM drift_long WHERE year(date) <= 1999 GROUP BY 1, 2, 3)""", ("drift_long",)
+    FROM (SELECT entity, month, feature, list_sort(list_distinct(list_transform(range(0, 11), lambda i:
+            s[i * (n - 1) // 10 + 1] + (s[least(i * (n - 1) // 10 + 2, n)] - s[i * (n - 1) // 10 + 1])
+              * (i * (n - 1) % 10 / 10.0::DOUBLE)))) AS q
+          FROM (SELECT entity, month, feature, list_sort(list(value)) AS s, count(*) AS n
+                FROM drift_long WHERE year(date) <= 1999 GROUP BY 1, 2, 3))""", ("drift_long",)
 _PLACED = """SELECT l.*, edges, CASE WHEN value <= edges[len(edges)]
     THEN least(len(list_filter(edges, lambda e: e <= value)), len(edges) - 1) ELSE 0 END AS bin
     FROM drift_long l JOIN drift_edges USING (entity, month, feature)"""
