@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daystrata.llm import decontamination
+from daystrata.llm import decontamination, phrases, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", found["n_words"].alias("n_words"), decontamination.n_hit(found).alias("n_hit"),
                       F.size(items).cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
                       decontamination.contaminated(found).alias("contaminated"))
+
+
+@query("op3_simhash_bk_trees")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_repeated_phrases", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM w WHERE len(w) >= 13)),
+firsts AS (SELECT gram, min(doc_id) AS first FROM grams GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p
+  FROM (SELECT g.doc_id, g.p FROM grams g JOIN firsts f USING (gram) WHERE f.first < g.doc_id)),
+kept AS (
+  SELECT a.doc_id, count(g.p) AS n_removed, string_agg(a.word, ' ' ORDER BY a.p) FILTER (WHERE g.p IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w) a
+  LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document, and a digest of the rest."""
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"), ("doc_id", "n_words", "n_removed", "kept_sha256"))
