@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daystrata.llm import decontamination, phrases, simhash
+from daystrata.llm import decontamination, html, mil, phrases, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,35 @@ FROM w LEFT JOIN kept k USING (doc_id)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document, and a digest of the rest."""
     return phrases.remove_repeats(table(spark, sf_dir, "documents"), ("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+@query("op8_assignment_lexer")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    out, found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(items):
+        return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def n(kind):
+        return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter(found, lambda s: s["kind"] != "literal")
+    return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+                      joined(found).alias("spans"), n("literal"))
+
+
+@query("op4_text_to_tag_ratio")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op7_attention_mil")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mil.fit(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", mil.held_out(F.col("doc_id")).alias("held_out"), mil.scored(model, docs).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= mil.THRESHOLD).cast("int"))
