@@ -16,7 +16,7 @@ from daystrata.llm.common import components, fresh, written
 SHINGLE = 3
 RADIUS = 2
 #: Most fingerprints in one tree. A larger bucket is divided by more equal bits, so no link is lost.
-TREE_NODES = 256
+TREE_NODES = 1024
 _BITS = 64
 
 
@@ -101,15 +101,17 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_
     Fingerprints at r or fewer differing bits agree in one of r + 1 bands, so a shard is the set of fingerprints with one
     value of one band, and a fingerprint asks the trees of its own shards only. (Sending the trees of all documents to
     every task, as the method is often told, would collect all fingerprints.) A shard of more than ``tree_nodes`` is cut
-    again by r + 1 bands of its free bits, until it fits: its size is bounded by 2^(free bits) in the end.
+    again by r + 1 bands of its free bits, until it fits: a shard with f free bits has at most 2^f fingerprints, so r free
+    bits always fit.
     """
+    tree_nodes = max(tree_nodes, 1 << radius)
     found: DataFrame | None = None
     masks = {0: _masks((1 << _BITS) - 1, radius + 1)}
     level = fingerprints.select("fingerprint", F.lit(0).cast("bigint").alias("mask"))
     while True:
         cut = F.create_map(*[x for parent, own in masks.items()
                              for x in (F.lit(_signed(parent)), F.array(*[F.lit(_signed(m)) for m in own]))])
-        keyed = (level.select("fingerprint", F.explode(cut[F.col("mask")]).alias("mask"))
+        keyed = (level.select("fingerprint", F.explode(cut[F.col("mask")]).alias("mask")).distinct()
                  .withColumn("value", F.col("fingerprint").bitwiseAND(F.col("mask"))))
         sizes = keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).filter("n > 1")
         keyed = written(keyed.join(sizes, ["mask", "value"]))

@@ -60,7 +60,7 @@ def test_small_trees_lose_no_link(spark):
         values.add(x)
     values = [sh._signed(v) for v in values]
     frame = spark.createDataFrame([(v,) for v in values], "fingerprint long")
-    for limit in (4, 256):
+    for limit in (4, 16, 1024):
         edges = {tuple(sorted(r)) for r in sh.links(frame, tree_nodes=limit).collect()}
         assert _parts(values, edges) == _parts(values, {(a, b) for a in values for b in values if a < b
                                                         and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2})
