@@ -48,7 +48,7 @@ def literal_score(value: str) -> float:
     if len(value) < 6 or _DUMMY.match(value) or "${" in value or "{{" in value or value[:1] == "<":
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9 ]"))
-    return (0.6 + 0.2 * (kinds - 1)) * (0.4 if " " in value else 1.0)
+    return (0.6 + 0.2 * (kinds - 1)) * (0.5 if " " in value else 1.0)
 
 
 def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
