@@ -207,13 +207,12 @@ def _phrases(found: Batch, first: np.ndarray, ids: np.ndarray) -> tuple[ahocoras
 def _remove(columns: list[str]):
     def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack([p for p in told["pack"] if p is not None], 2)]
-        single = told[told["h"].notna()]
-        parts.append(np.stack([single["h"].to_numpy(np.int64), single["first"].to_numpy(np.int64)]))
+        single = told[told["h"].notna()]  # as text: a column of integers and nulls would come as floats
+        parts.append(np.array([list(map(int, single["h"])), list(map(int, single["first"]))], np.int64).reshape(2, -1))
         h, first_of = np.concatenate(parts, axis=1)
         order = np.argsort(h.view(np.uint64))
         h, first_of = h[order].view(np.uint64), first_of[order]
-        texts, none = docs["text"].tolist(), docs["doc_id"].isna().to_numpy()
-        ids = docs["doc_id"].fillna(0).to_numpy(np.int64)
+        texts, none, ids = docs["text"].tolist(), docs["none"].to_numpy(bool), docs["doc_id"].to_numpy(np.int64)
         n_words, n_removed, kept = [], [], []
         for part in slices(texts):
             found, own = Batch(texts[part]), ids[part]
@@ -235,7 +234,7 @@ def _remove(columns: list[str]):
                 n_removed.append(int(gone.sum()))
                 buffer = found.words.buffer
                 kept.append(b" ".join([buffer[s:e] for s, e in zip(found.words.starts[rest].tolist(), found.words.ends[rest].tolist())]))
-        made = {"doc_id": docs["doc_id"], "n_words": n_words, "n_removed": n_removed,
+        made = {"doc_id": docs["doc_id"], "none": none, "n_words": n_words, "n_removed": n_removed,
                 "kept": [k.decode("utf-8", "surrogatepass") for k in kept] if "kept" in columns else None,
                 "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
         return pd.DataFrame({c: made[c] for c in columns})
@@ -263,13 +262,16 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "n_wor
     shared = docs.sparkSession.sparkContext.broadcast(keep)
     told = (named.mapInPandas(_window_map(shared, False), "shard int, pack binary").groupBy("shard")
             .applyInPandas(_window_reduce, "bucket int, pack binary")
-            .select("bucket", "pack", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("first")))
+            .select("bucket", "pack", F.lit(None).cast("string").alias("h"), F.lit(None).cast("string").alias("first")))
     if len(keep.hot):
         rows = named.mapInPandas(_window_map(shared, True), "h bigint, bucket int, low bigint, high bigint")
         by_bucket = rows.groupBy("h", "bucket").agg(F.max("high").alias("high"))
         first = rows.groupBy("h").agg(F.min("low").alias("first"))
         late = by_bucket.join(first, "h").filter("high > first")
-        told = told.union(late.select("bucket", F.lit(None).cast("binary"), "h", "first"))
-    types = {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept": "string", "kept_sha256": "string"}
-    return (keyed.groupBy("bucket").cogroup(told.groupBy("bucket"))
-            .applyInPandas(_remove(list(columns)), ", ".join(f"{c} {types[c]}" for c in columns)))
+        told = told.union(late.select("bucket", F.lit(None).cast("binary"), F.col("h").cast("string"), F.col("first").cast("string")))
+    types = {"none": "boolean", "doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept": "string", "kept_sha256": "string"}
+    made = ["none", *columns]
+    filled = keyed.select("bucket", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
+    out = (filled.groupBy("bucket").cogroup(told.groupBy("bucket"))
+           .applyInPandas(_remove(made), ", ".join(f"{c} {types[c]}" for c in made)))
+    return out.select(*[F.when(~F.col("none"), F.col(c)).alias(c) if c == "doc_id" else c for c in columns])
