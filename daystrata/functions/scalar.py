@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,12 +82,7 @@ def mix_sql(key: str, seed: int = 42) -> str:
     return f"(({b} * 1103515245 + 12345) % {HASH_MODULUS})"
 
 
-def bin_of(value: Column, edges: Column, most: int) -> Column:
-    """1-based histogram bin over at most ``most`` edges: half-open bins, the last one
-    closed; 0 below the first edge, NULL above the last.
-
-    Counting passed edges one by one keeps the test in generated code; a lambda over
-    the array would be interpreted.
-    """
-    passed = reduce(add, [F.coalesce((value >= F.get(edges, F.lit(i))).cast("int"), F.lit(0)) for i in range(most)])
+def bin_of(value: Column, edges: Column) -> Column:
+    """1-based histogram bin over all edges: half-open bins, the last one closed; 0 below the first edge, NULL above the last."""
+    passed = F.size(F.filter(edges, lambda e: value >= e))
     return F.when(value > F.element_at(edges, -1), None).otherwise(F.least(passed, F.size(edges) - 1))

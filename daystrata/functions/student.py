@@ -1,36 +1,34 @@
-"""Two-sided Student-t tail probability for regression p-values.
+"""Two-sided Student-t tail probability for whole degrees of freedom, as a column expression.
 
-Spark has no t distribution. The function runs on aggregated rows only (one per
-entity and metric), vectorised over the Arrow batch.
+The tail is a finite trigonometric sum then: with theta = atan(t / sqrt(n)), the central area is sin(theta) times a sum of
+even powers of cos(theta) for even n, and (2 / pi) (theta + sin(theta) times a sum of odd powers) for odd n.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _beta_tail(x: np.ndarray, a: np.ndarray, b: float) -> np.ndarray:
-    """Integral of the Beta(a, b) density on [0, x], by 400-point Gauss-Legendre in t = sin^2."""
-    nodes, weights = np.polynomial.legendre.leggauss(400)
-    upper = np.arcsin(np.sqrt(np.clip(x, 0, 1)))[:, None]
+import math
 
-    def area(limit):
-        theta = (nodes + 1) / 2 * limit
-        logs = (2 * a[:, None] - 1) * np.log(np.maximum(np.sin(theta), 1e-300))
-        other = (2 * b - 1) * np.log(np.maximum(np.cos(theta), 1e-300))
-        return (np.exp(logs + other) * weights).sum(axis=1) * limit[:, 0] / 2
-
-    return area(upper) / area(np.full_like(upper, np.pi / 2))
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    ok = t.notna() & dof.notna() & (dof > 0)
-    out = pd.Series(np.nan, index=t.index)
-    if ok.any():
-        tv, dv = t[ok].to_numpy(float), dof[ok].to_numpy(float)
-        out[ok] = np.where(np.isinf(tv), 0.0, _beta_tail(dv / (dv + np.where(np.isinf(tv), 0, tv) ** 2), dv / 2, 0.5))
-    return out.where(ok, None)
+def two_sided_p(t: Column, dof: Column) -> Column:
+    """NULL if t or the degrees of freedom are missing or below 1; 0 for an infinite t."""
+    n = dof.cast("int")
+    theta = F.atan(F.abs(t) / F.sqrt(n.cast("double")))
+    cos, odd = F.cos(theta), n % 2 == 1
+    terms = F.when(odd, (n - 1) / 2).otherwise(n / 2).cast("int")
+    # each term is the one before it times cos^2 and a ratio of neighbours
+    ratio = lambda k: F.when(odd, (2.0 * k) / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))
+    first = F.when(odd, cos).otherwise(F.lit(1.0))
+    start = F.struct(first.alias("term"), first.alias("sum"))
+
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * cos * cos * ratio(k)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    ks = F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>"))
+    series = F.when(terms > 0, F.aggregate(ks, start, step, lambda s: s["sum"])).otherwise(0.0)
+    area = F.when(odd, (theta + F.sin(theta) * series) * (2 / math.pi)).otherwise(F.sin(theta) * series)
+    p = F.greatest(F.lit(0.0), 1 - area)
+    return F.when(t.isNull() | F.isnan(t) | (n < 1) | n.isNull(), None).when(F.abs(t) == float("inf"), 0.0).otherwise(p)

@@ -51,15 +51,18 @@ def baseline(df: DataFrame, spec: PanelSpec, features: list[str], bins: int = 10
         high = F.get("_s", F.least(F.expr(f"{i} * _last div {bins} + 1").cast("int"), F.col("_last")))
         return low + (high - low) * (F.expr(f"{i} * _last % {bins}") / F.lit(float(bins)))
 
-    q = ordered.select(*keys, F.array_distinct(F.array(*[cut(i) for i in range(bins + 1)])).alias("_q"))
+    q = ordered.select(*keys, "_s", F.array_distinct(F.array(*[cut(i) for i in range(bins + 1)])).alias("_q"))
     inner = F.slice("_q", 2, F.size("_q") - 2)
     spread = F.concat(F.array(F.lit(-PSI_OUTER)), inner, F.array(F.lit(PSI_OUTER)))
     point = F.array(F.col("_q")[0] - 0.5, F.col("_q")[0] + 0.5)
-    # a one-element array must not reach slice with a negative length
-    edges = q.select(*keys, F.when(F.size("_q") < 2, point).otherwise(
-        F.when(F.size("_q") == 2, F.array(F.lit(-PSI_OUTER), F.lit(PSI_OUTER))).otherwise(spread)).alias("edges"))
-    placed = long.join(edges, keys).withColumn("bin", bin_of(F.col("value"), F.col("edges"), bins + 1))
-    return _bin_shares(placed, keys, ["edges"]).select(*keys, "edges", F.col("shares").alias("proportions"))
+    edges = F.when(F.size("_q") < 2, point).when(F.size("_q") == 2, F.array(F.lit(-PSI_OUTER), F.lit(PSI_OUTER))).otherwise(spread)
+    q = q.select(*keys, "_s", edges.alias("edges"))
+    # the group's sorted values are at hand: no second look at the rows
+    last = F.size("edges") - 1
+    inside = lambda i: F.size(F.filter("_s", lambda v: (v >= F.get("edges", i - 1)) & ((v < F.get("edges", i)) | ((i == last) & (v <= F.get("edges", i))))))
+    counts = q.withColumn("_n", F.transform(F.sequence(F.lit(1), last), inside))
+    total = F.greatest(F.aggregate("_n", F.lit(0), lambda a, x: a + x), F.lit(1))
+    return counts.select(*keys, "edges", F.transform("_n", lambda n: n / total).alias("proportions"))
 
 
 def level(psi: Column) -> Column:
@@ -73,11 +76,11 @@ def psi(observed: Column, expected: Column) -> Column:
     return F.aggregate(F.zip_with(observed, expected, term), F.lit(0.0), lambda a, x: a + x)
 
 
-def month_psi(recent: DataFrame, base: DataFrame, spec: PanelSpec, features: list[str], bins: int = 10) -> DataFrame:
-    """PSI per entity, month and feature; NULL where the baseline lacks the month."""
+def month_psi(recent: DataFrame, base: DataFrame, spec: PanelSpec, features: list[str]) -> DataFrame:
+    """PSI per entity, month and feature, with the baseline's own number of bins; NULL where it lacks the month."""
     keys = [spec.entity, *KEYS]
     placed = (long_rows(recent, spec, features).join(base.select(*keys, "edges", "proportions"), keys, "left")
-              .withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("edges"), bins + 1), F.lit(0))))
+              .withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("edges")), F.lit(0))))
     shares = _bin_shares(placed, keys, ["edges", "proportions"])
     return shares.select(*keys, "rows", F.when(F.col("proportions").isNotNull(), psi(F.col("shares"), F.col("proportions"))).alias("psi"))
 

@@ -55,7 +55,7 @@ def annual_trend(df: DataFrame, spec: PanelSpec, column: str, p_value: bool = Tr
         F.regr_r2("value", "year").alias("r2"), F.count("value").alias("n"))
     if not p_value:
         return fit
-    dof = (F.col("n") - 2).cast("double")
+    dof = F.col("n") - 2
     t = F.when(F.col("r2") < 1, F.sqrt(F.col("r2") * dof / (1 - F.col("r2")))).otherwise(F.lit(float("inf")))
     return fit.withColumn("p", two_sided_p(t, dof))
 
@@ -167,8 +167,10 @@ def five_numbers(df: DataFrame, column: str, by: list[Column]) -> DataFrame:
 
 def class_balance(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Totals, positives, percent and imbalance ratio for each key set and its totals (rollup)."""
-    return df.rollup(*keys).agg(*_balance(label)).withColumns(
-        {k: F.coalesce(F.col(k).cast("string"), F.lit("all")) for k in keys})
+    wide = df.rollup(*keys).agg(*_balance(label), *[F.grouping(k).alias(f"_all_{k}") for k in keys])
+    # a NULL key is a key; only the totals are called "all"
+    return wide.withColumns({k: F.when(F.col(f"_all_{k}") == 1, "all").otherwise(F.col(k).cast("string")) for k in keys}).drop(
+        *[f"_all_{k}" for k in keys])
 
 
 def _balance(label: str) -> list[Column]:

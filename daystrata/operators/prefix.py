@@ -8,39 +8,42 @@ spans (group, bucket). The result does not depend on where the cuts are.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: Rows of one bucket, about, and most buckets (their cuts are literals of the plan). No effect on a result.
+BUCKET_ROWS, MOST_BUCKETS = 250_000, 4096
+
+
+def buckets_for(rows: int) -> int:
+    return max(2, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the cluster's ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a local session gets a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="daystrata-ckpt-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def with_bucket(df: DataFrame, column: str, raw: DataFrame | None = None, out: str = "_bucket",
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Cut a numeric column at approximate quantiles of its non-null rows.
 
     ``approxQuantile`` is a mergeable sketch, so the driver gets ``buckets`` numbers
     and nothing else. The cuts become literals of the plan: a recomputed task
     cannot see different ones. They are taken from ``raw`` (the rows before ties
-    were collapsed) where given, which needs no shuffle.
+    were collapsed) where given, which needs no shuffle. Without ``buckets``, their
+    number follows from the rows.
     """
+    if buckets is None:
+        buckets = buckets_for((df if raw is None else raw).count())
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set((df if raw is None else raw).approxQuantile(column, probabilities, 1 / (2 * buckets))))
     splits = [float("-inf"), *cuts, float("inf")]

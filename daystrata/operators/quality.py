@@ -43,18 +43,19 @@ def date_gaps(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def missing_dates(df: DataFrame, spec: PanelSpec, start: str, end: str) -> DataFrame:
-    """Dates of the expected range an entity lacks, produced from its gaps and its two ends."""
+    """Dates of the expected range that an entity of the panel lacks: its gaps, its two ends, or the whole range if it has
+    no row in it."""
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    d, w = F.col(spec.date), _order(spec)
-    inside = df.filter(d.between(first, last)).select(
-        spec.entity, d, F.lag(d, 1).over(w).alias("_prev"), F.lead(d, 1).over(w).alias("_next"))
-    before = F.datediff(d, F.coalesce(F.col("_prev"), F.date_sub(first, 1))) - 1
-    after = F.when(F.col("_next").isNull(), F.datediff(last, d)).otherwise(0)
-    hidden = inside.select(spec.entity, d, before.alias("_b"), after.alias("_a"))
-    seq = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), f)).otherwise(F.array().cast("array<date>"))
-    gaps = F.concat(seq(F.col("_b"), lambda k: F.date_sub(d, k.cast("int"))),
-                    seq(F.col("_a"), lambda k: F.date_add(d, k.cast("int"))))
-    return hidden.select(spec.entity, F.explode(gaps).alias(spec.date))
+    d = F.col(spec.date)
+    here = F.when(d.between(first, last), d)
+    prev = F.lag(d, 1).over(_order(spec))
+    gap = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<date>"))
+    inner = df.filter(here.isNotNull()).select(spec.entity, d, prev.alias("_prev")).filter(F.datediff(d, "_prev") > 1).select(
+        spec.entity, F.explode(gap(F.date_add("_prev", 1), F.date_sub(d, 1))).alias(spec.date))
+    ends = df.groupBy(spec.entity).agg(F.min(here).alias("_a"), F.max(here).alias("_z"))
+    outer = F.when(F.col("_a").isNull(), gap(first, last)).otherwise(
+        F.concat(gap(first, F.date_sub("_a", 1)), gap(F.date_add("_z", 1), last)))
+    return inner.union(ends.select(spec.entity, F.explode(outer).alias(spec.date)))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,6 +170,26 @@ def split_leakage(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return x.withColumn("ok", ok)
 
 
+def global_split_order(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Over all entities: the ranges of the splits, in order and apart. ``ok`` is NULL for a split without rows."""
+    d = F.col(spec.date)
+    bounds = [f.alias(f"{s}_{n}") for s in ("train", "val", "test") for n, f in (
+        ("min", F.min(F.when(F.col("split") == s, d))), ("max", F.max(F.when(F.col("split") == s, d))))]
+    x = df.agg(*bounds)
+    pairs = [("train", "val"), ("val", "test"), ("train", "test")]
+    rows = [F.struct(F.lit(a).alias("earlier"), F.lit(b).alias("later"), F.col(f"{a}_max").alias("last_earlier"),
+                     F.col(f"{b}_min").alias("first_later"), (F.col(f"{a}_max") < F.col(f"{b}_min")).alias("ok")) for a, b in pairs]
+    return x.select(F.inline(F.array(*rows)))
+
+
+def null_context(df: DataFrame, spec: PanelSpec, column: str, source: str, window: int) -> DataFrame:
+    """Each null of ``column`` with count, mean and deviation of ``source`` in the ``window`` rows before it: why it is null."""
+    before = _order(spec).rowsBetween(-window, -1)
+    x = df.select(spec.entity, spec.date, column, F.count(source).over(before).alias("window_n"),
+                  F.avg(source).over(before).alias("window_mean"), F.stddev_samp(source).over(before).alias("window_std"))
+    return x.filter(F.col(column).isNull()).drop(column)
+
+
 def split_overlap(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Keys that occur in more than one split."""
     k = df.groupBy(spec.entity, spec.date).agg(F.count_distinct("split").alias("splits"))
@@ -198,37 +219,43 @@ def label_integrity(labelled: DataFrame, spec: PanelSpec, min_run: int) -> DataF
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive checksum of a table: equal before and after a job that must not touch it."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("checksum"))
+    """Order-insensitive checksum of a table: equal before and after a job that must not touch it.
+
+    The first 15 hex digits of each row's MD5 are summed, so any engine can check it.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"))
 
 
 def checklist(df: DataFrame, spec: PanelSpec, contract: list[str], low: int, high: int) -> DataFrame:
-    """Final pass/fail table of the model input, from two aggregations."""
+    """Final pass/fail table of the model input, from two aggregations. Contract columns that are absent fail
+    ``feature_count`` (its value is how many are present); the others are still checked."""
+    present = [c for c in contract if c in df.columns]
+    null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in present], F.lit(False))
+    good = F.coalesce(F.col(spec.target).isin(0, 1), F.lit(False)) if spec.target in df.columns else F.lit(False)
     per_key = df.groupBy(spec.entity, spec.date).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in contract])).alias("_null"),
-        F.max(~F.coalesce(F.col(spec.target).isin(0, 1), F.lit(False))).alias("_bad"))
-    facts = per_key.agg(F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("dup"),
+        F.count(F.lit(1)).alias("_n"), F.max(null).alias("_null"), F.max(~good).alias("_bad"))
+    facts = per_key.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if(F.col("_n") > 1).alias("dup"),
                         F.count_if(F.col("_null")).alias("nulls"), F.count_if(F.col("_bad")).alias("bad"))
-    missing = len([c for c in contract if c not in df.columns])
     entries = [("row_count_in_range", F.col("rows").between(low, high), F.col("rows")),
                ("unique_keys", F.col("dup") == 0, F.col("dup")), ("complete_features", F.col("nulls") == 0, F.col("nulls")),
                ("binary_target", F.col("bad") == 0, F.col("bad")),
-               ("feature_count", F.lit(missing == 0), F.lit(len(contract)).cast("bigint"))]
+               ("feature_count", F.lit(len(present) == len(contract)), F.lit(len(present)).cast("bigint"))]
     rows = [F.struct(F.lit(n).alias("check"), ok.alias("ok"), v.cast("bigint").alias("value")) for n, ok, v in entries]
     return facts.select(F.inline(F.array(*rows)))
 
 
-def leakage(df: DataFrame, spec: PanelSpec, cutoffs: Column, compute, columns: list[str], history: int = 40) -> DataFrame:
+def leakage(df: DataFrame, spec: PanelSpec, cutoffs: Column, compute, columns: list[str], history: int | None = None) -> DataFrame:
     """Recompute features on the panel cut off after sampled dates and compare row T.
 
-    ``cutoffs`` marks the rows T to audit; each audited row gets the last ``history``
-    rows of its entity up to T, as a separate group, so the cost is audited rows x
-    history. ``compute(panel, keys)`` builds the features for a frame whose entity
+    ``cutoffs`` marks the rows T to audit; each audited row gets all rows of its entity up
+    to T as a separate group, or the last ``history`` ones if no feature looks back
+    further. The cost is audited rows x history. ``compute(panel, keys)`` builds the features for a frame whose entity
     column is replaced by the (entity, T) pair. A difference means the feature at T
     depends on later rows.
     """
-    ahead = _order(spec).rowsBetween(0, history - 1)
+    ahead = _order(spec).rowsBetween(0, Window.unboundedFollowing if history is None else history - 1)
     # each row learns which audited dates have it in their history: a short list of dates
     cuts = F.collect_list(F.when(cutoffs, F.col(spec.date))).over(ahead)
     own = [c for c in df.columns if c != spec.entity]

@@ -1,7 +1,7 @@
 """Risk levels, advice and expert rules as row-level expressions.
 
-A rule is a struct (rule_id, name, triggered, severity, message). A missing input
-never triggers a rule.
+A rule is a struct (rule_id, name, description, triggered, severity, message,
+threshold_note). A missing input never triggers a rule.
 """
 
 from __future__ import annotations
@@ -20,67 +20,44 @@ HYDRATION_P, HYDRATION_TMAX = 0.30, 35.0
 WARM_DEPARTURE, OVERLAY_P, OVERLAY_CRITICAL = 3.0, 0.6, 0.8
 SEVERITY_ORDER = ("INFO", "WARNING", "CRITICAL")
 
-# Advice categories per level, in order, each with a one-line text.
-ADVICE = {
-    "LOW": (
-        ("Hydration", "Keep to your usual fluid intake."),
-        ("Outdoor Exposure", "No limits; light clothes and a hat help at midday."),
-        ("Public Awareness", "Follow the local forecast."),
-    ),
-    "MODERATE": (
-        ("Hydration", "Drink more water and go easy on caffeine and alcohol."),
-        ("Outdoor Exposure", "Shorten outdoor activity between 11:00 and 16:00 and rest in the shade."),
-        ("Cooling", "Use fans, damp cloths or cool showers; air the rooms."),
-        ("Vulnerable Populations", "Look in on older neighbours, small children and the chronically ill."),
-        ("Public Awareness", "Watch for notices of local authorities."),
-    ),
-    "HIGH": (
-        ("Hydration", "Drink often, before you are thirsty; add electrolytes when sweating a lot."),
-        ("Outdoor Exposure", "Stay in between 11:00 and 17:00; move hard work to the early or late hours."),
-        ("Cooling", "Use air conditioning or a cooling centre; shade sunny windows."),
-        ("Vulnerable Populations", "Check on older people, infants, pregnant women and patients; secure a cool room and drinks."),
-        ("Workplace", "Add rest breaks, shade and water; postpone outdoor jobs that can wait."),
-        ("Public Awareness", "Share cooling places and the signs of heat illness."),
-    ),
-    "EXTREME": (
-        ("Hydration", "Drink all day, two to three litres unless a doctor limits it; avoid alcohol and caffeine."),
-        ("Outdoor Exposure", "Go out only if you must, and briefly."),
-        ("Cooling", "Spend the hottest hours in a cooled place; cool wrists, neck and forehead."),
-        ("Vulnerable Populations", "Bring people at risk to a cool place and check on them every few hours."),
-        ("Workplace", "Suspend heavy outdoor work in the peak hours; train crews to spot heat illness."),
-        ("Emergency Preparedness", "Know the nearest hospital and the signs of heatstroke; call for help early."),
-        ("Public Awareness", "Pass the warning on, above all to people living alone."),
-    ),
+# Advice categories per level, in order. The messages are a table of the caller.
+ADVICE_CATEGORIES = {
+    "LOW": ("Hydration", "Outdoor Exposure", "Public Awareness"),
+    "MODERATE": ("Hydration", "Outdoor Exposure", "Cooling", "Vulnerable Populations", "Public Awareness"),
+    "HIGH": ("Hydration", "Outdoor Exposure", "Cooling", "Vulnerable Populations", "Workplace", "Public Awareness"),
+    "EXTREME": ("Hydration", "Outdoor Exposure", "Cooling", "Vulnerable Populations", "Workplace", "Emergency Preparedness",
+                "Public Awareness"),
 }
 
 
-def advice_table(spark: SparkSession) -> DataFrame:
-    """(level, ordinal, category, message): 21 fixed rows."""
-    rows = [(level, i, c, m) for level, items in ADVICE.items() for i, (c, m) in enumerate(items, 1)]
+def advice_table(spark: SparkSession, messages: dict[tuple[str, str], str]) -> DataFrame:
+    """(level, ordinal, category, message) of the fixed categories; ``messages`` by level and category, missing ones are NULL."""
+    rows = [(level, i, c, messages.get((level, c))) for level, names in ADVICE_CATEGORIES.items() for i, c in enumerate(names, 1)]
     return spark.createDataFrame(rows, "level string, ordinal int, category string, message string")
 
 
-def advice(level: Column) -> Column:
+def advice(level: Column, messages: dict[tuple[str, str], str]) -> Column:
     """The ordered advice of a level as an array of structs (a literal lookup, no join)."""
-    table = {k: F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("message")) for c, m in items])
-             for k, items in ADVICE.items()}
-    out = F.when(level == "LOW", table["LOW"])
-    for name in ("MODERATE", "HIGH", "EXTREME"):
-        out = out.when(level == name, table[name])
+    out = F.when(level.isNull(), None)
+    for name, categories in ADVICE_CATEGORIES.items():
+        out = out.when(level == name, F.array(*[
+            F.struct(F.lit(c).alias("category"), F.lit(messages.get((name, c))).cast("string").alias("message")) for c in categories]))
     return out
 
 
-def recommend(df: DataFrame, level: str = "risk_level") -> DataFrame:
+def recommend(df: DataFrame, messages: dict[tuple[str, str], str], level: str = "risk_level") -> DataFrame:
     """One row per input row and recommendation."""
-    table = advice_table(df.sparkSession).withColumnRenamed("level", level)
+    table = advice_table(df.sparkSession, messages).withColumnRenamed("level", level)
     return df.join(F.broadcast(table), level)  # 21 rows
 
 
-def _rule(number: str, name: str, when: Column, severity: Column | str, text: Column) -> Column:
+def _rule(number: str, name: str, when: Column, severity: Column | str, text: Column, note: str) -> Column:
+    """``note`` names the inputs and limits; the description is made of it."""
     hit = F.coalesce(when, F.lit(False))
     sev = F.lit(severity) if isinstance(severity, str) else severity
-    return F.struct(F.lit(number).alias("rule_id"), F.lit(name).alias("name"), hit.alias("triggered"),
-                    sev.alias("severity"), F.when(hit, text).otherwise("").alias("message"))
+    return F.struct(F.lit(number).alias("rule_id"), F.lit(name).alias("name"), F.lit(f"{name}: fires if {note}.").alias("description"),
+                    hit.alias("triggered"), sev.alias("severity"), F.when(hit, text).otherwise("").alias("message"),
+                    F.lit(note).alias("threshold_note"))
 
 
 def absolute_rules(zone: Column, tmax: Column, tmin: Column, roll7: Column, departure: Column, zscore: Column,
@@ -91,21 +68,24 @@ def absolute_rules(zone: Column, tmax: Column, tmin: Column, roll7: Column, depa
     graded = F.when(level == "EXTREME", "CRITICAL").otherwise("WARNING")
     return F.array(
         _rule("RULE_01", "Extreme Temperature", tmax >= limit, "CRITICAL",
-              F.format_string("Maximum %.1f reaches the extreme limit of %.0f.", tmax, limit)),
+              F.format_string("Maximum %.1f reaches the extreme limit of %.0f.", tmax, limit),
+              f"tmax >= {EXTREME_PLAINS:g} (coastal {EXTREME_COASTAL:g})"),
         _rule("RULE_02", "Persistent Heat", (tmax >= PERSISTENT_TMAX) & (roll7 >= PERSISTENT_ROLL7), "WARNING",
-              F.format_string("Maximum %.1f after a week averaging %.1f.", tmax, roll7)),
+              F.format_string("Maximum %.1f after a week averaging %.1f.", tmax, roll7),
+              f"tmax >= {PERSISTENT_TMAX:g} and 7-day mean >= {PERSISTENT_ROLL7:g}"),
         _rule("RULE_03", "High Nighttime Temperature", tmin >= NIGHT_TMIN, "WARNING",
-              F.format_string("Night minimum %.1f gives little recovery.", tmin)),
+              F.format_string("Night minimum %.1f gives little recovery.", tmin), f"tmin >= {NIGHT_TMIN:g}"),
         _rule("RULE_04", "Compounded Heat Stress",
               (tmax >= COMPOUND_TMAX) & (departure >= COMPOUND_DEPARTURE) & (zscore >= COMPOUND_Z), "WARNING",
-              F.format_string("Maximum %.1f, departure %.2f and z-score %.2f are high together.", tmax, departure, zscore)),
+              F.format_string("Maximum %.1f, departure %.2f and z-score %.2f are high together.", tmax, departure, zscore),
+              f"tmax >= {COMPOUND_TMAX:g}, departure >= {COMPOUND_DEPARTURE:g} and z-score >= {COMPOUND_Z:g}"),
         _rule("RULE_05", "Vulnerable Population Alert", elevated, graded,
-              F.concat(F.lit("Risk is "), level, F.lit(": check on people at risk."))),
+              F.concat(F.lit("Risk is "), level, F.lit(": check on people at risk.")), "risk level is HIGH or EXTREME"),
         _rule("RULE_06", "Outdoor Exposure Warning", elevated, graded,
-              F.concat(F.lit("Risk is "), level, F.lit(": avoid the hours from 11:00 to 17:00 outdoors."))),
+              F.concat(F.lit("Risk is "), level, F.lit(": avoid the hours from 11:00 to 17:00 outdoors.")), "risk level is HIGH or EXTREME"),
         _rule("RULE_07", "Hydration and Cooling Reminder",
               F.coalesce(p >= HYDRATION_P, F.lit(False)) | F.coalesce(tmax >= HYDRATION_TMAX, F.lit(False)), "INFO",
-              F.lit("Drink regularly and keep cool.")))
+              F.lit("Drink regularly and keep cool."), f"probability >= {HYDRATION_P:g} or tmax >= {HYDRATION_TMAX:g}"))
 
 
 def relative_rules(qualifying: Column, lagged: Column, tmax: Column, p90: Column, departure: Column, p: Column) -> Column:
@@ -113,13 +93,13 @@ def relative_rules(qualifying: Column, lagged: Column, tmax: Column, p90: Column
     hot = qualifying == 1
     return F.array(
         _rule("EU_01", "Above local hot-day percentile", hot, "WARNING",
-              F.format_string("Maximum %.1f is above the local percentile %.1f.", tmax, p90)),
+              F.format_string("Maximum %.1f is above the local percentile %.1f.", tmax, p90), "the day qualifies by the local percentile"),
         _rule("EU_02", "Persistent local heat", hot & (F.coalesce(lagged, F.lit(0)) != 0), "CRITICAL",
-              F.lit("Locally exceptional heat continues.")),
+              F.lit("Locally exceptional heat continues."), "the day qualifies and the day before was labelled"),
         _rule("EU_03", "Unusually warm conditions", departure >= WARM_DEPARTURE, "WARNING",
-              F.format_string("Maximum is %.1f above the local normal.", departure)),
+              F.format_string("Maximum is %.1f above the local normal.", departure), f"departure >= {WARM_DEPARTURE:g}"),
         _rule("EU_04", "Model risk overlay", p >= OVERLAY_P, F.when(p >= OVERLAY_CRITICAL, "CRITICAL").otherwise("WARNING"),
-              F.lit("The model sees an elevated risk for the next day.")))
+              F.lit("The model sees an elevated risk for the next day."), f"probability >= {OVERLAY_P:g} (critical from {OVERLAY_CRITICAL:g})"))
 
 
 def fired(rules: Column, severity: str | None = None) -> Column:
@@ -128,9 +108,10 @@ def fired(rules: Column, severity: str | None = None) -> Column:
 
 
 def highest_severity(rules: Column) -> Column:
-    order = F.array(*[F.lit(s) for s in SEVERITY_ORDER])
-    top = F.array_max(F.transform(fired(rules), lambda r: F.array_position(order, r["severity"])))
-    return F.try_element_at(order, top.cast("int"))
+    """NULL if no rule fired."""
+    rank = F.aggregate(rules, F.lit(0), lambda top, r: F.greatest(top, F.when(r["triggered"], F.when(r["severity"] == "CRITICAL", 3)
+                       .when(r["severity"] == "WARNING", 2).otherwise(1)).otherwise(0)))
+    return F.when(rank == 3, SEVERITY_ORDER[2]).when(rank == 2, SEVERITY_ORDER[1]).when(rank == 1, SEVERITY_ORDER[0])
 
 
 def summarise(df: DataFrame, rules: str = "rules") -> DataFrame:

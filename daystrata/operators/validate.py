@@ -29,8 +29,10 @@ def as_number(c: Column) -> Column:
     return F.when(~F.isnan(n), n)
 
 
-def _names(flags: dict[str, Column], limit: int) -> Column:
-    return F.slice(F.array_compact(F.array(*[F.when(f, F.lit(c)) for c, f in flags.items()])), 1, limit)
+def _names(flags: dict[str, Column]) -> Column:
+    """All of them; a caller may shorten the list."""
+    names = [F.when(f, F.lit(c)) for c, f in flags.items()]
+    return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
 
 
 def validate(df: DataFrame, entity: str, date: str, fields: list[str], required: list[str] | None = None,
@@ -55,20 +57,22 @@ def validate(df: DataFrame, entity: str, date: str, fields: list[str], required:
     errors = F.array_compact(F.array(
         F.when(F.col("entity_clean").isNull(), F.concat(F.lit("unknown_entity:"), F.coalesce(F.col(entity).cast("string"), F.lit("")))),
         F.when(F.col("date_clean").isNull(), F.concat(F.lit("bad_date:"), F.coalesce(F.col(date).cast("string"), F.lit("")))),
-        listed("missing_value", _names(lost, 10)), listed("not_numeric", _names(text, 10))))
+        listed("missing_value", _names(lost)), listed("not_numeric", _names(text))))
     year = F.year("date_clean")
     warnings = F.array_compact(F.array(
         F.when(~year.between(*YEAR_RANGE), F.concat(F.lit("year_out_of_range:"), year.cast("string"))),
-        listed("out_of_range", _names(out, len(out) or 1))))
+        listed("out_of_range", _names(out))))
     return clean.withColumns({"errors": errors, "warnings": warnings}).withColumn("valid", F.size("errors") == 0)
 
 
-def flag_duplicates(validated: DataFrame) -> DataFrame:
-    """Warn on repeated (entity, date). Counted by aggregation and joined back, so that many
-    copies of one key stay spread over tasks."""
+def flag_duplicates(validated: DataFrame, salts: int = 16) -> DataFrame:
+    """Warn on repeated (entity, date). Counted by aggregation and joined back on the key and a salt (a hash of the row), so
+    that the copies of one key are dealt over ``salts`` tasks."""
     keys = ["entity_clean", "date_clean"]
     copies = validated.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
-    marked = validated.join(copies, keys, "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*[c for c, t in validated.dtypes if "map<" not in t]), F.lit(salts)).cast("int")
+    marked = validated.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
     return marked.withColumn("warnings", F.when(F.col("_copies") > 1, F.array_append("warnings", F.lit("duplicate_key")))
                              .otherwise(F.col("warnings"))).drop("_copies")
 

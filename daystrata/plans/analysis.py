@@ -13,14 +13,14 @@ from daystrata.operators import rules as rl
 from daystrata.spec import DECISION_THRESHOLD
 
 
-def analyse(validated: DataFrame, probability: Column, inputs: dict[str, str]) -> DataFrame:
+def analyse(validated: DataFrame, probability: Column, inputs: dict[str, str], messages: dict[tuple[str, str], str]) -> DataFrame:
     """``validated`` carries valid, errors and warnings. ``inputs`` maps zone, tmax, tmin,
-    roll7, departure and zscore to columns."""
+    roll7, departure and zscore to columns; ``messages`` are the advice texts by level and category."""
     ok = F.col("valid")
     x = validated.withColumn("probability", F.when(ok, probability))
     x = rl.assess_risk(x)
     x = x.withColumn("prediction", (F.col("probability") >= DECISION_THRESHOLD).cast("int"))
-    x = x.withColumn("recommendations", rl.advice(F.col("risk_level")))
+    x = x.withColumn("recommendations", rl.advice(F.col("risk_level"), messages))
     rules = rl.absolute_rules(*[F.col(inputs[k]) for k in ("zone", "tmax", "tmin", "roll7", "departure", "zscore")],
                               F.col("risk_level"), F.col("probability"))
     x = rl.summarise(x.withColumn("rules", F.when(ok, rules)))

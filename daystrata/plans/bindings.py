@@ -113,7 +113,7 @@ def doc_scores(spark, sf) -> DataFrame:
     """Score table with ties: label = toxic, score = length of the document."""
     return (table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
             .select("doc_id", F.col("lang").alias("entity"), F.col("toxic").cast("int").alias("label"),
-                    (F.least(F.col("n_chars"), F.lit(8192)) / 8192.0).alias("p")))
+                    (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("p")))
 
 
 CTES: dict[str, str] = {
@@ -149,7 +149,7 @@ CTES: dict[str, str] = {
                l_orderkey, l_linenumber
         FROM lineitem""",
     "doc_scores": """
-        SELECT doc_id, lang AS entity, toxic AS label, least(n_chars, 8192)::DOUBLE / 8192.0::DOUBLE AS p
+        SELECT doc_id, lang AS entity, toxic AS label, n_chars::DOUBLE / (n_chars + 1000.0::DOUBLE) AS p
         FROM labels JOIN documents USING (doc_id)""",
     # climatology of the supplier panel: doy means -> all days -> circular mean
     "doy_means": f"""

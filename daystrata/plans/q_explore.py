@@ -47,7 +47,19 @@ def _(spark, sf):
     return ex.annual_trend(supplier_daily(spark, sf), SUPPLIER, "v", p_value=False)
 
 
-@query("f4_annual_trend_p", "entity:i metric:s slope:f intercept:g r2:f p:f")
+@query("f4_annual_trend_p", "entity:i metric:s slope:f intercept:f r2:f p:f", """
+    WITH y AS (SELECT entity, year(date)::DOUBLE AS year, avg(v) AS mean, max(v) AS max, min(v) AS min FROM supplier_daily GROUP BY 1, 2),
+    l AS (SELECT entity, year, 'mean' AS metric, mean AS value FROM y UNION ALL SELECT entity, year, 'max', max FROM y
+          UNION ALL SELECT entity, year, 'min', min FROM y),
+    f AS (SELECT entity, metric, regr_slope(value, year) AS slope, regr_intercept(value, year) AS intercept,
+            regr_r2(value, year) AS r2, count(value) - 2 AS n FROM l GROUP BY 1, 2),
+    a AS (SELECT *, atan(sqrt(r2 / (1 - r2))) AS th FROM f),
+    s AS (SELECT *, CASE WHEN n % 2 = 0
+            THEN sin(th) * list_sum(list_transform(range(0, n // 2), lambda k: pow(cos(th), 2 * k) * gamma(k + 0.5) / (sqrt(pi()) * gamma(k + 1.0))))
+            ELSE (th + sin(th) * coalesce(list_sum(list_transform(range(0, (n - 1) // 2),
+                 lambda k: pow(cos(th), 2 * k + 1) * sqrt(pi()) * gamma(k + 1.0) / (2 * gamma(k + 1.5)))), 0)) * 2 / pi() END AS area
+          FROM a WHERE n > 0)
+    SELECT entity, metric, slope, intercept, r2, greatest(0, 1 - area) AS p FROM s""", ("supplier_daily",))
 def _(spark, sf):
     return ex.annual_trend(supplier_daily(spark, sf), SUPPLIER, "v")
 
@@ -187,13 +199,16 @@ def _(spark, sf):
 
 
 @query("f19_class_balance", "split:s entity:s total:i positives:i negatives:i positive_pct:f imbalance:f", """
-    SELECT coalesce(split, 'all') AS split, coalesce(CAST(entity AS VARCHAR), 'all') AS entity, count(label) AS total,
+    SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split,
+           CASE WHEN grouping(entity) = 1 THEN 'all' ELSE CAST(entity AS VARCHAR) END AS entity, count(label) AS total,
            sum(label) AS positives, count(label) - sum(label) AS negatives, sum(label) * 100.0 / count(label) AS positive_pct,
            CASE WHEN sum(label) > 0 THEN (count(label) - sum(label))::DOUBLE / sum(label) END AS imbalance
-    FROM (SELECT *, CASE WHEN year(date) <= 1999 THEN 'train' WHEN year(date) <= 2000 THEN 'val' ELSE 'test' END AS split
-          FROM labelled) GROUP BY ROLLUP (split, entity)""", ("labelled",))
+    FROM (SELECT label, CASE WHEN year(date) <= 1999 THEN 'train' WHEN year(date) <= 2000 THEN 'val' ELSE 'test' END AS split,
+            CASE WHEN entity % 10 <> 3 THEN entity END AS entity FROM labelled) GROUP BY ROLLUP (split, entity)""", ("labelled",))
 def _(spark, sf):
-    return ex.class_balance(panels.splits_by_year(panels.labelled(spark, sf)), "label", ["split", "entity"])
+    # some entities are unknown
+    rows = panels.splits_by_year(panels.labelled(spark, sf)).withColumn("entity", F.when(F.col("entity") % 10 != 3, F.col("entity")))
+    return ex.class_balance(rows, "label", ["split", "entity"])
 
 
 @query("f20_yearly_counts", "entity:i " + " ".join(f"y{y}:i" for y in range(1995, 2002)),

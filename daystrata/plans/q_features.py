@@ -56,7 +56,12 @@ KEY = "(entity * 100000 + (date - DATE '1970-01-01'))"
 def _slice(columns):
     def run(spark, sf):
         return panels.featured(spark, sf)
-    return f"entity:i date:d {' '.join(c + ':f' for c in columns)}", run
+    return f"entity:i date:d {_digits(columns)}", run
+
+
+def _digits(columns):
+    """Normals (and what is made of them) are means of means: some lie halfway between two values of six digits."""
+    return " ".join(f"{c}:{'e' if c == 'normal' or c.startswith('departure') and 'zscore' not in c else 'f'}" for c in columns)
 
 
 for _name, _cols in {
@@ -67,7 +72,7 @@ for _name, _cols in {
     query(_name, _decl, "SELECT * FROM featured", ("featured",))(_run)
 
 
-@query("e21_feature_table", "entity:i date:d target:i " + " ".join(f"{c}:f" for c in SUPPLIER.contract()),
+@query("e21_feature_table", "entity:i date:d target:i " + _digits(SUPPLIER.contract()),
        "SELECT * FROM trimmed", ("trimmed",))
 def feature_table(spark, sf):
     return ft.trim(panels.featured(spark, sf))

@@ -19,7 +19,7 @@ def _(spark, sf):
     return cl.fill_days(cl.doy_means(supplier_daily(spark, sf), SUPPLIER, BASE_START, BASE_END), SUPPLIER)
 
 
-@query("d3_circular_normals", "entity:i doy:i normal:f", "SELECT * FROM normals", ("normals",))
+@query("d3_circular_normals", "entity:i doy:i normal:e", "SELECT * FROM normals", ("normals",))
 def _(spark, sf):
     return cl.normals(supplier_daily(spark, sf), SUPPLIER, BASE_START, BASE_END)
 
@@ -33,24 +33,22 @@ def _(spark, sf):
     return cl.pooled_normals(orders_daily(spark, sf), ORDERS, BASE_START, BASE_END)
 
 
-@query("j1_d6_departure", "entity:i date:d v:f normal:f departure:f", "SELECT * FROM departed", ("departed",))
+@query("j1_d6_departure", "entity:i date:d v:e normal:e departure:e", "SELECT * FROM departed", ("departed",))
 def _(spark, sf):
     return panels.departed(spark, sf)
 
 
 @query("j2_nearest_normals", "entity:i doy:i normal:f", """
-    WITH known AS (SELECT entity, doy, mean FROM doy_means WHERE doy % 40 < 4),
-    want AS (SELECT e.entity, d.doy FROM (SELECT DISTINCT entity FROM known) e
-             CROSS JOIN (SELECT unnest(range(1, 367)) AS doy) d),
-    cand AS (SELECT w.entity, w.doy, k.mean, row_number() OVER (PARTITION BY w.entity, w.doy ORDER BY
-               CASE WHEN o = 0 THEN 0 WHEN o > 0 THEN 2 * o - 1 ELSE -2 * o END) AS rn
-             FROM want w CROSS JOIN (SELECT unnest(range(-14, 15)) AS o) x
-             JOIN known k ON k.entity = w.entity AND k.doy = (w.doy + o - 1 + 366) % 366 + 1)
-    SELECT w.entity, w.doy, coalesce(c.mean, 35.0) AS normal
-    FROM want w LEFT JOIN cand c ON c.entity = w.entity AND c.doy = w.doy AND c.rn = 1""", ("doy_means",))
+    WITH known AS (SELECT entity, doy, mean FROM doy_means WHERE (doy + entity) % 40 >= 31 OR mean > 58),
+    near AS (SELECT entity, (doy + o - 1 + 366) % 366 + 1 AS doy,
+               arg_min(mean, CASE WHEN o = 0 THEN 0 WHEN o < 0 THEN -2 * o - 1 ELSE 2 * o END) AS mean
+             FROM known, (SELECT unnest(range(-14, 15)) AS o) GROUP BY 1, 2)
+    SELECT e.entity, d.doy, coalesce(mean, 35.0) AS normal FROM (SELECT DISTINCT entity FROM known) e
+    CROSS JOIN (SELECT unnest(range(1, 367)) AS doy) d LEFT JOIN near n ON n.entity = e.entity AND n.doy = d.doy""", ("doy_means",))
 def _(spark, sf):
-    # a table with holes: only some days of year are kept
-    means = cl.doy_means(supplier_daily(spark, sf), SUPPLIER, BASE_START, BASE_END).filter("doy % 40 < 4")
+    # a table with holes of several widths, wider than the search at places
+    means = cl.doy_means(supplier_daily(spark, sf), SUPPLIER, BASE_START, BASE_END)
+    means = means.filter("pmod(doy + entity, 40) >= 31 OR mean > 58")
     return cl.nearest_normals(means.withColumnRenamed("mean", SUPPLIER.normal), SUPPLIER)
 
 

@@ -132,8 +132,8 @@ def two_models(spark, sf):
     """A daily panel with two scores for one label."""
     o = orders_daily(spark, sf)
     return o.select("entity", "date", (F.col("v") >= 270).cast("int").alias("label"),
-                    (F.least(F.col("v"), F.lit(512.0)) / 512).alias("p_ref"),
-                    (F.least(F.col("v") * 0.7 + F.col("n") * 20, F.lit(512.0)) / 512).alias("p_cmp"))
+                    (F.col("v") / (F.col("v") + 256.0)).alias("p_ref"),
+                    ((F.col("v") * 0.7 + F.col("n") * 20) / (F.col("v") * 0.7 + F.col("n") * 20 + 256.0)).alias("p_cmp"))
 
 
 @query("i15_block_bootstrap", "metric:s mean_diff:f lower:f upper:f draws:i includes_zero:b")
@@ -202,13 +202,13 @@ def _(spark, sf):
 
 _ENSEMBLE = """
     runs AS (SELECT l_orderkey, l_linenumber, p, l_orderkey % 1 AS r FROM scored UNION ALL
-             SELECT l_orderkey, l_linenumber, p * 0.5, 1 FROM scored UNION ALL SELECT l_orderkey, l_linenumber, p * 0.75, 2 FROM scored),
+             SELECT l_orderkey, l_linenumber, p * 0.5, 1 FROM scored UNION ALL SELECT l_orderkey, l_linenumber, p * 0.9, 2 FROM scored),
     rows AS (SELECT l_orderkey, l_linenumber, avg(p) AS p, stddev_pop(p) AS spread, count(p) AS runs FROM runs GROUP BY 1, 2)"""
 
 
 def _ensemble(spark, sf):
     s = scored(spark, sf).select("l_orderkey", "l_linenumber", "p")
-    runs = s.withColumn("p", F.explode(F.array(F.col("p"), F.col("p") * 0.5, F.col("p") * 0.75)))
+    runs = s.withColumn("p", F.explode(F.array(F.col("p"), F.col("p") * 0.5, F.col("p") * 0.9)))
     return rs.ensemble(runs, ["l_orderkey", "l_linenumber"])
 
 

@@ -46,10 +46,10 @@ def _(spark, sf):
 
 @query("c4_missing_dates", "entity:i date:d", """
     SELECT entity, date FROM (SELECT DISTINCT entity FROM events_daily)
-    CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date)
+    CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-03', DATE '2024-01-08', INTERVAL 1 DAY)) AS DATE) AS date)
     EXCEPT SELECT entity, date FROM events_daily""", ("events_daily",))
 def _(spark, sf):
-    return qa.missing_dates(events_daily(spark, sf), SUPPLIER, "2024-01-01", "2024-01-31")
+    return qa.missing_dates(events_daily(spark, sf), SUPPLIER, "2024-01-03", "2024-01-08")
 
 
 @query("c5_duplicate_keys", "l_orderkey:i l_linenumber:i copies:i", """
@@ -82,14 +82,17 @@ def _(spark, sf):
     return qa.null_profile(holed(spark, sf), VARS, ["entity"])
 
 
-@query("c6_null_matrix", "column:s low:i urgent:i", """
-    SELECT 'c' AS "column", count(*) FILTER (entity = '5-LOW' AND c IS NULL) AS low,
-           count(*) FILTER (entity = '1-URGENT' AND c IS NULL) AS urgent
-    FROM (SELECT entity, CASE WHEN v >= 250 THEN v END AS c FROM orders_daily)""", ("orders_daily",))
+PRIORITIES = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unspecified": "4-NOT SPECIFIED", "low": "5-LOW"}
+
+
+@query("c6_null_matrix", "column:s " + " ".join(f"{n}:i" for n in PRIORITIES), """
+    WITH x AS (SELECT entity, CASE WHEN v >= 250 THEN v END AS c, CASE WHEN n > 1 THEN n END AS k FROM orders_daily)
+    """ + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", " + ", ".join(
+        f"CASE WHEN count(*) FILTER (entity = '{v}') > 0 THEN count(*) FILTER (entity = '{v}' AND {c} IS NULL) END AS {n}"
+        for n, v in PRIORITIES.items()) + " FROM x" for c in ("c", "k")), ("orders_daily",))
 def _(spark, sf):
-    p = orders_daily(spark, sf).withColumn("c", F.when(F.col("v") >= 250, F.col("v")))
-    m = qa.null_matrix(p, ["c"], "entity", ["5-LOW", "1-URGENT"])
-    return m.withColumnsRenamed({"5-LOW": "low", "1-URGENT": "urgent"})
+    p = orders_daily(spark, sf).withColumns({"c": F.when(F.col("v") >= 250, F.col("v")), "k": F.when(F.col("n") > 1, F.col("n"))})
+    return qa.null_matrix(p, ["c", "k"], "entity", list(PRIORITIES.values())).withColumnsRenamed({v: k for k, v in PRIORITIES.items()})
 
 
 BOUNDS = {"v": (5.0, 100.0), "qty": (1.5, 49.0), "disc": (0.0, 9.5)}
@@ -252,14 +255,29 @@ def _audited(min_run):
     return compute
 
 
-@query("c23_leakage_audit", "column:s differences:i audited:i")
+@query("c23_leakage_audit", "column:s differences:i audited:i", """
+    WITH q AS (SELECT entity, date, v, CASE WHEN v >= 255 THEN 1 ELSE 0 END AS hot, row_number() OVER w AS rn,
+                 lag(v, 7) OVER w AS lag7, avg(v) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS roll
+               FROM orders_daily WINDOW w AS (PARTITION BY entity ORDER BY date)),
+    c AS (SELECT *, CASE WHEN hot = lag(hot) OVER w THEN 0 ELSE 1 END AS change FROM q WINDOW w AS (PARTITION BY entity ORDER BY date)),
+    i AS (SELECT *, sum(change) OVER (PARTITION BY entity ORDER BY date) AS island FROM c),
+    s AS (SELECT *, row_number() OVER (PARTITION BY entity, island ORDER BY date) AS sofar, count(*) OVER (PARTITION BY entity, island) AS len FROM i),
+    t AS (SELECT *, lag(hot = 1 AND len >= 3) OVER w AS label_lag1, lag(hot = 1 AND sofar >= 3) OVER w AS known_lag1,
+            lag(hot) OVER w = 1 AND lag(sofar) OVER w + CASE WHEN change = 0 THEN 1 ELSE 0 END >= 3 AS cut_lag1
+          FROM s WINDOW w AS (PARTITION BY entity ORDER BY date)),
+    cut AS (SELECT a.entity, a.date, max(b.v) FILTER (b.rn = a.rn - 7) AS lag7, avg(b.v) FILTER (b.rn BETWEEN a.rn - 7 AND a.rn - 1) AS roll
+            FROM t a JOIN t b ON b.entity = a.entity AND b.date <= a.date WHERE day(a.date) = 15 GROUP BY 1, 2),
+    d AS (SELECT count(*) AS audited, count(*) FILTER (t.lag7 IS DISTINCT FROM cut.lag7) AS lag7,
+            count(*) FILTER (t.rn > 7 AND abs(t.roll - cut.roll) > 1e-9) AS roll,
+            count(*) FILTER (coalesce(label_lag1, FALSE) <> coalesce(cut_lag1, FALSE)) AS label FROM t JOIN cut USING (entity, date))
+    SELECT 'v_lag7' AS "column", lag7 AS differences, audited FROM d UNION ALL SELECT 'v_roll7_mean', roll, audited FROM d
+    UNION ALL SELECT 'label_lag1', label, audited FROM d UNION ALL SELECT 'known_lag1', 0, audited FROM d""", ("orders_daily",))
 def _(spark, sf):
     p = orders_daily(spark, sf).withColumns({
         "qualifying": (F.col("v") >= 255).cast("int"), "normal": F.lit(250.0), "departure": F.col("v") - 250.0}).select(
         "entity", "date", "v", "qualifying", "normal", "departure")
     audit = F.dayofmonth("date") == 15
-    return qa.leakage(p, ORDERS, audit, _audited(3), ["v_lag7", "v_roll7_mean", "v_slope_7d", "departure_zscore",
-                                                      "label_lag1", "known_lag1"], history=40)
+    return qa.leakage(p, ORDERS, audit, _audited(3), ["v_lag7", "v_roll7_mean", "label_lag1", "known_lag1"])
 
 
 @query("c24_target_check", "mismatches:i checked:i", """
@@ -269,10 +287,17 @@ def _(spark, sf):
     return qa.target_check(panels.featured(spark, sf), SUPPLIER)
 
 
-@query("c25_boundary_check", "entity:i date:d null_lags:i", """
-    SELECT entity, min(date) AS date, 0 AS null_lags FROM trimmed GROUP BY 1""", ("trimmed",))
+BOUNDARY = ["v_lag1", "v_lag7", "departure_lag7", "qty_lag3"]
+_MISSING = " + ".join(f"({c} IS NULL)::INT" for c in BOUNDARY)
+
+
+@query("c25_boundary_check", "stage:s entity:i date:d null_lags:i", " UNION ALL ".join(f"""
+    SELECT '{t}' AS stage, entity, date, {_MISSING} AS null_lags FROM {t} QUALIFY row_number() OVER (PARTITION BY entity ORDER BY date) = 1"""
+    for t in ("featured", "trimmed")), ("trimmed",))
 def _(spark, sf):
-    return qa.boundary_check(ft.trim(panels.featured(spark, sf)), SUPPLIER, SUPPLIER.lag_names())
+    full = panels.featured(spark, sf)  # its first rows have no past, those of the trimmed table have
+    parts = [qa.boundary_check(x, SUPPLIER, BOUNDARY).withColumn("stage", F.lit(n)) for n, x in (("featured", full), ("trimmed", ft.trim(full)))]
+    return parts[0].union(parts[1])
 
 
 @query("c26_null_positions", "entity:i nulls:i last_position:i", """
@@ -282,12 +307,31 @@ def _(spark, sf):
     return qa.null_positions(panels.featured(spark, sf), SUPPLIER, "departure_zscore")
 
 
-@query("c28_checklist", "check:s ok:b value:i", f"""
-    SELECT 'row_count_in_range' AS "check", count(*) BETWEEN 1 AND 100000000 AS ok, count(*) AS value FROM trimmed
-    UNION ALL SELECT 'unique_keys', TRUE, 0 UNION ALL SELECT 'complete_features', TRUE, 0
-    UNION ALL SELECT 'binary_target', TRUE, 0 UNION ALL SELECT 'feature_count', TRUE, {len(SUPPLIER.contract())}""", ("trimmed",))
+@query("c26_null_context", "entity:i date:d window_n:i window_mean:f window_std:f", """
+    SELECT entity, date, window_n, window_mean, window_std FROM (
+      SELECT entity, date, departure_zscore, count(departure) OVER w AS window_n, avg(departure) OVER w AS window_mean,
+             stddev_samp(departure) OVER w AS window_std
+      FROM featured WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+    WHERE departure_zscore IS NULL""", ("featured",))
+def _(spark, sf):
+    return qa.null_context(panels.featured(spark, sf), SUPPLIER, "departure_zscore", "departure", SUPPLIER.z_window)
+
+
+CHECKED = ["v", "v_lag7", "departure_zscore", "not_there"]
+
+
+@query("c28_checklist", "check:s ok:b value:i", """
+    WITH x AS (SELECT * FROM featured UNION ALL SELECT * FROM featured WHERE entity % 10 = 0),
+    k AS (SELECT entity, date, count(*) AS n, bool_or(v IS NULL OR v_lag7 IS NULL OR departure_zscore IS NULL) AS gap,
+            bool_or(target IS NULL OR target NOT IN (0, 1)) AS bad FROM x GROUP BY 1, 2)
+    SELECT 'row_count_in_range' AS "check", sum(n) BETWEEN 1 AND 1000 AS ok, sum(n) AS value FROM k
+    UNION ALL SELECT 'unique_keys', count(*) FILTER (n > 1) = 0, count(*) FILTER (n > 1) FROM k
+    UNION ALL SELECT 'complete_features', count(*) FILTER (gap) = 0, count(*) FILTER (gap) FROM k
+    UNION ALL SELECT 'binary_target', count(*) FILTER (bad) = 0, count(*) FILTER (bad) FROM k
+    UNION ALL SELECT 'feature_count', FALSE, 3""", ("featured",))
 def _(spark, sf):
-    return qa.checklist(ft.trim(panels.featured(spark, sf)), SUPPLIER, SUPPLIER.contract(), 1, 100000000)
+    x = panels.featured(spark, sf)  # untrimmed, some keys twice, one column absent
+    return qa.checklist(x.union(x.filter("entity % 10 = 0")), SUPPLIER, CHECKED, 1, 1000)
 
 
 _B = ", ".join(f"{f}(date) FILTER (split = '{s}') AS {s}_{f}" for s in ("train", "val", "test") for f in ("min", "max"))
@@ -301,6 +345,19 @@ def _(spark, sf):
     return qa.split_leakage(panels.splits_by_year(supplier_daily(spark, sf)), SUPPLIER)
 
 
+@query("c29_global_order", "earlier:s later:s last_earlier:d first_later:d ok:b", """
+    WITH s AS (SELECT split, min(date) AS a, max(date) AS z FROM (
+      SELECT date, CASE WHEN year(date) <= 1999 THEN 'train' WHEN year(date) <= 2000 OR (entity % 9 = 0 AND month(date) < 3) THEN 'val' ELSE 'test' END
+        AS split FROM supplier_daily) GROUP BY 1)
+    SELECT e.split AS earlier, l.split AS later, e.z AS last_earlier, l.a AS first_later, e.z < l.a AS ok FROM s e, s l
+    WHERE (e.split, l.split) IN (('train', 'val'), ('val', 'test'), ('train', 'test'))""", ("supplier_daily",))
+def _(spark, sf):
+    # some entities change from validation to test later than others: apart for each entity, not over all
+    late = (F.col("entity") % 9 == 0) & (F.month("date") < 3) & (F.year("date") == 2001)
+    x = panels.splits_by_year(supplier_daily(spark, sf))
+    return qa.global_split_order(x.withColumn("split", F.when(late, "val").otherwise(F.col("split"))), SUPPLIER)
+
+
 @query("c29_split_overlap", "entity:i date:d splits:i", """
     SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_linestatus) AS splits FROM lineitem
     GROUP BY 1, 2 HAVING count(DISTINCT l_linestatus) > 1""")
@@ -318,14 +375,26 @@ def _(spark, sf):
 
 @query("c31_label_integrity",
        "label_not_qualifying:i label_without_event:i event_without_label:i too_short:i wrong_length:i", """
-    SELECT count(*) FILTER (label = 1 AND qualifying = 0) AS label_not_qualifying,
-           count(*) FILTER (label = 1 AND event_id = 0) AS label_without_event,
-           count(*) FILTER (label = 0 AND event_id > 0) AS event_without_label, 0 AS too_short, 0 AS wrong_length
-    FROM labelled""", ("labelled",))
-def _(spark, sf):
-    return qa.label_integrity(panels.labelled(spark, sf), SUPPLIER, 2)
-
-
-@query("a11_fingerprint", "rows:i checksum:s")
-def _(spark, sf):
-    return qa.fingerprint(table(spark, sf, "lineitem"))
+    WITH x AS (SELECT entity, CASE WHEN day(date) = 3 THEN 0 ELSE qualifying END AS qualifying, CASE WHEN day(date) = 1 THEN 0 ELSE label END AS label,
+                 CASE WHEN day(date) = 4 THEN 0 ELSE event_id END AS event_id, event_length + (entity % 3 = 0)::INT AS event_length
+               FROM labelled WHERE day(date) <> 2),
+    e AS (SELECT entity, event_id, count(*) AS n, max(event_length) AS len FROM x WHERE event_id > 0 GROUP BY 1, 2)
+    SELECT count(*) FILTER (label = 1 AND qualifying <> 1) AS label_not_qualifying, count(*) FILTER (label = 1 AND event_id <= 0) AS label_without_event,
+           count(*) FILTER (label = 0 AND event_id > 0) AS event_without_label, (SELECT count(*) FILTER (n < 2) FROM e) AS too_short,
+           (SELECT count(*) FILTER (n <> len) FROM e) AS wrong_length FROM x""", ("labelled",))
+def _(spark, sf):
+    day = F.dayofmonth("date")  # labels spoilt in every way
+    x = panels.labelled(spark, sf).filter(day != 2).withColumns({
+        "qualifying": F.when(day == 3, 0).otherwise(F.col("qualifying")), "label": F.when(day == 1, 0).otherwise(F.col("label")),
+        "event_id": F.when(day == 4, 0).otherwise(F.col("event_id")), "event_length": F.col("event_length") + (F.col("entity") % 3 == 0).cast("int")})
+    return qa.label_integrity(x, SUPPLIER, 2)
+
+
+@query("a11_fingerprint", "rows:i checksum:s", """
+    SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), l_orderkey, l_partkey, l_suppkey, l_linenumber,
+      CAST(round(l_extendedprice * 100) AS BIGINT), coalesce(l_returnflag, '\\N'), CAST(l_shipdate AS DATE))), 1, 15) AS BIGINT)) AS VARCHAR) AS checksum
+    FROM lineitem""")
+def _(spark, sf):
+    return qa.fingerprint(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.expr("cast(round(l_extendedprice * 100) as bigint)").alias("cents"), "l_returnflag",
+        F.to_date("l_shipdate").alias("day")))

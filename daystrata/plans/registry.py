@@ -2,7 +2,10 @@
 
 Columns are declared once as ``name:type`` and used for both sides, so rounding,
 casts and names cannot drift apart. Types: i integer, f double rounded to 6
-digits, g double rounded to 4, d date as text, s text, b boolean as 0/1.
+digits, e to 7, g to 4, d date as text, s text, b boolean as 0/1.
+
+Doubles are rounded by the same arithmetic on both sides (scaled, to the nearest
+whole double, ties to even), for any size of value.
 """
 
 from __future__ import annotations
@@ -15,22 +18,20 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Both engines round by the same double arithmetic. Means of multiples of 1/16 hit the
-# decimal ties (x.xxxxxx5), where 1e-16 of noise would decide; 0.523 moves off them.
-HALF = 0.523
-
 _SPARK: dict[str, Callable[[Column], Column]] = {
     "i": lambda c: c.cast("bigint"),
-    "f": lambda c: F.floor(c.cast("double") * 1e6 + HALF) / 1e6,
-    "g": lambda c: F.floor(c.cast("double") * 1e4 + HALF) / 1e4,
+    "f": lambda c: F.rint(c.cast("double") * 1e6) / 1e6,
+    "e": lambda c: F.rint(c.cast("double") * 1e7) / 1e7,
+    "g": lambda c: F.rint(c.cast("double") * 1e4) / 1e4,
     "d": lambda c: c.cast("date").cast("string"),
     "s": lambda c: c.cast("string"),
     "b": lambda c: c.cast("int").cast("bigint"),
 }
 _SQL = {
     "i": "CAST({0} AS BIGINT)",
-    "f": f"floor(CAST({{0}} AS DOUBLE) * 1e6::DOUBLE + {HALF}::DOUBLE) / 1e6::DOUBLE",
-    "g": f"floor(CAST({{0}} AS DOUBLE) * 1e4::DOUBLE + {HALF}::DOUBLE) / 1e4::DOUBLE",
+    "f": "round_even(CAST({0} AS DOUBLE) * 1e6::DOUBLE, 0) / 1e6::DOUBLE",
+    "e": "round_even(CAST({0} AS DOUBLE) * 1e7::DOUBLE, 0) / 1e7::DOUBLE",
+    "g": "round_even(CAST({0} AS DOUBLE) * 1e4::DOUBLE, 0) / 1e4::DOUBLE",
     "d": "CAST(CAST({0} AS DATE) AS VARCHAR)",
     "s": "CAST({0} AS VARCHAR)",
     "b": "CAST(CAST({0} AS INT) AS BIGINT)",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daystrata.functions.scalar import nan_to_null
-from daystrata.operators.prefix import ensure_checkpoint_dir
+from daystrata.operators.prefix import shared_folder
 from daystrata.operators.quality import null_status
 from daystrata.spec import PanelSpec
 
@@ -19,9 +19,8 @@ REGISTRY_ENTRY = ("name string, state string, region string, region_type string,
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the session's checkpoints (shared on a cluster)."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    """A new path in the folder that all executors see."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -53,6 +53,10 @@ class PanelSpec:
     rule: LabelRule = LabelRule()
     relative: RelativeRule = RelativeRule()
 
+    def look_back(self) -> int:
+        """Rows before a row that its features can see."""
+        return 1 + max(*self.lags, *self.rolls, *self.slopes, self.z_window, 7)
+
     def lag_names(self) -> list[str]:
         names = [f"{v}_lag{k}" for v in self.variables for k in self.lags]
         names += [f"{self.departure}_lag{k}" for k in self.lags]
@@ -140,6 +144,7 @@ SANITY_BOUNDS = {
     "tmax_departure_zscore": (-10.0, 10.0),
     "tmax_normal": (10.0, 50.0),
 }
+# Names, columns and years that input tables use.
 ENTITY_ALIASES = {
     "delhi": "delhi", "lucknow": "lucknow", "nagpur": "nagpur", "ahmedabad": "ahmedabad", "mumbai": "mumbai",
     "new delhi": "delhi", "new_delhi": "delhi",

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from daystrata.operators import features as ft
 from daystrata.spec import PanelSpec
 
-HISTORY = 40
+# Fixed value: the observed signal starts here where an entity has no threshold of its own.
+DEFAULT_THRESHOLD = 40.0
 
 
 def tail(df: DataFrame, spec: PanelSpec, rows: int, out: str = "_from_end") -> DataFrame:
@@ -23,16 +24,17 @@ def tail(df: DataFrame, spec: PanelSpec, rows: int, out: str = "_from_end") -> D
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= rows).drop(out)
 
 
-def touched_tail(panel: DataFrame, batch: DataFrame, spec: PanelSpec, history: int = HISTORY) -> DataFrame:
+def touched_tail(panel: DataFrame, batch: DataFrame, spec: PanelSpec, history: int | None = None) -> DataFrame:
     """Rows needed to recompute everything a batch can change: per touched entity all
     rows from ``history`` positions before its earliest new date."""
+    history = spec.look_back() if history is None else history
     first = batch.groupBy(spec.entity).agg(F.min(spec.date).alias("_first"))
     mine = panel.join(first, spec.entity)
     older = tail(mine.filter(F.col(spec.date) < F.col("_first")), spec, history)
     return older.unionByName(mine.filter(F.col(spec.date) >= F.col("_first"))).drop("_first")
 
 
-def refresh(panel: DataFrame, batch: DataFrame, spec: PanelSpec, history: int = HISTORY) -> DataFrame:
+def refresh(panel: DataFrame, batch: DataFrame, spec: PanelSpec, history: int | None = None) -> DataFrame:
     """Features of every row a batch of new or corrected days can change.
 
     ``panel`` already contains the batch. Only the touched entities are read, from
@@ -66,9 +68,9 @@ def run_refresh(stream: DataFrame, spec: PanelSpec, panel_path: str, out_path: s
      .foreachBatch(step).start().awaitTermination())
 
 
-def newest_features(panel: DataFrame, spec: PanelSpec, history: int = HISTORY, last: int = 7) -> DataFrame:
+def newest_features(panel: DataFrame, spec: PanelSpec, history: int | None = None, last: int = 7) -> DataFrame:
     """Features of the newest complete rows from a bounded tail, with the live label proxy."""
-    recent = tail(panel, spec, history + last)
+    recent = tail(panel, spec, (spec.look_back() if history is None else history) + last)
     built = ft.build(recent, spec, live=True).drop("_row", "_rows")
     needed = [c for c in spec.lag_names() + spec.roll_names() + spec.trend_names() if c in built.columns]
     return tail(built.na.drop(subset=needed), spec, last)
@@ -90,10 +92,13 @@ def loggable(forecasts: DataFrame) -> DataFrame:
     return forecasts.filter(F.col("probability").isNotNull())
 
 
-def match_outcomes(log: DataFrame, observed: DataFrame, today: str, thresholds: DataFrame) -> DataFrame:
-    """Past forecasts with the observed value and signal; unmatched ones stay pending (NULL)."""
+def match_outcomes(log: DataFrame, observed: DataFrame, today: str, thresholds: DataFrame,
+                   default: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Past forecasts with the observed value and signal; unmatched ones stay pending (NULL). An entity without a row in
+    ``thresholds`` has the default one."""
     past = log.filter(F.col("date") < F.lit(today).cast("date"))
-    x = past.join(observed, ["entity", "date"], "left").join(thresholds, "entity")
+    x = past.join(observed, ["entity", "date"], "left").join(thresholds, "entity", "left")
+    x = x.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
     return x.withColumn("observed_signal", (F.col("observed") >= F.col("threshold")).cast("int"))
 
 

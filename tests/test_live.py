@@ -60,8 +60,13 @@ def test_subscription_log(spark):
 
 def test_text_falls_back_to_english(spark):
     cand, _ = frames(spark)
-    r = al.render(cand.withColumn("language", F.lit("xx"))).first()
-    assert r.subject == "HIGH heat risk for Delhi" and "72%" in r.summary and len(r.tips) == 5
+    texts = spark.createDataFrame([("en", "HIGH", "{city}: {probability}", ["one", "two"], "no promise", "leave {link}"),
+                                   ("hi", "HIGH", "{level}", ["ek"], "x", "y {link}")], al.TEXT_COLUMNS)
+    r = al.render(cand.withColumn("language", F.lit("xx")), texts).first()
+    assert r.subject == "HIGH heat risk for Delhi" and r.summary == "Delhi: 72%" and list(r.tips) == ["one", "two"]
+    assert r.body.split("\n") == ["Delhi: 72%", "- one", "- two", "no promise", f"leave /unsubscribe?id={r.subscription_id}"]
+    own = al.render(cand.withColumn("language", F.lit("hi")), texts).first()
+    assert own.summary == "HIGH" and list(own.tips) == ["ek"]
 
 
 def test_forecast_horizon_counts_failed_days(spark):

@@ -87,7 +87,7 @@ def test_rule_severity(spark):
     r = rl.absolute_rules(F.lit("plains"), none, none, none, none, none, F.col("risk_level"), F.col("p"))
     out = rl.summarise(df.withColumn("rules", r)).collect()
     assert [x.highest_severity for x in out] == ["CRITICAL", "WARNING", "INFO", None]
-    counts = rl.recommend(df).groupBy("risk_level").count().collect()
+    counts = rl.recommend(df, {}).groupBy("risk_level").count().collect()
     assert {x.risk_level: x["count"] for x in counts} == {"LOW": 3, "MODERATE": 5, "HIGH": 6, "EXTREME": 7}
 
 
