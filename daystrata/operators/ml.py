@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -42,12 +44,23 @@ def train(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = DECISION_THRESHOLD, out: str = "p") -> DataFrame:
-    """Probability and 0/1 prediction beside the input columns."""
+    """Probability and 0/1 prediction beside the input columns; rows with an input missing are refused by the model."""
+    absent = [c for c in model.stages[0].getInputCols() if c not in df.columns]
+    if absent:
+        raise ValueError(f"model inputs are missing: {absent}")
     scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
     return scored.withColumn("prediction_label", (F.col(out) >= threshold).cast("int")).drop(
         "features", "rawPrediction", "probability", "prediction")
 
 
+def score_table(model: PipelineModel, df: DataFrame, path: str, keys: Sequence[str], threshold: float = DECISION_THRESHOLD) -> DataFrame:
+    """Score once, store keys, probability and prediction as Parquet, and return the stored rows. Empty input is an error."""
+    if df.isEmpty():
+        raise ValueError("nothing to score")
+    score(model, df, threshold).select(*keys, "p", "prediction_label").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def rule_baselines(df: DataFrame, lagged: str, qualifying: str) -> DataFrame:
     """Persistence and same-day rule as scores."""
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
@@ -94,33 +107,48 @@ def row_explanations(df: DataFrame, ranked: DataFrame, keys: Sequence[str], feat
     return hits.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("explanation"))
 
 
-def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
-    """The column's values dealt to the rows in another hash order (an exact permutation)."""
-    here = hash_index(df, key, 42, "_slot")
-    there = hash_index(df.select(key, F.col(column).alias("_moved")), key, seed, "_slot").drop(key)
-    return here.drop(column).join(there, "_slot").withColumnRenamed("_moved", column).drop("_slot")
+def _moves(slots: int, seed: int) -> tuple[int, int]:
+    """A step coprime to the number of slots and an offset: slot -> (step * slot + offset) mod slots is a permutation."""
+    rng = random.Random(seed)
+    step = rng.randrange(1 << 18, 1 << 20)
+    while math.gcd(step, slots) > 1:
+        step += 1
+    return step, rng.randrange(slots)
+
+
+def permuted(slotted: DataFrame, slots: int, columns: Sequence[str], move: tuple[int, int], prefix: str = "_moved_") -> DataFrame:
+    """Rows with ``_slot`` 0..slots-1 (see ``hash_index``), each beside the columns of another row: one join for all columns.
+    ``move`` is a step coprime to ``slots`` and an offset."""
+    step, offset = move
+    if math.gcd(step, slots) != 1:
+        raise ValueError("the step must be coprime to the number of rows")
+    there = slotted.select(F.pmod(F.col("_slot") * step + offset, F.lit(slots)).alias("_slot"), *[F.col(c).alias(prefix + c) for c in columns])
+    return slotted.join(there, "_slot")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: Column, features: Sequence[str],
                            repeats: int = 5) -> DataFrame:
     """Drop of the average precision when one column is permuted, mean over the repeats.
 
-    All permuted copies are scored in one plan per feature and measured by group.
+    The rows are put into hash order once; every repeat is one join, from which the variants of all features are made.
     """
-    rows = df.withColumn("_key", key.cast("bigint"))
-    base = mt.rank_metrics(score(model, rows).withColumnRenamed("target", "label")).select("average_precision").scalar()
-    parts = []
-    for f in features:
-        for r in range(repeats):
-            moved = score(model, permuted(rows, "_key", f, 1000 + r)).select(
-                F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col("target").alias("label"), "p")
-            parts.append(moved)
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    by = mt.rank_metrics(stacked, ["feature", "repeat"])
-    return by.groupBy("feature").agg(F.avg("average_precision").alias("_ap")).select(
-        "feature", (base - F.col("_ap")).alias("drop"))
+    from daystrata.sources.files import materialise
+    inputs = model.stages[0].getInputCols()
+    rows = df.select(F.col("target").alias("label"), key.cast("bigint").alias("_key"), *[F.col(c).cast("double").alias(c) for c in inputs])
+    rows = materialise(hash_index(rows, "_key", 42, "_slot"), "slots")
+    n = rows.count()
+    base = mt.rank_metrics(score(model, rows)).select("average_precision").scalar()
+
+    def variant(f: str) -> Column:
+        return F.struct(F.lit(f).alias("feature"), *[F.col(("_moved_" if c == f else "") + c).alias(c) for c in inputs])
+
+    stacked = None
+    for r in range(repeats if n else 0):
+        moved = permuted(rows, n, list(features), _moves(n, 1000 + r)).select("label", F.explode(F.array(*[variant(f) for f in features])).alias("v"))
+        part = moved.select("label", F.lit(r).alias("repeat"), "v.*")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    by = mt.rank_metrics(score(model, stacked), ["feature", "repeat"])
+    return by.groupBy("feature").agg(F.avg("average_precision").alias("_ap")).select("feature", (base - F.col("_ap")).alias("drop"))
 
 
 def folds_report(df: DataFrame, folds: int, features: Sequence[str], make: Callable, threshold: float) -> DataFrame:

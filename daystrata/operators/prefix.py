@@ -9,6 +9,8 @@ spans (group, bucket). The result does not depend on where the cuts are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,19 +80,27 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), **extra: Co
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linearly interpolated quantiles of arbitrarily large groups."""
+    """Exact linearly interpolated quantiles of arbitrarily large groups.
+
+    Bucket totals tell which buckets hold a wanted position; only those are ordered.
+    """
     by = list(by)
     df = df.withColumn(column, F.col(column).cast("double"))
     counts = with_bucket(value_counts(df, column, by), column, df)
-    cum = running_sums(counts, [F.col(column)], {"cum": F.col("n")}, by)
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
-    cum = cum.join(sizes, by) if by else cum.withColumn("_size", sizes.scalar())
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_t"))  # one row per group and bucket
+    edges = totals.select(*by, "_bucket", "_t", (F.sum("_t").over(upto) - F.col("_t")).alias("_before"),
+                          F.sum("_t").over(Window.partitionBy(*by)).alias("_size"))
+    ranks = {name: (F.col("_size") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    positions = {(name, side): f(r) for name, r in ranks.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    holds = reduce(or_, [(at >= F.col("_before")) & (at < F.col("_before") + F.col("_t")) for at in positions.values()])
+    local = Window.partitionBy(*by, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.join(edges.filter(holds), [*by, "_bucket"]).withColumn("cum", F.sum("n").over(local) + F.col("_before"))
     aggs = []
-    for name, p in probs.items():
-        rank = (F.col("_size") - 1) * F.lit(float(p))
-        for side, position in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            hit = (F.col("cum") > position) & (F.col("cum") - F.col("n") <= position)
-            aggs.append(F.max(F.when(hit, F.col(column))).alias(f"_{name}_{side}"))
+    for name, rank in ranks.items():
+        for side in ("lo", "hi"):
+            at = positions[name, side]
+            aggs.append(F.max(F.when((F.col("cum") > at) & (F.col("cum") - F.col("n") <= at), F.col(column))).alias(f"_{name}_{side}"))
         aggs.append(F.max(rank - F.floor(rank)).alias(f"_{name}_f"))
     wide = cum.groupBy(*by).agg(*aggs)
     return wide.select(*by, *[(F.col(f"_{q}_lo") + (F.col(f"_{q}_hi") - F.col(f"_{q}_lo")) * F.col(f"_{q}_f")).alias(q)

@@ -122,6 +122,11 @@ def ensemble(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg("p").alias("p"), F.stddev_pop("p").alias("spread"), F.count("p").alias("runs"))
 
 
+def mean_threshold(runs: DataFrame) -> DataFrame:
+    """The decision threshold of an ensemble: the mean of the runs' own ones (a table with one ``threshold`` per run)."""
+    return runs.agg(F.avg("threshold").alias("threshold"), F.count("threshold").alias("runs"))
+
+
 def ensemble_spread(rows: DataFrame) -> DataFrame:
     """Average and 95th percentile of the row spreads."""
     from daystrata.operators.prefix import exact_quantiles

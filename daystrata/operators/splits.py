@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daystrata.functions.scalar import mix
-from daystrata.operators.prefix import row_index, running_sums
+from daystrata.operators.prefix import BUCKET_ROWS, row_index, running_sums
 from daystrata.spec import PanelSpec
 
 
@@ -35,21 +35,42 @@ def development(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split").isin("train", "val"))
 
 
+def hash_cut(df: DataFrame, want: int) -> Column:
+    """A filter that keeps the ``want`` rows with the smallest (``_hash``, ``_key``); no row is sorted.
+
+    The 32 bits of the hash are settled twelve at a time: the rows of at most 4096 buckets are counted, the bucket with
+    the last wanted row is looked into. What remains are the rows of one hash value.
+    """
+    prefix, bits = 0, 32
+    while bits:
+        shift = max(0, bits - 12)
+        inside = df.filter(F.shiftright("_hash", bits) == prefix)
+        counts = sorted(inside.groupBy(F.shiftright("_hash", shift).alias("b")).count().collect())
+        for bucket, n in counts:
+            if want <= n:
+                break
+            want -= n
+        prefix, bits = bucket, shift
+    keys = df.filter(F.col("_hash") == prefix).orderBy("_key").limit(want).agg(F.max("_key")).first()[0]
+    return (F.col("_hash") < prefix) | ((F.col("_hash") == prefix) & (F.col("_key") <= keys))
+
+
 def undersample(df: DataFrame, label: str, key: Column, ratio: int = 10, seed: int = 42) -> DataFrame:
-    """All positives and exactly min(ratio * positives, negatives) negatives, chosen by key hash."""
-    size = df.agg(F.least(F.sum((F.col(label) == 1).cast("int")) * ratio,
-                          F.sum((F.col(label) == 0).cast("int")))).scalar()
+    """All positives and exactly min(ratio * positives, negatives) negatives, chosen by the hash of their (unique) key."""
+    pos, neg = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    if neg <= ratio * pos:
+        return df.filter(F.col(label).isin(0, 1))
     hashed = df.withColumn("_key", key.cast("bigint")).withColumn("_hash", mix(F.col("_key"), seed))
-    # the hash is uniform, so its top 16 bits are even buckets
-    bucketed = hashed.withColumn("_bucket", F.shiftright("_hash", 16))
-    ranked = running_sums(bucketed, [F.col("_hash"), F.col("_key")], {"_rank": F.lit(1)}, [label])
-    return ranked.filter((F.col(label) == 1) | (F.col("_rank") <= size)).drop("_hash", "_key", "_bucket", "_rank")
+    negatives = hashed.filter(F.col(label) == 0)
+    chosen = hash_cut(negatives, ratio * pos) if pos else F.lit(False)
+    return hashed.filter((F.col(label) == 1) | ((F.col(label) == 0) & chosen)).drop("_hash", "_key")
 
 
 def hash_index(df: DataFrame, key: str, seed: int, out: str) -> DataFrame:
-    """0-based positions of the rows in (hash, key) order, ranked inside even hash buckets."""
+    """0-based positions of the rows in (hash, key) order, ranked inside even hash buckets of about ``BUCKET_ROWS``."""
     x = df.withColumn("_hash", mix(F.col(key), seed))
-    x = x.withColumn("_bucket", F.shiftright("_hash", 16))
+    bits = min(32, max(1, (df.count() // BUCKET_ROWS).bit_length()))
+    x = x.withColumn("_bucket", F.shiftright("_hash", 32 - bits))
     ranked = running_sums(x, [F.col("_hash"), F.col(key)], {out: F.lit(1)})
     return ranked.withColumn(out, F.col(out) - 1).drop("_hash", "_bucket")
 

@@ -1,59 +1,112 @@
 """Queries: model training, scoring and explanation; sources; streams."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from daystrata.functions.scalar import mix_sql
+from daystrata.functions.scalar import mix, mix_sql
 from daystrata.operators import features as ft
+from daystrata.operators import metrics as mt
 from daystrata.operators import ml
 from daystrata.operators import splits as sp
 from daystrata.plans import panels
 from daystrata.plans.bindings import SCHEMAS, SUPPLIER, events_daily, supplier_daily, table
 from daystrata.plans.registry import query
+from daystrata.spec import DECISION_THRESHOLD
 from daystrata.sources import files as fs
 from daystrata.streaming import live as lv
 
 INPUTS = ["v", "departure", "qualifying", "v_lag1", "v_roll7_mean", "departure_zscore", "month_sin", "month_cos", "is_coastal"]
 
 
+#: Labelled training rows of a query's model, at most; chosen by the hash of their key. Everything is scored.
+TRAIN_ROWS = 20_000
+#: Trees of the models that only serve a report (importances, explanations, folds, grid); H2 and H3 use the full settings.
+REPORT_TREES, GRID_TREES, GRID_ROUNDS = 100, 30, 10
+
+
+def _key():
+    return F.col("entity") * 100000 + F.unix_date("date")
+
+
 def _model_rows(spark, sf):
     # training reads its rows many times: write them once
     return fs.materialise(panels.splits_by_year(ft.trim(panels.featured(spark, sf))).select(
         "entity", "date", "split", "target", "label_lag1", *INPUTS), "features")
 
 
+def _sample(rows):
+    n = rows.count()
+    if n > TRAIN_ROWS:
+        hashed = rows.withColumns({"_key": _key(), "_hash": mix(_key(), 5)})
+        rows = hashed.filter(sp.hash_cut(hashed, TRAIN_ROWS)).drop("_key", "_hash")
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "entity", "date")  # trees are grown by all cores
+
+
 def _train_test(spark, sf):
     rows = _model_rows(spark, sf)
-    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    return _sample(rows.filter("split = 'train'")), rows.filter("split = 'test'")
+
+
+# What holds for any sound model: every row scored once, probabilities in [0, 1], labels at the threshold, and a ranking that
+# is better than chance (the average precision of a random order is the share of positives).
+CHECKS = "rows:i keys:i outside:i mislabelled:i better:b"
+_ROWS = "SELECT {0} FROM trimmed WHERE year(date) {1}"
+_CHECK_SQL = _ROWS.format("count(*) AS rows, sum(entity * 100000 + (date - DATE '1970-01-01')) AS keys, 0 AS outside, 0 AS mislabelled, TRUE AS better",
+                          "> 2000")
 
 
-@query("h1_h4_logistic", "entity:i date:d p:f prediction_label:i")
+def _checked(scored):
+    scored = fs.materialise(scored.select(_key().alias("key"), F.col("target").alias("label"), "p", "prediction_label"), "scores")
+    ap = mt.rank_metrics(scored.select("label", "p")).select("average_precision").scalar()
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("key").alias("keys"), F.count_if(~F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("outside"),
+        F.count_if((F.col("p") >= DECISION_THRESHOLD).cast("int") != F.col("prediction_label")).alias("mislabelled"),
+        F.avg("label").alias("share")).withColumn("better", ap > F.col("share"))
+
+
+@query("h1_h4_logistic", CHECKS, _CHECK_SQL, ("trimmed",))
 def _(spark, sf):
     tr, te = _train_test(spark, sf)
     scaler = ft.fit_scaler(tr, INPUTS)
     n = tr.count()
     model = ml.train(ft.apply_scaler(tr, scaler, INPUTS), INPUTS, ml.logistic(1.0 / n))
-    return ml.score(model, ft.apply_scaler(te, scaler, INPUTS))
+    return _checked(ml.score(model, ft.apply_scaler(te, scaler, INPUTS)))
 
 
-@query("h2_h5_forest", "entity:i date:d p:f prediction_label:i")
+@query("h2_h5_forest", CHECKS, _CHECK_SQL, ("trimmed",))
 def _(spark, sf):
     tr, te = _train_test(spark, sf)
-    return ml.score(ml.train(sp.add_weights(tr, "target"), INPUTS, ml.forest(20, 6, weight="weight")), te)
+    model = ml.train(sp.add_weights(tr, "target"), INPUTS, ml.forest(weight="weight"))
+    ml.score_table(model, te, path := fs.scratch_folder(spark, "scores"), ["entity", "date", "target"])
+    return _checked(spark.read.parquet(path))
 
 
-@query("h3_boosting", "entity:i date:d p:f prediction_label:i")
+@query("h3_boosting", CHECKS, _CHECK_SQL, ("trimmed",))
 def _(spark, sf):
     tr, te = _train_test(spark, sf)
-    return ml.score(ml.train(tr, INPUTS, ml.boosted(5, 3)), te)
+    # hundreds of short jobs, one after the other: few tasks each
+    return _checked(ml.score(ml.train(tr.coalesce(2), INPUTS, ml.boosted()), te))
+
+
+_GRID_SETS = {"today": INPUTS[:3], "all": INPUTS}
 
 
-@query("h6_experiment_grid", "model:s features:s strategy:s f1:f precision:f recall:f average_precision:f")
+@query("h6_experiment_grid", "model:s features:s strategy:s rows:i positives:i bounded:b", """
+    SELECT m AS model, f AS features, s AS strategy, n AS rows, pos AS positives, TRUE AS bounded
+    FROM (SELECT count(*) AS n, count(*) FILTER (target = 1) AS pos FROM trimmed WHERE year(date) = 2000),
+         (SELECT unnest(['logistic', 'forest', 'boosted']) AS m), (SELECT unnest(['today', 'all']) AS f), (SELECT unnest(['plain', 'under', 'weighted']) AS s)""",
+       ("trimmed",))
 def _(spark, sf):
     rows = _model_rows(spark, sf)
-    key = F.col("entity") * 100000 + F.unix_date("date")
-    return ml.experiment_grid(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), {"today": INPUTS[:3], "all": INPUTS},
-        {"forest": lambda: ml.forest(5, 4)}, {"plain": lambda d: d, "under": lambda d: sp.undersample(d, "target", key, 2)})
+    grid = ml.experiment_grid(
+        _sample(rows.filter("split = 'train'")), rows.filter("split = 'val'"), _GRID_SETS,
+        {"logistic": lambda: ml.logistic(1e-4, "weight"), "forest": lambda: ml.forest(GRID_TREES, 10, weight="weight"),
+         "boosted": lambda: ml.boosted(GRID_ROUNDS, 5, "weight")},
+        {"plain": lambda d: d.withColumn("weight", F.lit(1.0)), "under": lambda d: sp.undersample(d, "target", _key(), 2).withColumn("weight", F.lit(1.0)),
+         "weighted": lambda d: sp.add_weights(d, "target")})
+    unit = [F.col(c).between(0, 1) for c in ("f1", "precision", "recall", "average_precision")]
+    return grid.withColumns({"rows": F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"), "positives": F.col("tp") + F.col("fn"),
+                             "bounded": unit[0] & unit[1] & unit[2] & unit[3]})
 
 
 @query("h8_rule_baselines", "entity:i date:d p_persistence:f p_rule:f", """
@@ -62,42 +115,54 @@ def _(spark, sf):
     return ml.rule_baselines(panels.featured(spark, sf), "label_lag1", "qualifying")
 
 
-@query("h9_importances", "feature:s importance:f rank:i")
+def _forest(tr):
+    return ml.train(tr, INPUTS, ml.forest(REPORT_TREES, 10))
+
+
+_FEATURES = "(SELECT unnest([" + ", ".join(f"'{c}'" for c in INPUTS) + "]) AS feature)"
+
+
+@query("h9_importances", "feature:s ranked:b total:f", f"SELECT feature, TRUE AS ranked, 1.0 AS total FROM {_FEATURES}")
 def _(spark, sf):
-    tr, _ = _train_test(spark, sf)
-    return ml.importances(ml.train(tr, INPUTS, ml.forest(5, 4)), INPUTS)
+    r = ml.importances(_forest(_train_test(spark, sf)[0]), INPUTS)
+    order = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    return r.select("feature", (F.col("rank") == F.row_number().over(order)).alias("ranked"), F.sum("importance").over(Window.partitionBy()).alias("total"))
 
 
-@query("h10_row_explanations", "entity:i date:d top_feature:s top_value:f n:i")
+@query("h10_row_explanations", "entity:i date:d n:i own_values:b in_order:b", _ROWS.format(
+    "entity, date, 5 AS n, TRUE AS own_values, TRUE AS in_order", "> 2000"), ("trimmed",))
 def _(spark, sf):
     tr, te = _train_test(spark, sf)
-    ranked = ml.importances(ml.train(tr, INPUTS, ml.forest(5, 4)), INPUTS)
-    e = ml.row_explanations(te, ranked, ["entity", "date"], INPUTS)
+    e = ml.row_explanations(te, ml.importances(_forest(tr), INPUTS), ["entity", "date"], INPUTS).join(te, ["entity", "date"])
+    own = F.create_map(*[x for c in INPUTS for x in (F.lit(c), F.col(c).cast("double"))])
     x = F.col("explanation")
-    return e.select("entity", "date", x[0]["feature"].alias("top_feature"), x[0]["value"].alias("top_value"), F.size(x).alias("n"))
+    return e.select("entity", "date", F.size(x).alias("n"), F.forall(x, lambda i: i["value"].eqNullSafe(own[i["feature"]])).alias("own_values"),
+                    (F.transform(x, lambda i: i["rank"]) == F.sequence(F.lit(1), F.lit(5))).alias("in_order"))
 
 
-@query("h11_permutation_importance", "feature:s drop:f")
+@query("h11_permutation_importance", "feature:s possible:b", f"SELECT feature, TRUE AS possible FROM {_FEATURES}")
 def _(spark, sf):
     tr, te = _train_test(spark, sf)
-    model = ml.train(tr, INPUTS, ml.forest(5, 4))
-    key = F.col("entity") * 100000 + F.unix_date("date")
-    return ml.permutation_importance(model, te, key, ["qualifying", "month_sin"], repeats=2)
+    drops = ml.permutation_importance(_forest(tr), te, _key(), INPUTS)
+    return drops.select("feature", F.col("drop").between(-1, 1).alias("possible"))
 
 
-@query("h11_permuted_column", "l_orderkey:i total:f n:i", """
-    SELECT l_suppkey AS l_orderkey, sum(l_tax * 100) AS total, count(*) AS n FROM (SELECT 0 AS l_suppkey, l_tax FROM lineitem) GROUP BY 1""")
+@query("h11_permuted_column", "doc_id:i n_chars:i moved:i", f"""
+    WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY {mix_sql('doc_id')}, doc_id) - 1 AS slot, count(*) OVER () AS n FROM documents)
+    SELECT r.doc_id, r.n_chars, o.n_chars AS moved FROM r JOIN r o ON (o.slot * 7 + 5) % r.n = r.slot""")
 def _(spark, sf):
-    # a permutation moves values between rows and keeps their multiset
-    rows = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("key"), F.round(F.col("l_tax") * 100).alias("tax"))
-    return ml.permuted(rows, "key", "tax", 7).agg(F.sum("tax").alias("total"), F.count(F.lit(1)).alias("n")).withColumn("l_orderkey", F.lit(0))
+    slotted = fs.materialise(sp.hash_index(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", 42, "_slot"), "slots")
+    return ml.permuted(slotted, slotted.count(), ["n_chars"], (7, 5)).select("doc_id", "n_chars", F.col("_moved_n_chars").alias("moved"))
 
 
-@query("g7_fold_report", "fold:i tp:i fp:i fn:i f1:f")
+@query("g7_fold_report", "fold:i rows:i positives:i", f"""
+    WITH x AS (SELECT target, row_number() OVER (ORDER BY date, entity) - 1 AS pos, count(*) OVER () AS n FROM trimmed),
+    f AS (SELECT target, least(3, CASE WHEN pos < n - 3 * (n // 4) THEN 0 ELSE (pos - (n - 3 * (n // 4))) // (n // 4) + 1 END) AS fold FROM x)
+    SELECT fold, count(*) AS rows, count(*) FILTER (target = 1) AS positives FROM f WHERE fold > 0 GROUP BY 1""", ("trimmed",))
 def _(spark, sf):
-    rows = sp.time_folds(_model_rows(spark, sf), SUPPLIER)
-    return ml.folds_report(rows, 3, INPUTS[:3], lambda: ml.forest(5, 4), 0.5)
+    rows = fs.materialise(sp.time_folds(_model_rows(spark, sf), SUPPLIER), "folds")
+    report = ml.folds_report(rows, 3, INPUTS, lambda: ml.forest(REPORT_TREES // 2, 10), 0.5)
+    return report.withColumns({"rows": F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"), "positives": F.col("tp") + F.col("fn")})
 
 
 # ---- sources ---------------------------------------------------------------------------------

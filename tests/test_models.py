@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daystrata.operators import ml
+from daystrata.operators import splits as sp
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,11 @@ def test_importances_and_explanations(rows):
 
 
 def test_permutation(rows):
-    moved = ml.permuted(rows, "id", "a", 9).orderBy("id").toPandas()
+    slotted = sp.hash_index(rows, "id", 42, "_slot")
+    with pytest.raises(ValueError):
+        ml.permuted(slotted, 400, ["a"], (10, 3))
+    moved = ml.permuted(slotted, 400, ["a"], (7, 3)).orderBy("id").toPandas()
+    moved["a"] = moved["_moved_a"]
     plain = rows.orderBy("id").toPandas()
     assert len(moved) == 400 and sorted(moved["a"]) == sorted(plain["a"]) and (moved["a"] != plain["a"]).mean() > 0.9
     assert (moved["b"] == plain["b"]).all()
