@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 def two_sided_p(t: Column, dof: Column) -> Column:
     """NULL if t or the degrees of freedom are missing or below 1; 0 for an infinite t."""
+    t, dof = (F.col(c) if isinstance(c, str) else c for c in (t, dof))
     n = dof.cast("int")
     theta = F.atan(F.abs(t) / F.sqrt(n.cast("double")))
     cos, odd = F.cos(theta), n % 2 == 1

@@ -50,17 +50,20 @@ def run_refresh(stream: DataFrame, spec: PanelSpec, panel_path: str, out_path: s
     """Files of daily rows -> panel log -> refreshed features, batch by batch.
 
     ``panel_path`` collects the raw rows per batch (a later batch wins for the same
-    day); ``prepare`` adds normals, departures and flags. Both sinks are written per
-    batch id, so a replayed batch overwrites itself.
+    day), in folders by a hash of the entity; ``prepare`` adds normals, departures and
+    flags. Of the log, only the folders of the batch's entities are read, and of those
+    only its entities. Both sinks are written per batch id, so a replayed batch
+    overwrites itself.
     """
     keys = [spec.entity, spec.date]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mine = f"{panel_path}/part={batch_id:08d}"
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(mine)
+        rows = batch.withColumns({"_batch": F.lit(batch_id), "_folder": _folder(spec)})
+        rows.repartition("_folder").write.mode("overwrite").partitionBy("_folder").parquet(mine)
         written = spark.read.parquet(mine)
-        panel = latest(spark.read.option("basePath", panel_path).parquet(panel_path), keys)
+        panel = latest(touched_log(spark, panel_path, written, spec), keys)
         fresh = refresh(prepare(panel), written.select(*keys), spec)
         fresh.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/part={batch_id:08d}")
 
@@ -68,6 +71,21 @@ def run_refresh(stream: DataFrame, spec: PanelSpec, panel_path: str, out_path: s
      .foreachBatch(step).start().awaitTermination())
 
 
+FOLDERS = 64
+
+
+def _folder(spec: PanelSpec) -> Column:
+    return F.pmod(F.xxhash64(F.col(spec.entity).cast("string")), F.lit(FOLDERS)).cast("int")
+
+
+def touched_log(spark: SparkSession, panel_path: str, batch: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The log's rows of the batch's entities; folders of no such entity are pruned."""
+    entities = batch.select(spec.entity).distinct()
+    folders = [r[0] for r in entities.select(_folder(spec)).distinct().collect()]  # at most FOLDERS numbers
+    log = spark.read.option("basePath", panel_path).parquet(panel_path).filter(F.col("_folder").isin(folders))
+    return log.join(entities, spec.entity, "left_semi")
+
+
 def newest_features(panel: DataFrame, spec: PanelSpec, history: int | None = None, last: int = 7) -> DataFrame:
     """Features of the newest complete rows from a bounded tail, with the live label proxy."""
     recent = tail(panel, spec, (spec.look_back() if history is None else history) + last)
@@ -146,5 +164,5 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "u
 
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:
     """Current value of an upsert log: the row of the newest batch per key."""
-    rest = [c for c in table.columns if c not in keys and c not in ("_batch", "part")]
+    rest = [c for c in table.columns if c not in keys and c not in ("_batch", "part", "_folder")]
     return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")

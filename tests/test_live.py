@@ -79,7 +79,9 @@ def test_late_correction_reads_history_before_it(spark):
     p = spark.createDataFrame([(e, d, 1.0) for e in "ab" for d in days(100)], "entity string, date date, v double")
     batch = spark.createDataFrame([("a", days(100)[60])], "entity string, date date")
     out = lv.touched_tail(p, batch, SPEC).groupBy("entity").agg(F.min("date"), F.count("*")).collect()
-    assert [tuple(r) for r in out] == [("a", days(100)[20], 80)]
+    back = SPEC.look_back()  # as far as the longest window of the features, the z-score's, and no further
+    assert back == SPEC.z_window + 1
+    assert [tuple(r) for r in out] == [("a", days(100)[60 - back], 40 + back)]
 
 
 def test_streams(spark, tmp_path):
@@ -135,3 +137,20 @@ def test_pending_forecasts(spark):
     assert (r.logged, r.matched, r.precision, r.recall, r.status) == (1, 1, 1.0, 1.0, "available")
     none = tracked_summary(lv.match_outcomes(seen, obs.limit(0), str(days(2)[1]), lim)).first()
     assert (none.matched, none.status, none.precision) == (0, "not_enough_data", None)
+
+
+def test_forecasts_without_a_threshold_stay(spark):
+    log = spark.createDataFrame([("a", days(1)[0], 0.5, 1), ("z", days(1)[0], 0.5, 1)], "entity string, date date, probability double, prediction int")
+    seen = spark.createDataFrame([("a", days(1)[0], 38.0), ("z", days(1)[0], 38.0)], "entity string, date date, observed double")
+    limits = spark.createDataFrame([("a", 37.0)], "entity string, threshold double")
+    out = {r.entity: r.observed_signal for r in lv.match_outcomes(log, seen, "2030-01-01", limits).collect()}
+    assert out == {"a": 1, "z": 0}
+
+
+def test_only_folders_of_the_touched_entities_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(e, d, 1.0) for e in "abcdef" for d in days(3)], "entity string, date date, v double")
+    rows.withColumn("_folder", lv._folder(SPEC)).write.partitionBy("_folder").parquet(str(tmp_path / "log" / "part=00000000"))
+    log = lv.touched_log(spark, str(tmp_path / "log"), rows.filter("entity = 'a'"), SPEC)
+    assert {r.entity for r in log.collect()} == {"a"} and log.count() == 3
+    plan = log._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "_folder" in plan.split("PartitionFilters: [")[1].split("]")[0]

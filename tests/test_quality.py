@@ -124,3 +124,53 @@ def test_constant_baseline_and_missing_month(spark):
     assert list(b.edges) == [6.5, 7.5] and list(b.proportions) == [1.0]
     out = dr.feature_drift(dr.month_psi(_drift_panel(spark, 40, start="2005-02-01"), base, SPEC, ["v"]), SPEC).first()
     assert out.psi is None and out.level == "unavailable" and list(out.missing_months) == [2, 3]
+
+
+@pytest.mark.parametrize("bins", [5, 20])
+def test_psi_takes_the_bins_of_the_baseline(spark, bins):
+    panel = _drift_panel(spark, 1500)
+    base = dr.baseline(panel, SPEC, ["v", "w"], bins=bins).cache()
+    assert base.filter("feature = 'v'").first().proportions.__len__() == bins
+    assert all(abs(r.psi) < 1e-12 for r in dr.month_psi(panel, base, SPEC, ["v", "w"]).collect())
+    assert {r.level for r in dr.feature_drift(dr.month_psi(panel, base, SPEC, ["v", "w"]), SPEC).collect()} == {"stable"}
+
+
+def test_an_entity_outside_the_range_misses_every_date(spark):
+    import datetime as dt
+    from daystrata.operators import quality as qa
+    d = lambda k: dt.date(2024, 1, k)
+    df = spark.createDataFrame([("a", d(2)), ("a", d(4)), ("b", d(20)), ("c", d(1)), ("c", d(5))], "entity string, date date")
+    got = {(r.entity, r.date.day) for r in qa.missing_dates(df, SPEC, "2024-01-01", "2024-01-05").collect()}
+    assert got == {("a", 1), ("a", 3), ("a", 5), *(("b", k) for k in range(1, 6)), ("c", 2), ("c", 3), ("c", 4)}
+
+
+def test_checklist_reports_absent_columns(spark):
+    from daystrata.operators import quality as qa
+    df = spark.createDataFrame([("a", "2024-01-01", 1.0, 0)], "entity string, date string, v double, target int")
+    got = {r.check: (r.ok, r.value) for r in qa.checklist(df, SPEC, ["v", "gone"], 1, 5).collect()}
+    assert got["feature_count"] == (False, 1) and got["complete_features"] == (True, 0) and got["unique_keys"] == (True, 0)
+
+
+def test_null_keys_are_not_totals(spark):
+    from daystrata.operators import explore as ex
+    df = spark.createDataFrame([("train", None, 1), ("train", "x", 0)], "split string, entity string, label int")
+    rows = [(r.split, r.entity, r.total) for r in ex.class_balance(df, "label", ["split", "entity"]).collect()]
+    assert sorted(rows, key=str) == sorted([("train", None, 1), ("train", "x", 1), ("train", "all", 2), ("all", "all", 2)], key=str)
+
+
+def test_student_tail(spark):
+    from daystrata.functions.student import two_sided_p
+    known = [(12.706204736, 1, 0.05), (4.30265273, 2, 0.05), (2.570581836, 5, 0.05), (2.228138852, 10, 0.05), (1.984467455, 98, 0.05), (0.0, 7, 1.0)]
+    df = spark.createDataFrame([(t, n) for t, n, _ in known], "t double, n int")
+    got = [r[0] for r in df.select(two_sided_p(F.col("t"), F.col("n"))).collect()]
+    assert got == pytest.approx([p for *_, p in known], abs=1e-8)
+    odd = spark.createDataFrame([(float("inf"), 3), (None, 3), (1.0, 0), (1.0, None)], "t double, n int")
+    assert [r[0] for r in odd.select(two_sided_p(F.col("t"), F.col("n"))).collect()] == [0.0, None, None, None]
+
+
+def test_all_bad_fields_are_named(spark):
+    from daystrata.operators import validate as vd
+    fields = [f"f{i}" for i in range(14)]
+    df = spark.createDataFrame([("delhi", "2020-01-01", *[None] * 14)], "c string, d string, " + ", ".join(f"{f} string" for f in fields))
+    errors = vd.validate(df, "c", "d", fields).first().errors
+    assert errors == ["missing_value:" + ",".join(fields)]
