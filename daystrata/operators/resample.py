@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daystrata.operators.metrics import rank_metrics, rates
+from daystrata.functions.scalar import ratio
+from daystrata.operators.metrics import rates
+from daystrata.operators.prefix import with_bucket
 from daystrata.operators.splits import hash_index
 from daystrata.spec import PanelSpec
 
@@ -71,42 +73,80 @@ def iid_interval(df: DataFrame, key: Column, threshold: float, draws: int = 500,
                                       F.count(F.lit(1)).alias("draws"))
 
 
-def block_weights(df: DataFrame, spec: PanelSpec, size: int, draws: int, seed: int, per_task: int = 20) -> DataFrame:
-    """(draw, label, p_ref, p_cmp, w): per entity max(1, n // size) blocks of consecutive
-    rows, cut at the entity's end. A task holds one entity (at most a calendar long) for a few draws."""
-    columns = [spec.entity, spec.date, "label", "p_ref", "p_cmp"]
-    both = df.filter(F.col("p_ref").isNotNull() & F.col("p_cmp").isNotNull()).select(*columns)
-    both = both.withColumns({"_seed": F.abs(F.xxhash64(spec.entity)),
-                             "_draws": F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // per_task)))})
-
-    def resample(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(spec.date)
-        n = len(part)
-        frames = []
-        first = int(part["_draws"].iloc[0]) * per_task
-        for d in range(first, min(first + per_task, draws)):
-            starts = np.random.default_rng([seed, d, int(part["_seed"].iloc[0])]).integers(0, n, max(1, n // size))
-            steps = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(steps, starts, 1)
-            np.add.at(steps, np.minimum(starts + size, n), -1)
-            w = np.cumsum(steps)[:n]
-            used = w > 0
-            frames.append(part.loc[used, ["label", "p_ref", "p_cmp"]].assign(draw=d, w=w[used]))
-        return pd.concat(frames)[["draw", "label", "p_ref", "p_cmp", "w"]]
-
-    return both.groupBy(spec.entity, "_draws").applyInPandas(
-        resample, "draw int, label int, p_ref double, p_cmp double, w bigint")
+#: Rows of one score range, and draws that a task weighs at once.
+RANGE_ROWS, DRAWS_AT_ONCE = 20_000, 50
+
+
+def _block_weights(part: pd.DataFrame, size: int, draws: range, seed: int) -> np.ndarray:
+    """How often each row is in a draw (draws down, rows across).
+
+    A draw takes max(1, n // size) blocks of consecutive rows of every entity, cut at its end. Their starts follow from
+    seed, draw and entity alone, so any task knows the weight of any row.
+    """
+    out = np.zeros((len(draws), len(part)), np.int64)
+    at, n, own = (part[c].to_numpy(np.int64) for c in ("_at", "_n", "_seed"))
+    for e in np.unique(own):
+        mine = np.flatnonzero(own == e)
+        rows = int(n[mine[0]])
+        for i, d in enumerate(draws):
+            starts = np.sort(np.random.default_rng([seed, d, int(e)]).integers(0, rows, max(1, rows // size)))
+            out[i, mine] = np.searchsorted(starts, at[mine], "right") - np.searchsorted(starts, at[mine] - size, "right")
+    return out
+
+
+def block_metrics(df: DataFrame, spec: PanelSpec, p: str, threshold: float, size: int, draws: int, seed: int) -> DataFrame:
+    """(draw, f1, average_precision) of the score ``p`` under block resampling; draws without positives are left out.
+
+    Rows are cut into score ranges once. Every range adds up its weights for each draw; with the sums of the ranges above,
+    it then knows its share of the average precision. Only sums are shuffled: ranges x draws rows, no resampled row.
+    """
+    own = Window.partitionBy(spec.entity).orderBy(spec.date)  # at most a calendar
+    rows = df.filter(F.col("p_ref").isNotNull() & F.col("p_cmp").isNotNull() & F.col("label").isNotNull()).select(
+        F.col("label").cast("int").alias("label"), F.col(p).alias("p"), F.abs(F.xxhash64(spec.entity)).alias("_seed"),
+        (F.row_number().over(own) - 1).cast("bigint").alias("_at"), F.count(F.lit(1)).over(Window.partitionBy(spec.entity)).alias("_n"))
+    rows = with_bucket(rows, "p", buckets=max(2, -(-rows.count() // RANGE_ROWS)))
+
+    def chunks():
+        return (range(d, min(d + DRAWS_AT_ONCE, draws)) for d in range(0, draws, DRAWS_AT_ONCE))
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        y, hit = part["label"].to_numpy() == 1, part["p"].to_numpy() >= threshold
+        cells = np.stack([y, ~y, y & hit, ~y & hit]).astype(np.int64)
+        found = [_block_weights(part, size, c, seed) @ cells.T for c in chunks()]
+        out = pd.DataFrame(np.concatenate(found), columns=["pos", "neg", "tp", "fp"]).assign(draw=range(draws), _bucket=part["_bucket"].iloc[0])
+        return out[["_bucket", "draw", "pos", "neg", "tp", "fp"]]
+
+    def area(part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("p", ascending=False)
+        score, y = part["p"].to_numpy(), part["label"].to_numpy() == 1
+        last = np.append(np.flatnonzero(np.diff(score)), len(score) - 1) if len(score) else np.empty(0, np.int64)
+        above = above.sort_values("draw")
+        parts = []
+        for c in chunks():
+            w = _block_weights(part, size, c, seed)
+            tp, all_ = np.cumsum(w * y, axis=1)[:, last], np.cumsum(w, axis=1)[:, last]  # ties are one step
+            step = np.diff(tp, axis=1, prepend=0)
+            tp = tp + above["tp0"].to_numpy()[c.start:c.stop, None]
+            all_ = all_ + (above["tp0"] + above["fp0"]).to_numpy()[c.start:c.stop, None]
+            parts.append((step * tp / np.maximum(all_, 1)).sum(axis=1))
+        return pd.DataFrame({"draw": range(draws), "area": np.concatenate(parts)})
+
+    totals = rows.groupBy("_bucket").applyInPandas(sums, "_bucket double, draw int, pos bigint, neg bigint, tp bigint, fp bigint")
+    higher = Window.partitionBy("draw").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    above = totals.select("_bucket", "draw", F.coalesce(F.sum("pos").over(higher), F.lit(0)).alias("tp0"), F.coalesce(F.sum("neg").over(higher), F.lit(0)).alias("fp0"))
+    shares = rows.groupBy("_bucket").cogroup(above.groupBy("_bucket")).applyInPandas(area, "draw int, area double")
+    counts = totals.groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("pos", "tp", "fp")])
+    f1 = ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos"))
+    return (counts.join(shares.groupBy("draw").agg(F.sum("area").alias("area")), "draw").filter("pos > 0")
+            .select("draw", f1.alias("f1"), (F.col("area") / F.col("pos")).alias("average_precision")))
 
 
 def paired_block_interval(df: DataFrame, spec: PanelSpec, size: int = 14, draws: int = 1000, seed: int = 42,
                           threshold_ref: float = 0.70, threshold_cmp: float = 0.50) -> DataFrame:
-    """Interval of the F1 and average-precision difference (cmp - ref) under block resampling."""
-    w = block_weights(df, spec, size, draws, seed)
-
+    """Interval of the F1 and average-precision difference (cmp - ref) under block resampling; both scores see the same draws."""
     def side(name: str, threshold: float) -> DataFrame:
-        m = rank_metrics(w.withColumnRenamed(f"p_{name}", "p"), ["draw"], "w", threshold)
-        return m.filter("positives > 0").select("draw", F.col("f1").alias(f"f1_{name}"),
-                                                F.col("average_precision").alias(f"ap_{name}"))
+        m = block_metrics(df, spec, f"p_{name}", threshold, size, draws, seed)
+        return m.select("draw", F.col("f1").alias(f"f1_{name}"), F.col("average_precision").alias(f"ap_{name}"))
 
     d = side("ref", threshold_ref).join(side("cmp", threshold_cmp), "draw").select(
         "draw", (F.col("f1_cmp") - F.col("f1_ref")).alias("f1"), (F.col("ap_cmp") - F.col("ap_ref")).alias("pr_auc"))

@@ -122,10 +122,15 @@ def _(spark, sf):
     return picks[0].unionByName(picks[1]).unionByName(picks[2])
 
 
-@query("i14_bootstrap_interval", "metric:s lower:f upper:f draws:i")
+# The draws are random; what the data fix: the metrics, how many draws count, and that an interval holds the measured value.
+@query("i14_bootstrap_interval", "metric:s holds:b draws:i", """
+    SELECT unnest(['f1', 'precision', 'recall', 'brier']) AS metric, TRUE AS holds, 500 AS draws""")
 def _(spark, sf):
-    key = F.col("doc_id")
-    return rs.iid_interval(doc_scores(spark, sf), key, 0.3, draws=500)
+    d = doc_scores(spark, sf)
+    point = mt.threshold_metrics(d, 0.3).select("f1", "precision", "recall").withColumn("brier", mt.brier(d).select("brier").scalar())
+    point = point.unpivot([], ["f1", "precision", "recall", "brier"], "metric", "value")
+    i = rs.iid_interval(d, F.col("doc_id"), 0.3, draws=500).join(point, "metric")
+    return i.select("metric", F.col("value").between(F.col("lower") - 1e-4, F.col("upper") + 1e-4).alias("holds"), "draws")
 
 
 def two_models(spark, sf):
@@ -136,9 +141,17 @@ def two_models(spark, sf):
                     ((F.col("v") * 0.7 + F.col("n") * 20) / (F.col("v") * 0.7 + F.col("n") * 20 + 256.0)).alias("p_cmp"))
 
 
-@query("i15_block_bootstrap", "metric:s mean_diff:f lower:f upper:f draws:i includes_zero:b")
+@query("i15_block_bootstrap", "metric:s holds:b draws:i", "SELECT unnest(['f1', 'pr_auc']) AS metric, TRUE AS holds, 1000 AS draws")
 def _(spark, sf):
-    return rs.paired_block_interval(two_models(spark, sf), ORDERS, draws=100, threshold_ref=0.55)
+    d = two_models(spark, sf)
+    sides = []
+    for name, threshold in (("ref", 0.51), ("cmp", 0.5)):
+        s = d.select("label", F.col(f"p_{name}").alias("p"))
+        sides.append((mt.threshold_metrics(s, threshold).select("f1").scalar(), mt.rank_metrics(s).select("average_precision").scalar()))
+    (f1_ref, ap_ref), (f1_cmp, ap_cmp) = sides
+    point = F.when(F.col("metric") == "f1", f1_cmp - f1_ref).otherwise(ap_cmp - ap_ref)
+    i = rs.paired_block_interval(d, ORDERS, draws=1000, threshold_ref=0.51).withColumn("value", point)
+    return i.select("metric", F.col("value").between(F.col("lower") - 0.01, F.col("upper") + 0.01).alias("holds"), "draws")
 
 
 @query("i16_model_comparison", "model:s " + RATE_COLS, " UNION ALL ".join(

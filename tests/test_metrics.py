@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from conftest import days
 from pyspark.sql import functions as F
 
 from daystrata.operators import metrics as mt
@@ -133,3 +134,24 @@ def test_student_tail(spark):
     df = spark.createDataFrame([(2.0, 10.0), (0.0, 5.0), (12.706204736, 1.0), (float("inf"), 3.0)], "t double, d double")
     got = [r[0] for r in df.select(two_sided_p("t", "d")).collect()]
     assert got == pytest.approx([0.07338803477074, 1.0, 0.05, 0.0], abs=1e-6)
+
+
+def test_block_metrics_equal_resampled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(e, d, int(rng.random() < 0.4), float(rng.integers(0, 30)) / 30, 0.5) for e, n in (("a", 60), ("b", 45), ("c", 5)) for d in days(n)]
+    df = spark.createDataFrame(rows, "entity string, date date, label int, p_ref double, p_cmp double")
+    monkeypatch.setattr(rs, "RANGE_ROWS", 20)
+    monkeypatch.setattr(rs, "DRAWS_AT_ONCE", 3)
+    got = {r.draw: (r.f1, r.average_precision) for r in rs.block_metrics(df, SPEC, "p_ref", 0.5, 7, 8, 3).collect()}
+    seeds = {r.entity: abs(r.h) for r in df.select("entity", F.xxhash64("entity").alias("h")).distinct().collect()}
+    for draw in range(8):
+        y, p = [], []
+        for e, seed in seeds.items():
+            own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == e)
+            for s in np.random.default_rng([3, draw, seed]).integers(0, len(own), max(1, len(own) // 7)):
+                y += [r[1] for r in own[s:s + 7]]
+                p += [r[2] for r in own[s:s + 7]]
+        y, p = np.array(y), np.array(p)
+        tp, fp, fn = ((p >= 0.5) & (y == 1)).sum(), ((p >= 0.5) & (y == 0)).sum(), ((p < 0.5) & (y == 1)).sum()
+        ap = sum(((p == t) & (y == 1)).sum() * ((p >= t) & (y == 1)).sum() / (p >= t).sum() for t in np.unique(p)) / y.sum()
+        assert got[draw] == pytest.approx((2 * tp / (2 * tp + fp + fn), ap))
