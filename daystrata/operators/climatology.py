@@ -61,18 +61,23 @@ def normals(df: DataFrame, spec: PanelSpec, start: str, end: str, half: int = 15
 def pooled_normals(df: DataFrame, spec: PanelSpec, start: str, end: str, half: int = 15) -> DataFrame:
     """Mean and percentile of all baseline day values within ``half`` days of each day of year.
 
-    A value goes to its 31 target days, so a group holds at most 31 values per year:
-    the exact percentile is bounded by the length of the baseline.
+    Every row is shuffled once, to its entity: values are listed by day of year (as many as the baseline has years), and
+    each target day puts the lists around it together.
     """
-    doy = F.dayofyear(spec.date)
-    target = F.pmod(doy + F.col("_off") - 1, F.lit(DAYS)) + 1
-    spread = (baseline(df, spec, start, end).filter(F.col(spec.value).isNotNull())
-              .select(spec.entity, spec.date, spec.value)
-              .withColumn("_off", F.explode(F.sequence(F.lit(-half), F.lit(half)))))
-    return (spread.groupBy(spec.entity, target.alias("doy"))
-            .agg(F.avg(spec.value).alias(spec.normal),
-                 F.percentile(spec.value, F.lit(spec.relative.quantile)).alias("p90"),
-                 F.count(F.lit(1)).alias("pooled_days")))
+    value = F.col(spec.value).cast("double")
+    rows = baseline(df, spec, start, end).filter(F.col(spec.value).isNotNull()).select(
+        spec.entity, F.dayofyear(spec.date).alias("doy"), value.alias("_v"))
+    days = rows.repartition(spec.entity).groupBy(spec.entity, "doy").agg(F.collect_list("_v").alias("_v"))
+    whole = days.groupBy(spec.entity).agg(F.map_from_entries(F.collect_list(F.struct("doy", "_v"))).alias("_m"))
+    none = F.array().cast("array<double>")
+    around = lambda d: F.flatten(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda o: F.coalesce(
+        F.try_element_at("_m", F.pmod(d + o - 1, F.lit(DAYS)) + 1), none)))
+    ring = F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda d: F.struct(d.alias("doy"), F.array_sort(around(d)).alias("_v")))
+    pooled = whole.select(spec.entity, F.inline(ring)).filter(F.size("_v") > 0)
+    at = (F.size("_v") - 1) * F.lit(spec.relative.quantile)
+    low, high = (F.get("_v", f(at).cast("int")) for f in (F.floor, F.ceil))
+    return pooled.select(spec.entity, "doy", (F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / F.size("_v")).alias(spec.normal),
+                         (low + (high - low) * (at - F.floor(at))).alias("p90"), F.size("_v").cast("bigint").alias("pooled_days"))
 
 
 def nearest_normals(table: DataFrame, spec: PanelSpec, reach: int = 14, default: float = 35.0) -> DataFrame:
