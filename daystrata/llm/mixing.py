@@ -16,7 +16,7 @@ from daystrata.operators.prefix import running_sums
 #: Bits of the exponent that one pass over the sources settles, and passes.
 BITS, PASSES = 6, 6
 #: Copies of one source that are ordered together at most, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def tokens(text: Column) -> Column:
