@@ -162,9 +162,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     h, r = fresh(docs, "_text_hash"), fresh(docs, "_repeated")
     prints = written(docs.select("doc_id", F.xxhash64("text").alias(h), fingerprint(F.col("text")).alias("fingerprint")))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(h)))
-    kept = (prints.join(classes(prints), "fingerprint").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
-            .agg(best.alias("best")).select("best.doc_id", f"best.{h}"))
+    # the best of each fingerprint first: a large group of copies is one row in the join
+    best = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(h))).alias("best"))
+    kept = (best.join(classes(prints), "fingerprint").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
+            .agg(F.min("best").alias("best")).select("best.doc_id", f"best.{h}"))
     times = prints.groupBy("doc_id", h).agg((F.count("*") > 1).alias(r))
     same = [F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), F.col(f"d.{h}") == F.col(f"k.{h}")]
     kept = written(kept.alias("d").join(times.alias("k"), same).select("d.doc_id", f"d.{h}", r))
