@@ -133,13 +133,14 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_
         masks = {m: [m | part for part in _masks(full & ~m, radius + 1) if part] for own in masks.values() for m in own}
 
 
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def classes(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``(fingerprint, component_id)``: the smallest doc_id of each component (null if all are null).
 
-    ``prints`` has ``doc_id`` and ``fingerprint``. Copies become one row before anything is compared.
+    ``prints`` has ``doc_id`` and ``fingerprint``. Copies become one row before anything is compared. ``edges`` link
+    fingerprints; without them those within the radius are linked.
     """
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    linked = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
+    linked = components(links(distinct) if edges is None else edges).withColumnRenamed("node", "fingerprint")
     first = (linked.join(distinct, "fingerprint").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return distinct.join(linked.join(first, "component").drop("component"), "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -160,11 +161,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Only ids, fingerprints and text hashes take part in the search; the texts are shuffled once, to keep the chosen rows.
     """
-    h, r = fresh(docs, "_text_hash"), fresh(docs, "_repeated")
+    h = fresh(docs, "_text_hash")
     prints = written(docs.select("doc_id", F.xxhash64("text").alias(h), fingerprint(F.col("text")).alias("fingerprint")))
+    return keep_first(docs, prints, None, h)
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, edges: DataFrame | None, h: str) -> DataFrame:
+    """The first document of each of the ``classes``. ``prints`` has ``doc_id, fingerprint`` and ``h``, the hash of the text."""
+    r = fresh(docs, "_repeated")
     # the best of each fingerprint first: a large group of copies is one row in the join
     best = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(h))).alias("best"))
-    kept = (best.join(classes(prints), "fingerprint").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
+    kept = (best.join(classes(prints, edges), "fingerprint").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
             .agg(F.min("best").alias("best")).select("best.doc_id", f"best.{h}"))
     times = prints.groupBy("doc_id", h).agg((F.count("*") > 1).alias(r))
     same = [F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), F.col(f"d.{h}") == F.col(f"k.{h}")]
