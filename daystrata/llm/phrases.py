@@ -28,6 +28,8 @@ BUCKET_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
 SHARD_BITS, FILTER_BITS = 1 << 20, 1 << 29
 #: Windows under an anchor of more documents take the way that splits a key over tasks.
 HOT_DOCS = 100_000
+#: Distinct words of a slice that one character each can stand for: all code points but U+0000 and the surrogates.
+CHARACTERS = 0x10FFFF - 0x800
 #: Hashes that a map task holds before it sends them on.
 HELD = 1 << 21
 
@@ -181,14 +183,25 @@ def _window_reduce(group: pd.DataFrame) -> pd.DataFrame:
                          "pack": [_pack(h[order[i:j]].view(np.int64), first[order[i:j]]) for i, j in zip(cut, cut[1:])]})
 
 
-def _phrases(found: Batch, first: np.ndarray, ids: np.ndarray) -> tuple[ahocorasick.Automaton, np.ndarray, list[str]]:
-    """Automaton of the confirmed phrases, first document of each, and the documents as strings of one character a word.
+def _characters(number: np.ndarray) -> tuple[str, int]:
+    """Numbers from 1 on as text, and the characters that each takes: two where there are more numbers than characters.
+
+    The first of two is below the surrogates and the second above U+FFFF, so a match cannot start inside a pair.
+    """
+    if number.max(initial=0) <= CHARACTERS:
+        codes, width = number + np.where(number >= 0xD800, 0x800, 0), 1  # no surrogates
+    else:
+        codes, width = np.stack([1 + (number >> 20), 0x10000 + (number & 0xFFFFF)], axis=1), 2
+    return codes.astype("<u4").tobytes().decode("utf-32-le"), width
+
+
+def _phrases(found: Batch, first: np.ndarray, ids: np.ndarray) -> tuple[ahocorasick.Automaton, np.ndarray, list[str], int]:
+    """Automaton of the confirmed phrases, first document of each, the documents as strings, and the characters of a word.
 
     A passage (a run of windows to remove) is compiled as phrases of 13 words side by side and one at its end, which cover it.
     """
     number = np.unique(found.words.hashes, return_inverse=True)[1] + 1
-    number = number + np.where(number >= 0xD800, 0x800, 0)  # no surrogates
-    text = number.astype("<u4").tobytes().decode("utf-32-le")
+    text, width = _characters(number)
     chosen = np.flatnonzero(first < ids[found.rows])
     b = _bounds(found.at[chosen] - np.arange(len(chosen)), found.rows[chosen])
     inside = np.arange(len(chosen)) - np.repeat(b, np.diff(np.append(b, len(chosen))))
@@ -197,11 +210,11 @@ def _phrases(found: Batch, first: np.ndarray, ids: np.ndarray) -> tuple[ahocoras
     chosen = chosen[(inside % WINDOW == 0) | last]
     automaton = ahocorasick.Automaton()
     for k, at in enumerate(found.at[chosen].tolist()):
-        automaton.add_word(text[at:at + WINDOW], k)
+        automaton.add_word(text[at * width:(at + WINDOW) * width], k)
     if len(chosen):
         automaton.make_automaton()
     o = found.words.offsets
-    return automaton, first[chosen], [text[i:j] for i, j in zip(o, o[1:])]
+    return automaton, first[chosen], [text[i * width:j * width] for i, j in zip(o, o[1:])], width
 
 
 def _remove(columns: list[str]):
@@ -221,16 +234,17 @@ def _remove(columns: list[str]):
                 mine = found.hashes()
                 place = np.minimum(np.searchsorted(h, mine), len(h) - 1)
                 first = np.where((h[place] == mine) & ~none[part][found.rows], first_of[place], first)
-            automaton, firsts, streams = _phrases(found, first, own)
+            automaton, firsts, streams, width = _phrases(found, first, own)
             for i, stream in enumerate(streams):
-                gone = np.zeros(len(stream), bool)
+                length = len(stream) // width
+                gone = np.zeros(length, bool)
                 if len(firsts) and not none[part][i]:
                     hits = np.array([(end, k) for end, k in automaton.iter(stream)], np.int64).reshape(-1, 2)
                     hits = hits[firsts[hits[:, 1]] < own[i]]
-                    gone = covered(hits[:, 0] - WINDOW + 1, WINDOW, len(stream))
+                    gone = covered(hits[:, 0] // width - WINDOW + 1, WINDOW, length)
                 a = found.words.offsets[i]
                 rest = np.flatnonzero(~gone) + a
-                n_words.append(len(stream))
+                n_words.append(length)
                 n_removed.append(int(gone.sum()))
                 buffer = found.words.buffer
                 kept.append(b" ".join([buffer[s:e] for s, e in zip(found.words.starts[rest].tolist(), found.words.ends[rest].tolist())]))

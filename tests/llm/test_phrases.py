@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from helpers import documents, solid
 
@@ -40,3 +42,19 @@ def test_equals_brute_force(spark, hot):
 
 def test_empty_table(spark):
     assert phrases.remove_repeats(documents(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_more_words_than_characters():
+    """One text of more distinct words than there are code points: it failed in decode."""
+    passage = [f"p{i}" for i in range(40)]
+    many = [f"{i:x}" for i in range(1_112_073)]
+    text = " ".join(passage + many + passage[5:30])
+    windows = phrases.Batch([" ".join(passage)]).hashes()
+    told = pd.DataFrame({"pack": [phrases._pack(windows, np.ones(len(windows)))], "h": [None], "first": [None]})
+    docs = pd.DataFrame({"doc_id": [2], "none": [False], "text": [text]})
+    got = phrases._remove(["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])(docs, told).iloc[0]
+    assert (got.n_words, got.n_removed) == (len(many) + 65, 65) and got.kept == " ".join(many)
+    for top in (phrases.CHARACTERS, phrases.CHARACTERS + 1):
+        number = np.array([1, 0xD7FF, 0xD800, top])
+        made, width = phrases._characters(number)
+        assert len(made) == 4 * width and len({made[i:i + width] for i in range(0, len(made), width)}) == 4
