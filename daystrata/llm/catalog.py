@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daystrata.llm import chat, decontamination, hashing, html, mil, mixing, phrases, secrets, simhash, warc
+from daystrata.llm import chat, decontamination, hashing, html, lexical, mil, mixing, phrases, secrets, simhash, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -289,3 +289,47 @@ FROM summed WHERE epoch * n + until <= quota""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of the documents: every copy with its epoch, block and place."""
     return mixing.listing(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op11_nonnegative_pu")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", mil.held_out(F.col("doc_id")).alias("held_out"), toxicity.scored(model, docs).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query("op12_polarisation_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_k2_treap", r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, w, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)
+  WHERE len(w) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), totals),
+scores AS (
+  SELECT a.item_id, d.doc_id, d.r,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked a JOIN weights USING (term) JOIN tf USING (term) JOIN d USING (r), totals GROUP BY 1, 2, 3)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scores WHERE score > 0)
+WHERE k <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
