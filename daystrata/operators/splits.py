@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daystrata.functions.scalar import mix
+from daystrata.operators.neighbours import nearest_rows
 from daystrata.operators.prefix import BUCKET_ROWS, row_index, running_sums
+from daystrata.sources.files import materialise
 from daystrata.spec import PanelSpec
 
 
@@ -89,6 +91,34 @@ def oversample(df: DataFrame, label: str, key: Column, seed: int = 42) -> DataFr
     return neg.withColumn("draw", F.lit(None).cast("bigint")).unionByName(drawn).drop("_key")
 
 
+def smote(df: DataFrame, label: str, key: Column, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """All rows (label, features) and as many interpolated positives as it takes to have as many as negatives.
+
+    Synthetic row t starts at the positive on position hash(t) modulo their number (in hash order of their unique key) and goes
+    a hashed share of the way to one of its k nearest positives. ``draw`` is t, ``base`` and ``neighbour`` are keys (all NULL for
+    given rows), ``gap`` the share. Rows whose label is null count on neither side; positives with a null or non-finite feature
+    are kept but neither start nor end a line. With fewer than two such positives there is nothing to interpolate.
+    Use it on training rows only.
+    """
+    keyed = df.select(key.cast("bigint").alias("_key"), F.col(label).cast("int").alias(label), *[F.col(c).cast("double").alias(c) for c in features])
+    given = keyed.drop("_key").withColumns({"draw": F.lit(None).cast("bigint"), "base": F.lit(None).cast("bigint"),
+                                            "neighbour": F.lit(None).cast("bigint"), "gap": F.lit(None).cast("double")})
+    positives = keyed.filter(F.col(label) == 1)
+    n_pos, n_neg = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    lines = materialise(nearest_rows(positives, "_key", features, k).filter(F.size("neighbours") > 0), "lines")
+    usable = lines.count()
+    if not usable or n_neg <= n_pos:
+        return given
+    t = F.col("draw")
+    draws = df.sparkSession.range(n_neg - n_pos).select(F.col("id").alias("draw")).select(
+        "draw", F.pmod(mix(t, seed), F.lit(usable)).alias("_pos"), mix(t, seed + 1).alias("_pick"), (mix(t, seed + 2) / float(1 << 32)).alias("gap"))
+    x = draws.join(hash_index(lines, "key", seed, "_pos"), "_pos")
+    other = F.element_at("neighbours", (F.pmod(F.col("_pick"), F.size("neighbours")) + 1).cast("int"))
+    x = x.withColumn("_to", other)
+    made = [(F.col("x")[i] + F.col("gap") * (F.col("_to.x")[i] - F.col("x")[i])).alias(c) for i, c in enumerate(features)]
+    return given.unionByName(x.select(F.lit(1).alias(label), *made, "draw", F.col("key").alias("base"), F.col("_to.key").alias("neighbour"), "gap"))
+
+
 def class_weights(df: DataFrame, label: str, cap: float = 50.0) -> DataFrame:
     """Balanced class weights, the plain and doubled imbalance ratio, and its capped form."""
     n, pos = F.count(label), F.sum(label)

@@ -6,6 +6,7 @@ from daystrata.functions.scalar import mix_sql, season_name
 from daystrata.operators import features as ft
 from daystrata.operators import prefix
 from daystrata.operators import splits as sp
+from daystrata.operators.neighbours import nearest_rows
 from daystrata.plans import panels
 from daystrata.plans.bindings import NEEDS, ORDERS, SUPPLIER, CTES, orders_daily, supplier_daily, supplier_dim
 from daystrata.plans.registry import query
@@ -186,6 +187,43 @@ def _(spark, sf):
     return both.groupBy("entity", "date", "label").agg(F.count(F.lit(1)).alias("copies"))
 
 
+_SMOTE = ("v", "qty", "disc", "tax")
+
+
+def _smote_rows(spark, sf):
+    train = panels.splits_by_year(panels.labelled(spark, sf)).filter("split = 'train'")
+    return materialise(train.select("entity", "date", "label", *_SMOTE), "smote")
+
+
+@query("g5_neighbours", "key:i rank:i neighbour:i distance:f", f"""
+    WITH p AS (SELECT {KEY} AS key, v, qty, disc, tax FROM labelled WHERE label = 1 AND year(date) <= 1999),
+    t AS (SELECT a.key, min(((a.v - b.v) * (a.v - b.v) + (a.qty - b.qty) * (a.qty - b.qty) + (a.disc - b.disc) * (a.disc - b.disc)
+                             + (a.tax - b.tax) * (a.tax - b.tax), b.key), 5) AS best FROM p a JOIN p b ON a.key <> b.key GROUP BY 1)
+    SELECT key, r AS rank, best[r][2] AS neighbour, sqrt(best[r][1]) AS distance FROM t, range(1, 6) x(r) WHERE r <= len(best)""", ("labelled",))
+def _(spark, sf):
+    key = F.col("entity") * 100000 + F.unix_date("date")
+    rows = _smote_rows(spark, sf).filter("label = 1").withColumn("key", key)
+    found = nearest_rows(rows, "key", list(_SMOTE), 5).select("key", F.posexplode("neighbours").alias("rank", "n"))
+    return found.select("key", (F.col("rank") + 1).alias("rank"), F.col("n.key").alias("neighbour"), F.col("n.distance").alias("distance"))
+
+
+@query("g5_smote", "label:i draw:i base:i neighbour:i gap:f v:f qty:f disc:f tax:f", f"""
+    WITH a AS (SELECT {KEY} AS key, label, v, qty, disc, tax FROM labelled WHERE year(date) <= 1999),
+    p AS (SELECT *, row_number() OVER (ORDER BY {mix_sql('key')}, key) - 1 AS pos FROM a WHERE label = 1),
+    n AS (SELECT x.key, min(((x.v - y.v) * (x.v - y.v) + (x.qty - y.qty) * (x.qty - y.qty) + (x.disc - y.disc) * (x.disc - y.disc)
+                             + (x.tax - y.tax) * (x.tax - y.tax), y.key), 5) AS best FROM p x JOIN p y ON x.key <> y.key GROUP BY 1),
+    d AS (SELECT t AS draw, {mix_sql('t')} % (SELECT count(*) FROM p) AS pos, {mix_sql('t', 43)} AS pick, {mix_sql('t', 44)} / 4294967296.0::DOUBLE AS gap
+          FROM range((SELECT count(*) FILTER (label = 0) - count(*) FILTER (label = 1) FROM a)) r(t)),
+    j AS (SELECT draw, gap, p.key AS base, best[pick % len(best) + 1][2] AS neighbour, p.v, p.qty, p.disc, p.tax
+          FROM d JOIN p USING (pos) JOIN n ON n.key = p.key)
+    SELECT label, NULL AS draw, NULL AS base, NULL AS neighbour, NULL AS gap, v, qty, disc, tax FROM a
+    UNION ALL SELECT 1, draw, base, neighbour, gap, j.v + gap * (p.v - j.v), j.qty + gap * (p.qty - j.qty), j.disc + gap * (p.disc - j.disc),
+      j.tax + gap * (p.tax - j.tax) FROM j JOIN p ON p.key = j.neighbour""", ("labelled",))
+def _(spark, sf):
+    key = F.col("entity") * 100000 + F.unix_date("date")
+    return sp.smote(_smote_rows(spark, sf), "label", key, list(_SMOTE))
+
+
 @query("g6_class_weights", "n:i positives:i weight_0:f weight_1:f ratio:f double_ratio:f capped_ratio:f", """
     SELECT count(*) AS n, sum(label) AS positives, count(*) / (2.0 * (count(*) - sum(label))) AS weight_0,
            count(*) / (2.0 * sum(label)) AS weight_1, (count(*) - sum(label)) / sum(label) AS ratio,
