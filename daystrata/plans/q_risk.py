@@ -10,7 +10,10 @@ from daystrata.plans import panels
 from daystrata.plans.analysis import analyse, as_document
 from daystrata.plans.bindings import CTES, NEEDS, SUPPLIER, scored, supplier_daily, supplier_dim, table
 from daystrata.plans.registry import query
+from daystrata.sources.files import scratch_folder
 from daystrata.streaming import alerts as al
+from daystrata.streaming import live
+from daystrata.streaming import outbox as ob
 
 FEATS = ["v", "qty", "disc"]
 CTES["drift_long"], NEEDS["drift_long"] = """
@@ -265,7 +268,7 @@ def _(spark, sf):
     return al.candidates(_forecasts(spark, sf), _subscriptions(spark, sf))
 
 
-@query("j8_l6_l9_due_alerts", "subscription_id:i date:d level:s slot:i", f"""
+_DUE_SQL = f"""
     WITH {_ALERT_SQL},
     dl AS (SELECT o_custkey AS subscription_id, DATE '2001-10-01' + CAST(o_orderkey % 31 AS INT) AS date,
              CASE WHEN o_totalprice > 250000 THEN 'EXTREME' ELSE 'HIGH' END AS level,
@@ -279,12 +282,31 @@ def _(spark, sf):
            LEFT JOIN td ON td.subscription_id = c.subscription_id
            WHERE fl.made IS NULL OR 1001912400 >= fl.made + least(60, pow(2, fl.attempts)) * 60)
     SELECT subscription_id, date, level, slot FROM (
-      SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY date, rk) + n AS slot FROM op) WHERE slot <= 2""",
-       ("supplier_daily",))
+      SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY date, rk) + n AS slot FROM op) WHERE slot <= 2"""
+_NOW = 1001912400  # 2001-10-01 05:00 UTC, mid-morning local time
+
+
+@query("j8_l6_l9_due_alerts", "subscription_id:i date:d level:s slot:i", _DUE_SQL, ("supplier_daily",))
 def _(spark, sf):
-    now = F.timestamp_seconds(F.lit(1001912400))  # 2001-10-01 05:00 UTC, mid-morning local time
     cand = al.candidates(_forecasts(spark, sf), _subscriptions(spark, sf))
-    return al.due(cand, _deliveries(spark, sf), now)
+    return al.due(cand, _deliveries(spark, sf), F.timestamp_seconds(F.lit(_NOW)))
+
+
+@query("l6_l9_alert_stream", "subscription_id:i date:d level:s slot:i", _DUE_SQL, ("supplier_daily",))
+def _(spark, sf):
+    """The same alerts from a stream: reports arrive first, then the forecasts and a beat that moves the watermark past now."""
+    folder, now = scratch_folder(spark, "alerts"), F.timestamp_seconds(F.lit(_NOW))
+    told = ob.events(al.candidates(_forecasts(spark, sf), _subscriptions(spark, sf)).limit(0), _deliveries(spark, sf), now)
+    asked = ob.events(al.candidates(_forecasts(spark, sf), _subscriptions(spark, sf)), _deliveries(spark, sf).limit(0), now)
+    schema = asked.schema.fields
+    beat = spark.range(1).select(*[(F.timestamp_seconds(F.lit(_NOW + 3 * 86400 + 1)) if f.name == "at" else F.lit(None).cast(f.dataType)).alias(f.name)
+                                   for f in schema])
+    for arriving in (told, asked.unionByName(beat)):
+        arriving.write.mode("append").parquet(f"{folder}/in")
+        # the second run goes on from the checkpoint
+        stream = live.file_stream(spark, f"{folder}/in", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
+        ob.run_outbox(stream, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(ob.DUE).parquet(f"{folder}/out")
 
 
 _TEXTS = {"en": "{level} in {city} on {date}, {probability}", "hi": "{city}, {date}: {level} / {probability}"}
