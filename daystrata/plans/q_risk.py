@@ -357,15 +357,24 @@ def _(spark, sf):
 
 
 # Forecast log against later observations: orders as forecasts, the daily panel as outcome.
-def _tracked(spark, sf):
-    from daystrata.streaming.live import match_outcomes
-    log = table(spark, sf, "lineitem").select(
+def _forecast_log(spark, sf):
+    return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("entity"), F.to_date("l_shipdate").alias("date"), (F.col("l_quantity") / 50).alias("probability"),
         (F.col("l_quantity") >= 35).cast("int").alias("prediction"))
-    observed = supplier_daily(spark, sf).filter("date < DATE '2001-05-01'").select("entity", "date", F.col("v").alias("observed"))
-    # only the coastal entities have a threshold of their own; the last weeks are not observed yet
-    return match_outcomes(log, observed, "2001-06-01", supplier_dim(spark, sf).filter("region_type = 'coastal'").select(
-        "entity", F.lit(37.0).alias("threshold")))
+
+
+def _observed(spark, sf):
+    # the last weeks are not observed yet
+    return supplier_daily(spark, sf).filter("date < DATE '2001-05-01'").select("entity", "date", F.col("v").alias("observed"))
+
+
+def _thresholds(spark, sf):
+    # only the coastal entities have a threshold of their own
+    return supplier_dim(spark, sf).filter("region_type = 'coastal'").select("entity", F.lit(37.0).alias("threshold"))
+
+
+def _tracked(spark, sf):
+    return live.match_outcomes(_forecast_log(spark, sf), _observed(spark, sf), "2001-06-01", _thresholds(spark, sf))
 
 
 _TRACK = """
@@ -383,6 +392,23 @@ def _(spark, sf):
     return _tracked(spark, sf)
 
 
+@query("j6_l5_outcome_stream", "entity:i date:d prediction:i observed:f observed_signal:i", f"WITH {_TRACK} SELECT * FROM t",
+       ("supplier_daily", "supplier_dim"))
+def _(spark, sf):
+    """The same outcomes from two file streams; a beat on both moves the watermark past the last day before today."""
+    folder = scratch_folder(spark, "outcomes")
+    sides = {"log": _forecast_log(spark, sf), "seen": _observed(spark, sf)}
+    for first in (True, False):
+        streams = []
+        for name, rows in sides.items():
+            beat = {"entity": F.lit(-len(name)), "date": F.lit("2001-06-03")}  # of no entity, another one on each side
+            arriving = rows if first else spark.range(1).select(*[beat.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+            arriving.write.mode("append").parquet(f"{folder}/{name}")
+            streams.append(live.file_stream(spark, f"{folder}/{name}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)))
+        live.run_outcomes(*streams, _thresholds(spark, sf), f"{folder}/out", f"{folder}/state", delay="36 hours")
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("i17_i18_tracked_summary", "logged:i matched:i status:s precision:f recall:f proxy_accuracy:f", f"""
     WITH {_TRACK} SELECT count(*) AS logged, count(observed_signal) AS matched, 'available' AS status,
       round(count(*) FILTER (prediction = 1 AND observed_signal = 1)::DOUBLE / count(*) FILTER (prediction = 1 AND observed_signal IS NOT NULL), 4) AS precision,

@@ -6,7 +6,8 @@ correction of an old day simply recomputes the rows that can see it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,6 +138,46 @@ def file_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parqu
     return r.load(folder)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state on disk beside the executors, not in their memory."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def outcome_stream(log: DataFrame, observed: DataFrame, thresholds: DataFrame, delay: str = "2 days", grace: str = "1 day",
+                   default: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Forecasts (entity, date, ...) with what was observed (entity, date, observed), both as streams.
+
+    A stream-stream left outer join: both sides are late by ``delay`` at most and wait for each other in the state store. A
+    forecast whose day, ``grace`` and delay have passed without an observation comes out once, as pending (NULL); later rows of
+    either side are dropped. The day bounds how long a row is kept. The output has the columns of ``match_outcomes``.
+    """
+    asked = log.withColumn("_due", F.col("date").cast("timestamp")).withWatermark("_due", delay)
+    seen = observed.select(F.col("entity").alias("_entity"), F.col("date").alias("_date"), "observed",
+                           F.col("date").cast("timestamp").alias("_at")).withWatermark("_at", delay)
+    same = ((F.col("entity") == F.col("_entity")) & (F.col("date") == F.col("_date")) & (F.col("_at") >= F.col("_due"))
+            & (F.col("_at") <= F.col("_due") + F.expr(f"INTERVAL {grace}")))
+    x = asked.join(seen, same, "leftOuter").drop("_entity", "_date", "_due", "_at").join(thresholds, "entity", "left")
+    x = x.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
+    return x.withColumn("observed_signal", (F.col("observed") >= F.col("threshold")).cast("int"))
+
+
+def run_outcomes(log: DataFrame, observed: DataFrame, thresholds: DataFrame, path: str, checkpoint: str, **options) -> None:
+    """Process what is there; outcomes and expired forecasts are appended to ``path``, each once."""
+    with rocksdb(log.sparkSession):
+        (outcome_stream(log, observed, thresholds, **options).writeStream.outputMode("append").format("parquet").option("path", path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str = "2 days") -> DataFrame:
     """First row per key within the watermark; state is dropped when it passes."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

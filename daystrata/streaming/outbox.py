@@ -9,17 +9,17 @@ import datetime as dt
 from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from daystrata.spec import ALERT_ZONE, DAILY_CAP, QUIET_FROM, QUIET_UNTIL, RISK_RANK
+from daystrata.streaming.live import rocksdb
 
 EVENT = "at bigint, kind string, date date, level string, probability double, attempts int"
 ALERT = "date date, level string, wanted boolean, probability double, sent boolean, attempts int, failed bigint, handed bigint"
 CLOCK = "day date, used int, wake bigint"
 DUE = "subscription_id bigint, date date, level string, probability double, slot int, due_at timestamp"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _names(schema: str) -> list[str]:
@@ -181,12 +181,6 @@ def due_alerts(stream: DataFrame, delay: str = "3 days", cap: int = DAILY_CAP, z
 
 def run_outbox(stream: DataFrame, path: str, checkpoint: str, **options) -> None:
     """Process what is there; due alerts are appended to ``path``. The file sink's log makes each micro-batch count once."""
-    spark: SparkSession = stream.sparkSession
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKSDB)
-    try:
+    with rocksdb(stream.sparkSession):
         (due_alerts(stream, **options).writeStream.outputMode("append").format("parquet").option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
-    finally:
-        spark.conf.set(setting, before)

@@ -86,3 +86,35 @@ def test_odd_rows_only_move_the_watermark(spark, tmp_path):
            (3, NOW, "candidate", DAY[1], "HIGH", None, None)]
     got = play(spark, tmp_path, [odd, [beat(minutes(120))]], delay="1 hour")
     assert got == [(3, NOW, DAY[1], "HIGH", 1)]
+
+
+LOG, SEEN = "entity string, date date, prediction int", "entity string, date date, observed double"
+
+
+def test_outcomes_of_two_streams(spark, tmp_path):
+    """Late rows on both sides, a restart before each file, and what the watermark has passed: pending, once."""
+    d = days(30, "2024-05-01")
+    limits = spark.createDataFrame([("a", 37.0)], "entity string, threshold double")
+    src = {n: str(tmp_path / n) for n in ("log", "seen")}
+
+    def feed(log, seen):
+        for name, rows, schema in (("log", log, LOG), ("seen", seen, SEEN)):
+            if rows:
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src[name])
+        lv.run_outcomes(*(lv.file_stream(spark, src[n], s) for n, s in (("log", LOG), ("seen", SEEN))), limits,
+                        str(tmp_path / "out"), str(tmp_path / "ck"), delay="2 days")
+        out = spark.read.schema(LOG + ", observed double, threshold double, observed_signal int").parquet(str(tmp_path / "out"))
+        return sorted((r.entity, r.date, r.prediction, r.observed, r.observed_signal) for r in out.collect() if r.observed is not None), sorted(
+            (r.entity, r.date, r.prediction) for r in out.collect() if r.observed is None)
+
+    feed([("a", d[5], 1), ("b", d[5], 0), ("a", d[6], 1)], [("x", d[6], 1.0)])
+    met, pending = feed([("c", d[5], 1)], [("a", d[5], 38.0), ("c", d[5], 38.0)])  # both sides late, within the delay
+    assert met == [("a", d[5], 1, 38.0, 1), ("c", d[5], 1, 38.0, 0)] and pending == []
+    feed([("z", d[9], 0)], [("z", d[9], 50.0)])
+    met, pending = feed([("q", d[2], 1)], [("a", d[6], 36.0), ("b", d[5], 99.0)])
+    # the watermark stands at d[7]: b of d[5] and a of d[6] are over unless observed, and rows before it come too late
+    assert pending == [("b", d[5], 0)] or pending == [("a", d[6], 1), ("b", d[5], 0)]
+    assert ("z", d[9], 0, 50.0, 1) in met and all(m[:2] != ("q", d[2]) and m[3] != 99.0 for m in met)
+    feed([("y", d[20], 0)], [("y", d[20], 50.0)])
+    final = feed([("y", d[29], 0)], [("y", d[29], 50.0)])
+    assert final[1] == [("a", d[6], 1), ("b", d[5], 0)] and len(final[0]) == 5
