@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from daystrata.operators import features as ft
 from daystrata.spec import PanelSpec
+from daystrata.streaming.log import FOLDERS, CompactedLog
 
 # Fixed value: the observed signal starts here where an entity has no threshold of its own.
 DEFAULT_THRESHOLD = 40.0
@@ -50,21 +51,18 @@ def run_refresh(stream: DataFrame, spec: PanelSpec, panel_path: str, out_path: s
                 prepare: Callable[[DataFrame], DataFrame]) -> None:
     """Files of daily rows -> panel log -> refreshed features, batch by batch.
 
-    ``panel_path`` collects the raw rows per batch (a later batch wins for the same
-    day), in folders by a hash of the entity; ``prepare`` adds normals, departures and
-    flags. Of the log, only the folders of the batch's entities are read, and of those
-    only its entities. Both sinks are written per batch id, so a replayed batch
+    ``panel_path`` is a ``CompactedLog`` of the raw rows (a later batch wins for the same day), in folders by a hash of the
+    entity; ``prepare`` adds normals, departures and flags. Of the log, only the runs that the manifest lists for the folders of
+    the batch's entities are read, and of those only its entities. Both sinks are written per batch id, so a replayed batch
     overwrites itself.
     """
     keys = [spec.entity, spec.date]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mine = f"{panel_path}/part={batch_id:08d}"
-        rows = batch.withColumns({"_batch": F.lit(batch_id), "_folder": _folder(spec)})
-        rows.repartition("_folder").write.mode("overwrite").partitionBy("_folder").parquet(mine)
-        written = spark.read.parquet(mine)
-        panel = latest(touched_log(spark, panel_path, written, spec), keys)
+        log = CompactedLog(spark, panel_path, keys, spec.entity)
+        written = log.append(batch, batch_id)
+        panel = latest(touched_log(spark, f"{panel_path}/data", written, spec, lambda folders: log.paths(batch_id, folders)), keys)
         fresh = refresh(prepare(panel), written.select(*keys), spec)
         fresh.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/part={batch_id:08d}")
 
@@ -72,18 +70,20 @@ def run_refresh(stream: DataFrame, spec: PanelSpec, panel_path: str, out_path: s
      .foreachBatch(step).start().awaitTermination())
 
 
-FOLDERS = 64
-
-
 def _folder(spec: PanelSpec) -> Column:
     return F.pmod(F.xxhash64(F.col(spec.entity).cast("string")), F.lit(FOLDERS)).cast("int")
 
 
-def touched_log(spark: SparkSession, panel_path: str, batch: DataFrame, spec: PanelSpec) -> DataFrame:
-    """The log's rows of the batch's entities; folders of no such entity are pruned."""
+def touched_log(spark: SparkSession, panel_path: str, batch: DataFrame, spec: PanelSpec,
+                paths: Callable[[list[int]], list[str]] | None = None) -> DataFrame:
+    """The log's rows of the batch's entities; folders of no such entity are pruned. ``paths`` names the runs of the folders
+    that count; without it all do."""
     entities = batch.select(spec.entity).distinct()
     folders = [r[0] for r in entities.select(_folder(spec)).distinct().collect()]  # at most FOLDERS numbers
-    log = spark.read.option("basePath", panel_path).parquet(panel_path).filter(F.col("_folder").isin(folders))
+    runs = [panel_path] if paths is None else paths(folders)
+    if not runs:  # an empty batch
+        return batch.limit(0)
+    log = spark.read.option("basePath", panel_path).parquet(*runs).filter(F.col("_folder").isin(folders))
     return log.join(entities, spec.entity, "left_semi")
 
 
