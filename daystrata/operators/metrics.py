@@ -137,12 +137,35 @@ def sweep(df: DataFrame, thresholds: list[float], by: list[str] | None = None) -
     return rates(wide.select(*by, F.inline("_rows")))
 
 
+def percent_sweep(df: DataFrame, low: int, high: int, by: list[str] | None = None) -> DataFrame:
+    """Threshold table of all whole percents from ``low`` to ``high``, however many, at the cost of one count.
+
+    A row adds to the cell of the highest percent that it reaches; the (at most 102) cells of a group are then summed from
+    above. The cell is settled by comparison with the thresholds themselves, as p * 100 may be rounded across one.
+    """
+    by = by or []
+    guess = F.floor(F.col("p") * 100)
+    cell = guess + (F.col("p") >= (guess + 1) / 100.0).cast("int") - (F.col("p") < guess / 100.0).cast("int")
+    cells = (df.filter(F.col("p").isNotNull() & ~F.isnan("p")).groupBy(*by, F.greatest(F.least(cell, F.lit(high)), F.lit(low - 1)).cast("int").alias("_k"))
+             .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")))
+    wide = cells.groupBy(*by).agg(F.collect_list(F.struct("_k", "p", "n")).alias("_cells"))
+
+    def total(k: Column, name: str, above: bool) -> Column:
+        part = F.filter("_cells", lambda c: (c["_k"] >= k) if above else (c["_k"] < k))
+        return F.aggregate(part, F.lit(0).cast("bigint"), lambda s, c: s + F.coalesce(c[name], F.lit(0)))
+
+    rows = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: F.struct(
+        (k / 100.0).alias("threshold"), total(k, "p", True).alias("tp"), total(k, "n", True).alias("fp"),
+        total(k, "n", False).alias("tn"), total(k, "p", False).alias("fn")))
+    return rates(wide.select(*by, F.inline(rows)))
+
+
 def best_threshold(table: DataFrame, rule: str = "f1_precision", by: list[str] | None = None,
                    floor: float = 0.25) -> DataFrame:
     """Pick one threshold per group of a sweep table.
 
     f1_precision: highest F1, then precision, then the lowest threshold.
-    f1_first: highest F1, the lowest threshold on ties.
+    f1_first: highest F1, the lowest threshold on ties; 0.5 where no threshold has an F1 above zero.
     recall_floor: among precision >= floor the highest recall, then F-beta, precision
     and the lowest threshold; when none qualifies, the same order over all.
     """
@@ -152,7 +175,8 @@ def best_threshold(table: DataFrame, rule: str = "f1_precision", by: list[str] |
         "f1_first": F.struct("f1", low),
         "recall_floor": F.struct((F.col("precision") >= floor).alias("ok"), "recall", "fbeta", "precision", low),
     }[rule]
-    keep = ["threshold", "precision", "recall", "f1"]
+    threshold = F.when(F.col("f1") > 0, F.col("threshold")).otherwise(0.5) if rule == "f1_first" else F.col("threshold")
+    keep = [threshold.alias("threshold"), "precision", "recall", "f1"]
     picked = table.groupBy(*(by or [])).agg(F.max_by(F.struct(*keep), order).alias("_b"))
     return picked.select(*(by or []), "_b.*")
 

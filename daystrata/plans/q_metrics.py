@@ -109,16 +109,31 @@ def _(spark, sf):
     return mt.sweep(scored(spark, sf), SWEEP)
 
 
+# The whole percents that the rules choose from.
+FINE, RECALL_FIRST = (5, 94), (10, 90)
+
+
+def _percent_sql(low, high, rows="scored", by=""):
+    grid = f"(SELECT unnest(range({low}, {high + 1})) / 100.0::DOUBLE AS t)"
+    return f"SELECT {by} t AS threshold, {RATES} FROM (SELECT {by} t, {CONF.format('t')} FROM {rows}, {grid} GROUP BY ALL)"
+
+
+@query("i12_percent_sweep", "threshold:f " + RATE_COLS, _percent_sql(*FINE), ("scored",))
+def _(spark, sf):
+    return mt.percent_sweep(scored(spark, sf), *FINE)
+
+
 @query("i13_best_threshold", "rule:s threshold:f precision:f recall:f f1:f", f"""
-    WITH {_SWEEP_SQL},
+    WITH {_SWEEP_SQL}, fine AS ({_percent_sql(*FINE)}), rf AS ({_percent_sql(*RECALL_FIRST)}),
     a AS (SELECT 'f1_precision' AS rule, * FROM sw ORDER BY f1 DESC, precision DESC, threshold LIMIT 1),
-    b AS (SELECT 'f1_first' AS rule, * FROM sw ORDER BY f1 DESC, threshold LIMIT 1),
-    c AS (SELECT 'recall_floor' AS rule, * FROM sw
+    b AS (SELECT 'f1_first' AS rule, * FROM fine ORDER BY f1 DESC, threshold LIMIT 1),
+    c AS (SELECT 'recall_floor' AS rule, * FROM rf
           ORDER BY precision >= 0.25 DESC, recall DESC, fbeta DESC, precision DESC, threshold LIMIT 1)
     SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""", ("scored",))
 def _(spark, sf):
-    table = mt.sweep(scored(spark, sf), SWEEP)
-    picks = [mt.best_threshold(table, r).withColumn("rule", F.lit(r)) for r in ("f1_precision", "f1_first", "recall_floor")]
+    rows = scored(spark, sf)
+    tables = {"f1_precision": mt.sweep(rows, SWEEP), "f1_first": mt.percent_sweep(rows, *FINE), "recall_floor": mt.percent_sweep(rows, *RECALL_FIRST)}
+    picks = [mt.best_threshold(t, r).withColumn("rule", F.lit(r)) for r, t in tables.items()]
     return picks[0].unionByName(picks[1]).unionByName(picks[2])
 
 
@@ -235,3 +250,37 @@ def _(spark, sf):
        ("scored",))
 def _(spark, sf):
     return rs.ensemble_spread(_ensemble(spark, sf))
+
+
+_RUNS = """
+    runs AS (SELECT l_orderkey, l_linenumber, label, p AS p, 0 AS run FROM scored UNION ALL
+             SELECT l_orderkey, l_linenumber, label, p * 0.5, 1 FROM scored UNION ALL SELECT l_orderkey, l_linenumber, label, p * 0.9, 2 FROM scored)"""
+
+
+def _runs(spark, sf):
+    p = F.col("p")
+    return scored(spark, sf).select("l_orderkey", "l_linenumber", "label", F.posexplode(F.array(p, p * 0.5, p * 0.9)).alias("run", "p"))
+
+
+@query("h7_run_thresholds", "run:i threshold:f f1:f", f"""
+    WITH {_RUNS}, t AS ({_percent_sql(*FINE, "runs", "run,")})
+    SELECT run, CASE WHEN max(f1) > 0 THEN arg_max(threshold, (f1, -threshold)) ELSE 0.5 END AS threshold, max(f1) AS f1 FROM t GROUP BY 1""",
+       ("scored",))
+def _(spark, sf):
+    return mt.best_threshold(mt.percent_sweep(_runs(spark, sf), *FINE, by=["run"]), "f1_first", by=["run"])
+
+
+@query("h7_ensemble_at_mean_threshold", "threshold:f runs:i " + RATE_COLS, f"""
+    WITH {_RUNS}, t AS ({_percent_sql(*FINE, "runs", "run,")}),
+    b AS (SELECT run, CASE WHEN max(f1) > 0 THEN arg_max(threshold, (f1, -threshold)) ELSE 0.5 END AS threshold FROM t GROUP BY 1),
+    m AS (SELECT avg(threshold) AS threshold, count(*) AS runs FROM b),
+    e AS (SELECT avg(p) AS p, max(label) AS label FROM runs GROUP BY l_orderkey, l_linenumber)
+    SELECT threshold, runs, {RATES} FROM (SELECT threshold, runs, {CONF.format('threshold')} FROM e, m GROUP BY ALL)""", ("scored",))
+def _(spark, sf):
+    """The ensemble judged at the mean of its runs' own thresholds."""
+    runs = _runs(spark, sf)
+    chosen = rs.mean_threshold(mt.best_threshold(mt.percent_sweep(runs, *FINE, by=["run"]), "f1_first", by=["run"]))
+    rows = runs.groupBy("l_orderkey", "l_linenumber").agg(F.avg("p").alias("p"), F.max("label").alias("label"))
+    judged = rows.withColumn("t", chosen.select("threshold").scalar())
+    counts = judged.agg(*mt.confusion(F.col("label"), F.col("p") >= F.col("t")))
+    return mt.rates(counts).join(chosen, F.lit(True))  # one row each

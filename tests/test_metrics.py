@@ -155,3 +155,24 @@ def test_block_metrics_equal_resampled_rows(spark, monkeypatch):
         tp, fp, fn = ((p >= 0.5) & (y == 1)).sum(), ((p >= 0.5) & (y == 0)).sum(), ((p < 0.5) & (y == 1)).sum()
         ap = sum(((p == t) & (y == 1)).sum() * ((p >= t) & (y == 1)).sum() / (p >= t).sum() for t in np.unique(p)) / y.sum()
         assert got[draw] == pytest.approx((2 * tp / (2 * tp + fp + fn), ap))
+
+
+def test_percent_sweep_counts_each_threshold_exactly(spark):
+    """Scores on and beside the thresholds, outside of [0, 1] and missing; two groups."""
+    import math
+    ps = [k / 100 for k in range(101)] + [math.nextafter(k / 100, s) for k in range(101) for s in (-1, 2)] + [-0.5, 1.5]
+    rows = [(g, p, (i + g) % 2) for g in (0, 1) for i, p in enumerate(ps)] + [(0, None, 1), (1, float("nan"), 1), (2, 0.3, 1)]
+    df = spark.createDataFrame(rows, "g int, p double, label int")
+    got = mt.percent_sweep(df, 5, 94, by=["g"]).collect()
+    assert len(got) == 3 * 90
+    for r in got:
+        mine = [(p, y) for g, p, y in rows if g == r.g and p is not None and p == p]
+        assert (r.tp, r.fp) == (sum(y for p, y in mine if p >= r.threshold), sum(1 - y for p, y in mine if p >= r.threshold))
+        assert r.tp + r.fp + r.tn + r.fn == len(mine)
+    wide = mt.sweep(df.filter("NOT isnan(p)"), [k / 100 for k in range(5, 95)]).select("threshold", "tp", "fp", "fn", "tn").collect()
+    assert sorted(map(tuple, wide)) == sorted(map(tuple, mt.percent_sweep(df, 5, 94).select("threshold", "tp", "fp", "fn", "tn").collect()))
+
+
+def test_no_threshold_helps(spark):
+    none = spark.createDataFrame([(0.6, 0), (0.01, 1)], "p double, label int")
+    assert mt.best_threshold(mt.percent_sweep(none, 5, 94), "f1_first").first().threshold == 0.5
