@@ -10,18 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_
+from uuid import uuid4
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one bucket, about, and most buckets (their cuts are literals of the plan). No effect on a result.
-BUCKET_ROWS, MOST_BUCKETS = 250_000, 4096
-
-
-def buckets_for(rows: int) -> int:
-    return max(2, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+#: Rows that a bucket may hold before it is cut further (a single value cannot be cut). No effect on a result.
+BUCKET_ROWS = 250_000
+#: Bits that a radix pass settles.
+DIGIT = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,20 +33,60 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def order_key(value: Column) -> Column:
+    """A long that orders like the double: its IEEE bits, negated for negative values. Zeros are one, NaN comes last.
+
+    Scaling by a power of two is exact, and so is 2^n for whole n; the guess by the logarithm is put right by comparison.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    guess = guess + (size >= F.pow(F.lit(2.0), guess + 1)).cast("long") - (size < F.pow(F.lit(2.0), guess)).cast("long")
+    power = F.greatest(F.least(guess, F.lit(1023)), F.lit(-1022))
+    # two factors, as 2^1023 times the mantissa's scale is no double
+    bits = (power + 1022) * F.lit(2**52) + (size / F.pow(F.lit(2.0), power) * F.lit(2.0**52)).cast("long")
+    bits = F.when(size == 0, 0).when(size == float("inf"), 2047 * 2**52).otherwise(bits)
+    return F.when(F.isnan(value), 2**63 - 1).when(value < 0, -bits).otherwise(bits).cast("long")
+
+
 def with_bucket(df: DataFrame, column: str, raw: DataFrame | None = None, out: str = "_bucket",
                 buckets: int | None = None) -> DataFrame:
-    """Cut a numeric column at approximate quantiles of its non-null rows.
+    """A bucket that is monotone in a numeric column, of about ``BUCKET_ROWS`` rows at most.
 
-    ``approxQuantile`` is a mergeable sketch, so the driver gets ``buckets`` numbers
-    and nothing else. The cuts become literals of the plan: a recomputed task
-    cannot see different ones. They are taken from ``raw`` (the rows before ties
-    were collapsed) where given, which needs no shuffle. Without ``buckets``, their
-    number follows from the rows.
+    Radix cells: the leading ``DIGIT`` bits of the value's order key are counted, and only the cells that hold too many rows
+    go on to the next digit. The names of those that went on are a joined table, however many there are; where there are
+    none (any small table) nothing is joined. Cells are counted on ``raw`` (the rows before ties were collapsed) where given.
+    A null comes last. With ``buckets``, the column is cut at that many approximate quantiles instead.
     """
-    if buckets is None:
-        buckets = buckets_for((df if raw is None else raw).count())
+    if buckets is not None:
+        return _cut(df, column, df if raw is None else raw, out, buckets)
+    source = (df if raw is None else raw).select(order_key(F.col(column).cast("double")).alias("_key")).filter("_key IS NOT NULL")
+    made = df.withColumn("_key", F.coalesce(order_key(F.col(column).cast("double")), F.lit(2**63 - 1)))
+    cell = lambda bits: F.shiftleft(F.shiftright("_key", bits), bits)
+    bucket, inside = cell(64 - DIGIT), None
+    for bits in range(64 - DIGIT, 0, -DIGIT):
+        rows = source if inside is None else source.withColumn("_cell", cell(bits + DIGIT)).join(inside, "_cell", "left_semi").drop("_cell")
+        heavy = rows.groupBy(cell(bits).alias("_cell")).count().filter(F.col("count") > BUCKET_ROWS).select("_cell")
+        heavy = _stored(heavy)
+        if heavy.isEmpty():
+            break
+        mark = f"_in{bits}"
+        made = made.withColumn("_cell", cell(bits)).join(heavy.withColumn(mark, F.lit(True)), "_cell", "left").drop("_cell")
+        bucket, inside = F.when(F.col(mark), cell(bits - DIGIT)).otherwise(bucket), heavy
+    marks = [c for c in made.columns if c.startswith("_in") and c[3:].isdigit()]
+    return made.withColumn(out, bucket).drop("_key", *marks)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once and read back: a small table that several jobs use."""
+    path = f"{shared_folder(df.sparkSession)}/cells-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _cut(df: DataFrame, column: str, raw: DataFrame, out: str, buckets: int) -> DataFrame:
+    """Cut at approximate quantiles. The cuts are literals of the plan: a recomputed task cannot see different ones."""
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set((df if raw is None else raw).approxQuantile(column, probabilities, 1 / (2 * buckets))))
+    cuts = sorted(set(raw.approxQuantile(column, probabilities, 1 / (2 * buckets))))
     splits = [float("-inf"), *cuts, float("inf")]
     return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
 
@@ -80,31 +119,51 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), **extra: Co
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linearly interpolated quantiles of arbitrarily large groups.
+    """Exact linearly interpolated quantiles of arbitrarily large groups, by radix selection.
 
-    Bucket totals tell which buckets hold a wanted position; only those are ordered.
+    The order keys of the values are settled ``DIGIT`` bits a pass: rows are counted by (group, digit), and only the cells
+    with a wanted position go on, until each holds at most ``BUCKET_ROWS`` distinct values or is a single one; these are sorted. The collapsed values are stored once, so the passes read a narrow table; what a pass leaves
+    is a row for each group and position. Any number of rows may lie between two neighbouring doubles.
     """
     by = list(by)
-    df = df.withColumn(column, F.col(column).cast("double"))
-    counts = with_bucket(value_counts(df, column, by), column, df)
-    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    totals = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_t"))  # one row per group and bucket
-    edges = totals.select(*by, "_bucket", "_t", (F.sum("_t").over(upto) - F.col("_t")).alias("_before"),
-                          F.sum("_t").over(Window.partitionBy(*by)).alias("_size"))
-    ranks = {name: (F.col("_size") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    positions = {(name, side): f(r) for name, r in ranks.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
-    holds = reduce(or_, [(at >= F.col("_before")) & (at < F.col("_before") + F.col("_t")) for at in positions.values()])
-    local = Window.partitionBy(*by, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.join(edges.filter(holds), [*by, "_bucket"]).withColumn("cum", F.sum("n").over(local) + F.col("_before"))
-    aggs = []
-    for name, rank in ranks.items():
-        for side in ("lo", "hi"):
-            at = positions[name, side]
-            aggs.append(F.max(F.when((F.col("cum") > at) & (F.col("cum") - F.col("n") <= at), F.col(column))).alias(f"_{name}_{side}"))
-        aggs.append(F.max(rank - F.floor(rank)).alias(f"_{name}_f"))
-    wide = cum.groupBy(*by).agg(*aggs)
-    return wide.select(*by, *[(F.col(f"_{q}_lo") + (F.col(f"_{q}_hi") - F.col(f"_{q}_lo")) * F.col(f"_{q}_f")).alias(q)
-                              for q in probs])
+    counts = value_counts(df.withColumn(column, F.col(column).cast("double")), column, by)
+    values = _stored(counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(column).alias("_value"),
+                                   order_key(F.col(column)).alias("_key"), F.col("n").alias("_n")))
+    keys = [f"_by{i}" for i in range(len(by))]
+    same = lambda a, b, names: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names], F.lit(True))
+    rank = lambda p: (F.col("_size") - 1) * F.lit(float(p))
+    sides = [F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), f(rank(p)).alias("at"), (rank(p) - F.floor(rank(p))).alias("part"))
+             for name, p in probs.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    sizes = values.groupBy(*keys).agg(F.sum("_n").alias("_size")).filter(F.col("_size") > 0)
+    wanted = sizes.select(*keys, F.inline(F.array(*sides)), F.lit(0).cast("long").alias("_in"))
+
+    def within(names: list[str], bits: int) -> DataFrame:
+        """The stored values in the wanted cells."""
+        if bits >= 64:
+            return values.withColumn("_in", F.lit(0).cast("long"))  # one cell holds all at first
+        rows = values.withColumn("_in", F.shiftright("_key", bits))
+        return rows.alias("r").join(wanted.select(*names).distinct().alias("c"), same("r", "c", names), "left_semi")
+
+    cells, bits = [*keys, "_in"], 64
+    while bits:
+        # at most 2^DIGIT cells meet in a window
+        found = within(cells, bits).groupBy(*cells, F.shiftright("_key", bits - DIGIT).alias("_cell")).agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"))
+        upto = Window.partitionBy(*cells).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        holds = same("w", "f", cells) & (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))
+        wanted = _stored(wanted.alias("w").join(found.alias("f"), holds).select(
+            *[F.col(f"w.{c}") for c in keys], "q", "side", (F.col("at") - F.col("_before")).alias("at"), "part", F.col("_cell").alias("_in"), F.col("f._rows").alias("_rows")))
+        bits -= DIGIT
+        if (wanted.agg(F.max("_rows")).first()[0] or 0) <= BUCKET_ROWS:
+            break  # small cells are put in order as they are (a cell of all bits is one value)
+    upto = Window.partitionBy(*cells).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    found = within(cells, bits).withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    holds = same("w", "f", cells) & (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))
+    wanted = wanted.alias("w").join(found.alias("f"), holds).select(*[F.col(f"w.{c}") for c in keys], "q", "side", "part", "_value")
+    value = lambda name, side: F.max(F.when((F.col("q") == name) & (F.col("side") == side), F.col("_value")))
+    out = wanted.groupBy(*keys).agg(*[
+        (value(q, "lo") + (value(q, "hi") - value(q, "lo")) * F.max(F.when(F.col("q") == q, F.col("part")))).alias(q) for q in probs])
+    return out.select(*[F.col(f"_by{i}").alias(c) for i, c in enumerate(by)], *probs)
 
 
 def average_ranks(df: DataFrame, column: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:

@@ -176,3 +176,52 @@ def test_percent_sweep_counts_each_threshold_exactly(spark):
 def test_no_threshold_helps(spark):
     none = spark.createDataFrame([(0.6, 0), (0.01, 1)], "p double, label int")
     assert mt.best_threshold(mt.percent_sweep(none, 5, 94), "f1_first").first().threshold == 0.5
+
+
+def test_order_key_is_the_order_of_doubles(spark):
+    import math
+    import struct
+    import sys
+    rng = np.random.default_rng(0)
+    v = [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, sys.float_info.max, -sys.float_info.max, math.inf, -math.inf, 1.0, math.nextafter(1, 0),
+         math.nextafter(1, 2), 2.0**52, 8.0, math.nextafter(8, 0), 0.1, -0.1]
+    v += [x for x in (struct.unpack("<d", rng.bytes(8))[0] for _ in range(3000)) if x == x]
+    got = dict(map(tuple, spark.createDataFrame([(x,) for x in v], "v double").select("v", prefix.order_key(F.col("v")).alias("k")).collect()))
+    for x in v:
+        bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert got[x] == (-bits if x < 0 else bits), x
+    odd = spark.createDataFrame([(-0.0,), (float("nan"),), (None,)], "v double").select(prefix.order_key(F.col("v"))).collect()
+    assert [r[0] for r in odd] == [0, 2**63 - 1, None]
+
+
+@pytest.mark.parametrize("rows", [0, 1, 20, 250_000])
+def test_quantiles_between_neighbouring_doubles(spark, monkeypatch, rows):
+    """For any size of a cell that is sorted, down to none, which takes every pass. All rows of a group on two neighbouring doubles, a null group, negative values; against numpy."""
+    import math
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", rows)
+    rng, up = np.random.default_rng(1), math.nextafter(0.3, 1)
+    data = {"a": [0.3] * 700 + [up] * 301, "b": list(rng.normal(0, 1e-3, 400)) + [-1e300, 1e300], None: [-2.5], "c": list(rng.integers(-5, 5, 333) / 4.0)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs] + [("a", None), ("z", None)], "g string, x double").repartition(3)
+    out = {r.g: r for r in prefix.exact_quantiles(df, "x", {"lo": 0.0, "q1": 0.25, "m": 0.5, "q": 0.933, "hi": 1.0}, ["g"]).collect()}
+    assert set(out) == set(data)
+    for g, xs in data.items():
+        want = np.quantile(np.array(xs), [0.0, 0.25, 0.5, 0.933, 1.0])
+        assert np.allclose([out[g][c] for c in ("lo", "q1", "m", "q", "hi")], want, rtol=1e-12, atol=0), g
+    assert prefix.exact_quantiles(df.limit(0), "x", {"m": 0.5}).collect() in ([], [(None,)])
+
+
+def test_buckets_are_cut_until_they_are_small(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", 40)
+    rng = np.random.default_rng(2)
+    xs = [1 + i * 2.0**-52 for i in range(300)] + list(rng.normal(0, 1, 500)) + [0.5] * 100
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    rows = [(r.x, r["_bucket"]) for r in prefix.with_bucket(df, "x").collect()]
+    assert len(rows) == len(xs)
+    rows.sort()
+    assert [b for _, b in rows] == sorted(b for _, b in rows)
+    sizes = {}
+    for x, b in rows:
+        sizes.setdefault(b, []).append(x)
+    assert all(len(s) <= 40 or len(set(s)) == 1 or max(s) - min(s) < 2.0**-36 for s in sizes.values())
+    plan = prefix.with_bucket(df, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "1.0" not in plan  # no cut is a literal
