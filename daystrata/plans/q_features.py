@@ -10,7 +10,8 @@ from daystrata.operators.neighbours import nearest_rows
 from daystrata.plans import panels
 from daystrata.plans.bindings import NEEDS, ORDERS, SUPPLIER, CTES, orders_daily, supplier_daily, supplier_dim
 from daystrata.plans.registry import query
-from daystrata.sources.files import materialise
+from daystrata.sources.files import materialise, scratch_folder
+from daystrata.sources.stored import side_by_side
 
 VARS = SUPPLIER.variables
 W = "(PARTITION BY entity ORDER BY date{})"
@@ -160,6 +161,19 @@ def _(spark, sf):
     return sp.reassemble(x, y, meta, SUPPLIER)
 
 
+@query("a15_positional", "entity:i date:d v:f qty:f target:i region_type:s", """
+    SELECT entity, date, v, qty, target, region_type FROM featured WHERE year(date) = 2000""", ("featured",))
+def _(spark, sf):
+    """Three stored parts without a common key, put side by side by position."""
+    prefix.ensure_checkpoint_dir(spark)
+    rows = panels.featured(spark, sf).filter("year(date) = 2000").select("entity", "date", "v", "qty", "target", "region_type").checkpoint()
+    folder, parts = scratch_folder(spark, "parts"), []
+    for name, columns in (("meta", ["entity", "date", "region_type"]), ("x", ["v", "qty"]), ("y", ["target"])):
+        rows.select(*columns).write.parquet(f"{folder}/{name}")  # the partitions of the checkpoint, in their order
+        parts.append(spark.read.parquet(f"{folder}/{name}"))
+    return side_by_side(parts)
+
+
 def _label_rows(spark, sf):
     # resampling reads its rows several times: write them once
     return materialise(panels.labelled(spark, sf).select("entity", "date", "label"), "labels")

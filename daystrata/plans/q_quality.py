@@ -10,6 +10,7 @@ from daystrata.operators import validate as vd
 from daystrata.plans import panels
 from daystrata.plans.bindings import ORDERS, SUPPLIER, events_daily, orders_daily, supplier_daily, supplier_dim, table
 from daystrata.plans.registry import query
+from daystrata.sources.stored import stored_order
 
 VARS = list(SUPPLIER.variables)
 
@@ -145,6 +146,16 @@ def _(spark, sf):
     return qa.strictly_increasing(raw, SUPPLIER)
 
 
+# DuckDB numbers the rows of a scan in stored order.
+@query("c11_stored_order", "entity:i n:i descents:i repeats:i ok:b", """
+    WITH p AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date, row_number() OVER () AS place FROM lineitem),
+    s AS (SELECT *, lag(date) OVER (PARTITION BY entity ORDER BY place) AS before FROM p)
+    SELECT entity, count(*) AS n, count(*) FILTER (date < before) AS descents, count(*) FILTER (date = before) AS repeats,
+           count(*) FILTER (date <= before) = 0 AS ok FROM s GROUP BY 1""")
+def _(spark, sf):
+    return stored_order(table(spark, sf, "lineitem"), SUPPLIER, F.col("l_suppkey"), F.to_date("l_shipdate"), range_rows=5000)
+
+
 @query("c12_constant_columns", "column:s constant:b", """
     SELECT 'v' AS "column", min(v) = max(v) AS constant FROM supplier_daily
     UNION ALL SELECT 'one', TRUE""", ("supplier_daily",))
