@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,7 +29,7 @@ _LIKELY = ("password", "passwd", "secret", "token", "api")
 _NAME = r"(?<![A-Za-z0-9_.$-])[A-Za-z_$][A-Za-z0-9_.$-]*+"
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _PAIR = re.compile(rf"""({_NAME})["']?[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?=[\w"'$+/-])""", re.A)
-_PART = re.compile(rf"({_QUOTED})|([A-Za-z0-9+/_.=$-]+)", re.A)
+_STRING, _BARE = re.compile(_QUOTED), re.compile(r"[A-Za-z0-9+/_.=$-]+")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'A-Za-z_$])", re.A)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -43,39 +46,122 @@ def name_score(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE.get(f"{a} {b}", 0.0) for a, b in zip(words, words[1:])], default=0.0)
 
 
-def literal_score(value: str) -> float:
+_KINDS = [re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9 ]")]
+#: Characters up to which a joined value is kept as it is; of a longer one only what the score needs is kept.
+_SHORT = 64
+
+
+@dataclass(frozen=True)
+class Value:
+    """What the score has to know of a value: names that double in every line would make it longer than any memory."""
+
+    length: int = 0
+    kinds: int = 0
+    short: str | None = ""
+    head: str = ""
+    last: str = ""
+    same: str = ""
+    space: bool = False
+    reference: bool = False
+    wordy: bool = True
+
+    @classmethod
+    def of(cls, text: str) -> Value:
+        kinds = sum(bool(p.search(text)) << i for i, p in enumerate(_KINDS))
+        one = text[:1].lower()
+        return cls(len(text), kinds, text if len(text) <= _SHORT else None, text[:7], text[-1:], one if one * len(text) == text.lower() else "",
+                   " " in text, "${" in text or "{{" in text, re.fullmatch(r"\w*", text) is not None)
+
+    def __add__(self, other: Value) -> Value:
+        if not self.length or not other.length:
+            return self if self.length else other
+        n = self.length + other.length
+        return Value(min(n, 1 << 60), self.kinds | other.kinds, self.short + other.short if n <= _SHORT else None,
+                     (self.head + other.head)[:7], other.last, self.same if self.same == other.same else "", self.space or other.space,
+                     self.reference or other.reference or self.last + other.head[:1] in ("${", "{{"), self.wordy and other.wordy)
+
+    def dummy(self) -> bool:
+        if self.short is not None:
+            return bool(_DUMMY.match(self.short))
+        return (self.wordy and self.head.lower() == "example") or self.same in ("x", "*", ".", "-")
+
+
+def literal_score(value: Value) -> float:
     """Lower for short values, plain words and sentences; 0 for placeholders and references."""
-    if len(value) < 6 or _DUMMY.match(value) or "${" in value or "{{" in value or value[:1] == "<":
+    if value.length < 6 or value.dummy() or value.reference or value.head[:1] == "<":
         return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9 ]"))
-    return (0.6 + 0.2 * (kinds - 1)) * (0.5 if " " in value else 1.0)
+    return (0.6 + 0.2 * (value.kinds.bit_count() - 1)) * (0.5 if value.space else 1.0)
+
 
+def assignments(text: str) -> Iterator[tuple[str, Value, list]]:
+    """(name, value, literals that make it) in text order; names that were assigned before are replaced.
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of the literals that make it) in text order; names that were assigned before are replaced."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    The literals are a tree of (start, end) pairs and lists of two trees; an assignment shares those of the names it uses.
+    """
+    known: dict[str, tuple[Value, list]] = {}
+    run, longest = Run(text, 0, 0), 0
     for pair in _PAIR.finditer(text):
-        at, value, spans, quoted = pair.end(), "", [], False
-        while part := _PART.match(text, at):
-            if part[1]:
-                value, quoted = value + part[1][1:-1], True
-                spans.append((part.start() + 1, part.end() - 1))
-            elif part[2] in known:
-                value, quoted = value + known[part[2]][0], True
-                spans += known[part[2]][1]
-            elif not value and not quoted:
-                value, spans = part[2], [part.span()]
+        at, value, spans = pair.end(), None, []
+        while True:
+            if part := _STRING.match(text, at):
+                more, where, end = Value.of(part[0][1:-1]), (part.start() + 1, part.end() - 1), part.end()
             else:
-                break  # an unknown name in a chain
-            plus = _PLUS.match(text, part.end())
+                if not run.start <= at < run.end:
+                    word = _BARE.match(text, at)
+                    if not word:
+                        break
+                    run = Run(text, at, word.end())
+                end = run.end
+                if end - at <= longest and text[at:end] in known:
+                    more, where = known[text[at:end]]
+                elif value is None:
+                    more, where = run.value(at), (at, end)
+                else:
+                    break  # an unknown name in a chain
+            value, spans = (more, where) if value is None else (value + more, [spans, where])
+            plus = _PLUS.match(text, end)
             if not plus:
                 break
             at = plus.end()
-        if spans:
+        if value is not None:
             known[pair[1]] = (value, spans)
+            longest = max(longest, len(pair[1]))
             yield pair[1], value, spans
 
 
+class Run:
+    """A bare word. ``a=b=c`` gives ``a`` the word ``b=c`` and ``b`` the word ``c``: all of them end together, so the marks that
+    tell their values are looked for once."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end, self.marks = text, start, end, None
+
+    def value(self, at: int) -> Value:
+        if self.end - at <= 4 * _SHORT:
+            return Value.of(self.text[at:self.end])
+        if self.marks is None:
+            word = self.text[self.start:self.end]
+            last = [max((m.start() for m in p.finditer(word)), default=-1) for p in (*_KINDS, re.compile(r"\W"))]
+            alike = len(word.lower()) - len(word.lower().rstrip(word[-1:].lower()))
+            self.marks = [self.start + x if x >= 0 else -1 for x in last], self.end - alike
+        last, alike = self.marks
+        kinds = sum((x >= at) << i for i, x in enumerate(last[:4]))
+        return Value(self.end - at, kinds, None, self.text[at:at + 7], self.text[self.end - 1], self.text[at].lower() if at >= alike else "",
+                     False, False, last[4] < at)
+
+
+def _leaves(tree, seen: set[int]) -> Iterator[tuple[int, int]]:
+    """The pairs of a tree; parts in ``seen`` were told before."""
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):
+            yield node
+        elif id(node) not in seen:
+            seen.add(id(node))
+            todo += node
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start and then kind; code points, end exclusive."""
     if not text:
@@ -87,17 +173,20 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if ":" in text or "=" in text:
+        told, literals, trees = set(), set(), []
+        for name, value, spans in assignments(text):
+            if (s := name_score(name)) and s * literal_score(value) >= LEAST_SCORE:
+                trees.append(spans)  # so that no id is used twice
+                literals.update(x for x in _leaves(spans, told) if x[0] < x[1])
         base = sorted(found)
-        literals = {span for name, value, spans in assignments(text)
-                    if (s := name_score(name)) and s * literal_score(value) >= LEAST_SCORE for span in spans if span[0] < span[1]}
-        found += [(a, b, "literal") for a, b in literals if not _inside(a, b, base)]
+        starts, reach = [x[0] for x in base], list(accumulate((x[1] for x in base), max))
+        for a, b in literals:
+            before = bisect_right(starts, a)  # base spans that start no later; is one of them as long?
+            if not before or reach[before - 1] < b:
+                found.append((a, b, "literal"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def _inside(a: int, b: int, spans: list[tuple[int, int, str]]) -> bool:
-    return any(s <= a and b <= e for s, e, _ in spans)
-
-
 def redact(text: str) -> str:
     out, at = [], 0
     for a, b, _ in find(text):

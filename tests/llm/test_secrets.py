@@ -66,3 +66,28 @@ def test_redacted_documents(spark):
 def test_linear_on_awkward_input():
     for text in ("a" * 300_000, "a=" * 100_000, '"' * 200_000, "x = y + " * 50_000, "password " * 40_000):
         s.find(text)
+
+
+def test_names_that_double():
+    """A value of 2^200 characters, many literals, many base spans: time and memory stay linear."""
+    assert literals('pwd = "x9-Fq2"\n' + "pwd = pwd + pwd\n" * 200) == ["x9-Fq2"]
+    lines = "".join(f'part{i} = part{i - 1} + "x9-Fq{i}"\n' for i in range(1, 30_000))
+    got = s.find('part0 = "aB-123"\n' + lines + "my_credential = part29999\n" + "pwd = part29999 + part29998\n")
+    assert sum(k == "literal" for *_, k in got) == 30_000
+    assert len(s.find('token=abcdef1 my_pwd = "aB 9-xxx"\n' * 20_000)) == 40_000
+
+
+def test_joined_values_score_as_written_out():
+    import itertools
+    pieces = ["", "x", "X", "exam", "ple", "example_1", "$", "{a", "{", "a b", "A1-", "<", "change", "me", "*" * 70, "x" * 70, "example" + "y" * 70, "Aa1" * 30]
+    for a, b, c in itertools.product(pieces, repeat=3):
+        assert s.Value.of(a) + s.Value.of(b) + s.Value.of(c) == s.Value.of(a + b + c) or not a + b + c, (a, b, c)
+        whole = a + b + c
+        assert (s.Value.of(a) + s.Value.of(b) + s.Value.of(c)).dummy() == bool(s._DUMMY.match(whole)), whole
+
+
+def test_words_with_a_common_end():
+    text = "pwd=" * 300 + "Aq-7" + "x" * 300
+    run = s.Run(text, 4, len(text))
+    assert all(run.value(at) == s.Value.of(text[at:]) for at in range(4, len(text), 3))
+    s.find("pwd=" * 50_000)
