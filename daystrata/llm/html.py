@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,6 +28,8 @@ _NAMES = frozenset("ad ads advert adverts advertisement advertising banner spons
                    " notice notices alert popup modal overlay sidebar menu menus nav navbar navigation breadcrumb breadcrumbs header"
                    " masthead footer comment comments disqus reply replies share sharing social newsletter subscribe signup related"
                    " recommended widget toolbar pagination pager skip hidden login search".split())
+# Words that make a name tell what an element holds or is laid out with, not what it is.
+_HOLDS = frozenset("with has have no without layout".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -38,6 +41,7 @@ class Line:
     tags: int
     region: int
     kept: bool
+    central: bool = False
 
 
 def _boilerplate(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
@@ -49,7 +53,8 @@ def _boilerplate(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     if re.search(r"display\s*:\s*none", given.get("style") or ""):
         return True
     names = f"{given.get('class') or ''} {given.get('id') or ''}"
-    return tag not in ("body", "html", "main") and any(t.lower() in _NAMES for t in _TOKEN.findall(names))
+    words = [{t.lower() for t in _TOKEN.findall(name)} for name in names.split()]
+    return tag not in ("body", "html", "main") and any(w & _NAMES and not w & _HOLDS for w in words)
 
 
 class Lines(HTMLParser):
@@ -60,14 +65,17 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.dropped: list[str] = []  # the open boilerplate element and what is open in it
+        self.dropped: list[str] = []  # the open boilerplate element, and those of its kind that are open in it
+        self.inside: Counter[str] = Counter()  # elements open in it
+        self.around: Counter[str] = Counter()  # elements open around it
         self.sections: list[tuple[str, int]] = [("", 0)]
         self.regions = 0
 
     def border(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.sections[-1][1], not self.dropped))
+            self.lines.append(Line(text, self.tags, self.sections[-1][1], not self.dropped,
+                                   self.inside["article"] + self.inside["main"] > 0))
             self.tags = 0
         self.parts.clear()
 
@@ -76,9 +84,13 @@ class Lines(HTMLParser):
         if self.dropped:
             if len(self.dropped) == 1 and self.dropped[0] in _IMPLIED_END and tag == self.dropped[0]:
                 self.border()
-                self.dropped.clear()  # the next one of its kind ends it
-            elif tag not in _VOID and tag == self.dropped[0]:
-                self.dropped.append(tag)
+                self.resume()  # the next one of its kind ends it
+            elif tag not in _VOID:
+                if block:
+                    self.border()
+                self.inside[tag] += 1
+                if tag == self.dropped[0]:
+                    self.dropped.append(tag)
         if not self.dropped and tag not in _VOID and _boilerplate(tag, attrs):
             self.border()
             self.tags += 1
@@ -89,6 +101,8 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
+        if not self.dropped and tag not in _VOID:
+            self.around[tag] += 1
         if not self.dropped and tag in _SECTION:
             inside = self.sections[-1]
             if inside[0] in ("article", "main"):  # parts of an article are one region
@@ -104,11 +118,28 @@ class Lines(HTMLParser):
         if self.dropped:
             if tag == self.dropped[0]:
                 self.dropped.pop()
-            elif tag in ("body", "html", "article", "main") and self.dropped[0] in _IMPLIED_END:
-                self.dropped.clear()
-        elif tag in _SECTION and len(self.sections) > 1:
+                if not self.dropped:
+                    self.resume()
+                    return
+            if self.inside[tag] > 0:
+                self.inside[tag] -= 1
+                return
+            if tag in _INLINE or not self.around[tag]:
+                return
+            self.resume()  # left open: its parent's end ends it
+        self.around[tag] -= self.around[tag] > 0
+        if tag in _SECTION and len(self.sections) > 1:
             self.sections.pop()
 
+    def resume(self) -> None:
+        self.dropped.clear()
+        self.inside.clear()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` up to the next ``>`` is a comment, as in browsers, whatever word stands in it."""
+        end = self.rawdata.find(">", i + 3)
+        return -1 if end < 0 else end + 1
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _VOID:
             self.handle_starttag(tag, attrs)
@@ -144,12 +175,17 @@ def main_text(html: str | None) -> str:
     Lines that stand in a menu, header, footer, sidebar, form, notice, advert or comment only count for the smoothing.
     The others are judged by their smoothed ratio of text to tags; a region (an article, or else a section) with a line
     in the upper cluster is content, with all its lines, short ones too. If no region has one, the best line decides.
+    Any markup is read, as browsers do: a struck element that is left open ends with its parent, and a page that stands in
+    struck elements as a whole keeps the articles in them.
     """
     parser = Lines()
     parser.feed(html or "")
     parser.close()
     parser.border()
     lines = parser.lines
+    if not any(x.kept for x in lines):
+        # the whole page stands in struck elements: what they hold as its article is kept
+        lines = [replace(x, kept=x.central) for x in lines]
     if not any(x.kept for x in lines):
         return ""
     ratio = smoothed(np.log1p([len(x.text) / max(x.tags, 1) for x in lines]))

@@ -61,3 +61,16 @@ def test_column(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted(r[0] for r in frame.select(h.extract(F.col("html"))).collect()) == ["", "x", "x"]
     assert frame.limit(0).select(h.extract(F.col("html"))).count() == 0
+
+
+def test_markup_that_lost_whole_pages():
+    assert h.main_text("<p>a</p><![foo[x]]><p>b</p>") == "a\n\nb"
+    assert h.main_text("<p>a</p><![CDATA[x]]><p>b</p><![if IE]><p>c</p><![endif]><![ ") .startswith("a\n\nb\n\nc")
+    text = "A real sentence of the text, with words. " * 3
+    want = text.strip()
+    assert h.main_text(f'<div class="layout with-sidebar"><article><p>{text}</p></article><div class="sidebar">x</div></div>') == want
+    assert h.main_text(f'<article class="post has-comments"><p>{text}</p><div class="comments"><p>me too</p></div></article>') == want
+    assert h.main_text(f"<div><aside>menu</div><article><p>{text}</p></article>") == want
+    assert h.main_text(f"<body><aside>menu<article><p>{text}</p></article></body>") == want
+    assert h.main_text(f'<body><div id="search-page"><main><p>{text}</p></main></div></body>') == want
+    assert h.main_text(f"<article><p>{text}</p><section class='comments'><article><p>first!</p></article></section></article>") == want
