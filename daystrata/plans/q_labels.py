@@ -38,17 +38,20 @@ def _(spark, sf):
     return panels.departed(spark, sf)
 
 
-@query("j2_nearest_normals", "entity:i doy:i normal:f", """
-    WITH known AS (SELECT entity, doy, mean FROM doy_means WHERE (doy + entity) % 40 >= 31 OR mean > 58),
+# Stretches without normals: narrower and wider than the search reaches, and one across the turn of the year.
+_HOLES = "doy BETWEEN 60 AND 63 OR doy BETWEEN 120 AND 145 OR doy BETWEEN 200 AND 260 OR doy >= 355 OR doy <= 10"
+
+
+@query("j2_nearest_normals", "entity:i doy:i normal:f", f"""
+    WITH known AS (SELECT entity, doy, mean FROM doy_means WHERE NOT ({_HOLES})),
     near AS (SELECT entity, (doy + o - 1 + 366) % 366 + 1 AS doy,
                arg_min(mean, CASE WHEN o = 0 THEN 0 WHEN o < 0 THEN -2 * o - 1 ELSE 2 * o END) AS mean
              FROM known, (SELECT unnest(range(-14, 15)) AS o) GROUP BY 1, 2)
     SELECT e.entity, d.doy, coalesce(mean, 35.0) AS normal FROM (SELECT DISTINCT entity FROM known) e
     CROSS JOIN (SELECT unnest(range(1, 367)) AS doy) d LEFT JOIN near n ON n.entity = e.entity AND n.doy = d.doy""", ("doy_means",))
 def _(spark, sf):
-    # a table with holes of several widths, wider than the search at places
     means = cl.doy_means(supplier_daily(spark, sf), SUPPLIER, BASE_START, BASE_END)
-    means = means.filter("pmod(doy + entity, 40) >= 31 OR mean > 58")
+    means = means.filter(f"NOT ({_HOLES})")
     return cl.nearest_normals(means.withColumnRenamed("mean", SUPPLIER.normal), SUPPLIER)
 
 

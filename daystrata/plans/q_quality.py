@@ -45,12 +45,18 @@ def _(spark, sf):
     return qa.date_gaps(orders_daily(spark, sf), ORDERS)
 
 
-@query("c4_missing_dates", "entity:i date:d", """
-    SELECT entity, date FROM (SELECT DISTINCT entity FROM events_daily)
-    CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-03', DATE '2024-01-08', INTERVAL 1 DAY)) AS DATE) AS date)
-    EXCEPT SELECT entity, date FROM events_daily""", ("events_daily",))
+# The whole month, and a short range in which some entities have no row.
+_EXPECTED = (("2024-01-01", "2024-01-31"), ("2024-01-03", "2024-01-08"))
+
+
+@query("c4_missing_dates", "since:d entity:i date:d", " UNION ALL ".join(f"""
+    (SELECT DATE '{a}' AS since, entity, date FROM (SELECT DISTINCT entity FROM events_daily)
+     CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{a}', DATE '{z}', INTERVAL 1 DAY)) AS DATE) AS date)
+     EXCEPT SELECT DATE '{a}', entity, date FROM events_daily)""" for a, z in _EXPECTED), ("events_daily",))
 def _(spark, sf):
-    return qa.missing_dates(events_daily(spark, sf), SUPPLIER, "2024-01-03", "2024-01-08")
+    panel = events_daily(spark, sf)
+    both = [qa.missing_dates(panel, SUPPLIER, a, z).withColumn("since", F.lit(a).cast("date")) for a, z in _EXPECTED]
+    return both[0].unionByName(both[1])
 
 
 @query("c5_duplicate_keys", "l_orderkey:i l_linenumber:i copies:i", """

@@ -86,24 +86,30 @@ def _(spark, sf):
     return dr.feature_drift(dr.month_psi(_recent(spark, sf), _reference(spark, sf), SUPPLIER, FEATS), SUPPLIER)
 
 
-# The first months only: some entities have fewer rows than an assessment needs.
-UNTIL = "2000-06-01"
+# The whole table, and its first months only: then some entities have fewer rows than an assessment needs.
+TODAY, UNTIL = "2001-12-31", "2000-06-01"
 for _name in ("drift_months", "drift_features"):
     CTES[f"{_name}_short"] = CTES[_name].replace("year(date) > 1999", f"year(date) > 1999 AND date <= DATE '{UNTIL}'").replace(
         "FROM drift_months", "FROM drift_months_short")
 NEEDS["drift_months_short"], NEEDS["drift_features_short"] = ("drift_base",), ("drift_months_short",)
 
 
-@query("k4_k6_drift_assessment", "entity:i status:s sample_size:i overall_psi:f level:s drifting:i", f"""
-    WITH e AS (SELECT DISTINCT entity FROM supplier_daily WHERE year(date) > 1999 AND date <= DATE '{UNTIL}'),
-    a AS (SELECT entity, max(n_rows) AS n, avg(psi) AS psi, count(*) FILTER (level IN ('drift_detected', 'high_drift')) AS drifting
-          FROM drift_features_short GROUP BY 1)
-    SELECT entity, CASE WHEN coalesce(n, 0) >= 30 THEN 'available' ELSE 'insufficient_history' END AS status, coalesce(n, 0) AS sample_size,
-           CASE WHEN n >= 30 THEN round(psi, 4) END AS overall_psi, CASE WHEN n >= 30 THEN {_LEVEL.format('psi')} END AS level,
+def _assessed_sql(today, features):
+    return f"""
+    SELECT DATE '{today}' AS today, entity, CASE WHEN coalesce(n, 0) >= 30 THEN 'available' ELSE 'insufficient_history' END AS status,
+           coalesce(n, 0) AS sample_size, CASE WHEN n >= 30 THEN round(psi, 4) END AS overall_psi, CASE WHEN n >= 30 THEN {_LEVEL.format('psi')} END AS level,
            CASE WHEN n >= 30 THEN drifting ELSE 0 END AS drifting
-    FROM e LEFT JOIN a USING (entity)""", ("drift_features_short",))
+    FROM (SELECT DISTINCT entity FROM supplier_daily WHERE year(date) > 1999 AND date <= DATE '{today}')
+    LEFT JOIN (SELECT entity, max(n_rows) AS n, avg(psi) AS psi, count(*) FILTER (level IN ('drift_detected', 'high_drift')) AS drifting
+               FROM {features} GROUP BY 1) USING (entity)"""
+
+
+@query("k4_k6_drift_assessment", "today:d entity:i status:s sample_size:i overall_psi:f level:s drifting:i",
+       f"{_assessed_sql(TODAY, 'drift_features')} UNION ALL {_assessed_sql(UNTIL, 'drift_features_short')}", ("drift_features", "drift_features_short"))
 def _(spark, sf):
-    return dr.assess(_recent(spark, sf), _reference(spark, sf), SUPPLIER, FEATS, today=UNTIL)
+    recent, reference = _recent(spark, sf), _reference(spark, sf)
+    both = [dr.assess(recent, reference, SUPPLIER, FEATS, today=t).withColumn("today", F.lit(t).cast("date")) for t in (TODAY, UNTIL)]
+    return both[0].unionByName(both[1])
 
 
 _RISK = "CASE WHEN {0} >= 0.8 THEN 'EXTREME' WHEN {0} >= 0.6 THEN 'HIGH' WHEN {0} >= 0.3 THEN 'MODERATE' ELSE 'LOW' END"
