@@ -50,8 +50,8 @@ def rows_of_edits():
 
 def test_groups_equal_brute_force(spark):
     rows = rows_of_edits()
-    for nearest in (1, rs.NEAREST):
-        assert sorted(r.doc_id for r in rs.deduplicate(documents(spark, rows), nearest).collect()) == first_ids(rows)
+    for size, nearest in ((3, 0), (20, 1), (rs.SLICE, rs.NEAREST)):  # small cells, and a first pass that finds little
+        assert sorted(r.doc_id for r in rs.deduplicate(documents(spark, rows), size, nearest).collect()) == first_ids(rows)
 
 
 def test_a_near_copy_beyond_two_bits_goes(spark):
@@ -85,8 +85,9 @@ def test_shingles_and_bands():
         both = [rng.getrandbits(64) for _ in range(80)]
         sets = [rs.np.unique(rs.np.array(both + [rng.getrandbits(64) for _ in range(10)], rs.np.uint64)) for _ in range(2)]
         assert rs.resembles(*sets)
-        (_, x, k), (_, y, m) = map(rs.sketch, sets)
+        (_, x, k, p), (_, y, m, q) = map(rs.sketch, sets)
         assert bool(set(k) & set(m)) and (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count() <= rs.RADIUS
+        assert sum(c == d for c, d in zip(p, q)) >= rs.AGREE
 
 
 def test_given_documents_equal_brute_force(spark):
