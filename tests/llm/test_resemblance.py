@@ -94,3 +94,23 @@ def test_given_documents_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in rs.deduplicate(docs).collect()) == first_ids(rows)
+
+
+def test_trees_and_small_cells_find_the_same():
+    """A cell searched by a BK-tree and one whose pairs are taken at once give the same pairs, of their own cell only."""
+    rng, rows = random.Random(3), []
+    for cell in range(9):
+        base = [rng.getrandbits(64) for _ in range(60)]
+        for k in range(rng.randrange(1, 30)):
+            own = rs.np.unique(rs.np.array(base[rng.randrange(12):] + [rng.getrandbits(64) for _ in range(rng.randrange(12))], rs.np.uint64))
+            name, bits, _, least = rs.sketch(own)
+            rows.append((cell, name, bits, least, len(own), rng.random() < 0.7, rng.random() < 0.7))
+    table = rs.pd.DataFrame(rows, columns=["key", "node", "bits", "least", "size", "asks", "inside"])
+    brief, cell = rs.Brief(table), table["key"].to_numpy()
+
+    def pairs(tree):
+        got = [rs.np.stack(brief.alike(i, j)[:2], 1) for i, j in rs.close(brief, cell, table["asks"].to_numpy(), table["inside"].to_numpy(), tree)]
+        return sorted(map(tuple, rs.np.concatenate(got).tolist()))
+
+    assert pairs(0) == pairs(8) == pairs(rs.TREE) and len(pairs(0)) > 200
+    assert all(cell[i] == cell[j] and table["asks"][i] and table["inside"][j] for i, j in pairs(0))
