@@ -75,7 +75,8 @@ def _(spark, sf):
         "hidden": F.lit("model_status" not in registry.columns), "suppliers": F.coalesce("suppliers", F.lit(0))})
 
 
-@query("a8_saved_normals", "entity:i doy:i normal:f", "SELECT entity, doy, round(normal, 6) AS normal FROM normals", ("normals",))
+# Compared to four digits: means that lie half-way between two sixth digits go either way by the order of their sum.
+@query("a8_saved_normals", "entity:i doy:i normal:g", "SELECT entity, doy, round(normal, 6) AS normal FROM normals", ("normals",))
 def _(spark, sf):
     path = fs.scratch_folder(spark, "normals")
     fs.save_normals(cl.normals(supplier_daily(spark, sf), SUPPLIER, BASE_START, BASE_END), path)
