@@ -42,18 +42,22 @@ def stored_order(scan: DataFrame, spec: PanelSpec, entity=None, date=None, range
 
 
 def with_position(scan: DataFrame, out: str = "_position") -> DataFrame:
-    """The rows of a plain Parquet scan with their 0-based place in the whole dataset: rows of earlier files, then the row."""
+    """The rows of a plain Parquet scan with their 0-based place in the whole dataset: rows of earlier files, then the row.
+
+    The offsets (one row a file) are broadcast by name: files of few distinct values are so small that Spark would take the rows.
+    """
     placed = with_place(scan)
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return placed.join(offsets, "_file").withColumn(out, F.col("_offset") + F.col("_row")).drop("_file", "_row", "_offset")
+    return placed.join(F.broadcast(offsets), "_file").withColumn(out, F.col("_offset") + F.col("_row")).drop("_file", "_row", "_offset")
 
 
 def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
     """Plain Parquet scans put together row by row, by stored position. Unequal lengths or a column in two parts are errors.
 
-    The lengths come from the files' footers; the rows meet by one join on the position, which spreads them evenly.
+    The lengths come from the files' footers; the rows meet by one join on the position, which spreads them evenly. It is a merge
+    join by name, as the size of the files (a constant column takes next to nothing) does not tell the number of rows.
     """
     names = [c.lower() for p in parts for c in p.columns]
     twice = sorted({c for c in names if names.count(c) > 1})
@@ -62,4 +66,4 @@ def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
     lengths = [p.count() for p in parts]
     if len(set(lengths)) > 1:
         raise ValueError(f"parts of unequal length: {lengths}")
-    return reduce(lambda a, b: a.join(b, "_position"), [with_position(p) for p in parts]).drop("_position")
+    return reduce(lambda a, b: a.join(b.hint("merge"), "_position"), [with_position(p) for p in parts]).drop("_position")

@@ -47,3 +47,12 @@ def test_parts_side_by_side(spark, tmp_path):
     with pytest.raises(ValueError, match="more than one"):
         st.side_by_side([left, write(spark, tmp_path / "t", [rows]).select("v")])
     assert isinstance(got[0].date, dt.date)
+
+
+def test_parts_of_few_values_are_not_broadcast(spark, tmp_path):
+    rows = [("e", days(1)[0], 7)] * 5000
+    parts = [write(spark, tmp_path / c, [rows[:2000], rows[2000:]]).selectExpr(f"v AS {c}") for c in "ab"]
+    both = st.side_by_side(parts)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin [_position" in plan
+    assert both.count() == 5000
