@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daystrata.functions.scalar import ratio
-from daystrata.operators.prefix import exact_quantiles, running_sums, with_bucket
+from daystrata.operators.prefix import exact_quantiles, running_sums, stored, with_bucket
 
 
 def confusion(label: Column, positive: Column) -> list[Column]:
@@ -42,10 +42,11 @@ def rank_table(df: DataFrame, by: list[str] | None = None, weight: str | None =
     the position of the score."""
     by = by or []
     w = F.col(weight) if weight else F.lit(1)
-    known = df.filter(F.col("p").isNotNull() & F.col("label").isNotNull())
-    tied = known.groupBy(*by, "p").agg(F.sum((F.col("label") * w).cast("bigint")).alias("pos"),
-                                       F.sum(((1 - F.col("label")) * w).cast("bigint")).alias("neg"))
-    return running_sums(with_bucket(tied, "p", known), [F.desc("p")],
+    # a filter on the score would be computed beside it, which scores twice: null scores are one row of each group
+    tied = df.filter(F.col("label").isNotNull()).groupBy(*by, "p").agg(
+        F.sum((F.col("label") * w).cast("bigint")).alias("pos"), F.sum(((1 - F.col("label")) * w).cast("bigint")).alias("neg"))
+    # stored: the passes that cut buckets, and those over the result, do not score or scan again
+    return running_sums(with_bucket(stored(tied).filter("p IS NOT NULL"), "p"), [F.desc("p")],
                         {"tp": F.col("pos"), "fp": F.col("neg"), "point": F.lit(1)}, by, descending=True).drop("_bucket")
 
 

@@ -66,7 +66,7 @@ def with_bucket(df: DataFrame, column: str, raw: DataFrame | None = None, out: s
     for bits in range(64 - DIGIT, 0, -DIGIT):
         rows = source if inside is None else source.withColumn("_cell", cell(bits + DIGIT)).join(inside, "_cell", "left_semi").drop("_cell")
         heavy = rows.groupBy(cell(bits).alias("_cell")).count().filter(F.col("count") > BUCKET_ROWS).select("_cell")
-        heavy = _stored(heavy)
+        heavy = stored(heavy)
         if heavy.isEmpty():
             break
         mark = f"_in{bits}"
@@ -76,7 +76,7 @@ def with_bucket(df: DataFrame, column: str, raw: DataFrame | None = None, out: s
     return made.withColumn(out, bucket).drop("_key", *marks)
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Written once and read back: a small table that several jobs use."""
     path = f"{shared_folder(df.sparkSession)}/cells-{uuid4().hex}"
     df.write.parquet(path)
@@ -127,7 +127,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], by: Seq
     """
     by = list(by)
     counts = value_counts(df.withColumn(column, F.col(column).cast("double")), column, by)
-    values = _stored(counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(column).alias("_value"),
+    values = stored(counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(column).alias("_value"),
                                    order_key(F.col(column)).alias("_key"), F.col("n").alias("_n")))
     keys = [f"_by{i}" for i in range(len(by))]
     same = lambda a, b, names: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names], F.lit(True))
@@ -151,7 +151,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], by: Seq
         upto = Window.partitionBy(*cells).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
         found = found.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
         holds = same("w", "f", cells) & (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n"))
-        wanted = _stored(wanted.alias("w").join(found.alias("f"), holds).select(
+        wanted = stored(wanted.alias("w").join(found.alias("f"), holds).select(
             *[F.col(f"w.{c}") for c in keys], "q", "side", (F.col("at") - F.col("_before")).alias("at"), "part", F.col("_cell").alias("_in"), F.col("f._rows").alias("_rows")))
         bits -= DIGIT
         if (wanted.agg(F.max("_rows")).first()[0] or 0) <= BUCKET_ROWS:

@@ -225,3 +225,18 @@ def test_buckets_are_cut_until_they_are_small(spark, monkeypatch):
     assert all(len(s) <= 40 or len(set(s)) == 1 or max(s) - min(s) < 2.0**-36 for s in sizes.values())
     plan = prefix.with_bucket(df, "x")._jdf.queryExecution().optimizedPlan().toString()
     assert "1.0" not in plan  # no cut is a literal
+
+
+def test_ranking_reads_its_rows_once(spark, monkeypatch):
+    """Few raw rows a bucket: every digit is looked into, but the scored rows are evaluated once only."""
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", 40)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def p(i):
+        seen.add(1)
+        return 1 / (1 + i // 2)
+
+    rows = spark.range(600).select(p("id").alias("p"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    got = mt.rank_metrics(rows.withColumn("q", F.lit(0))).first()
+    assert (got.positives, got.negatives) == (200, 400) and seen.value == 600
