@@ -168,7 +168,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], by: Seq
 
 def average_ranks(df: DataFrame, column: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Distinct values with their tie-averaged 1-based rank and multiplicity ``n``."""
-    counts = with_bucket(value_counts(df, column, by), column, df)
+    counts = with_bucket(stored(value_counts(df, column, by)), column)
     cum = running_sums(counts, [F.col(column)], {"_cum": F.col("n")}, by)
     return cum.select(*by, column, "n", (F.col("_cum") - (F.col("n") - 1) / 2).alias(out))
 

@@ -240,3 +240,16 @@ def test_ranking_reads_its_rows_once(spark, monkeypatch):
     rows = spark.range(600).select(p("id").alias("p"), (F.col("id") % 3 == 0).cast("int").alias("label"))
     got = mt.rank_metrics(rows.withColumn("q", F.lit(0))).first()
     assert (got.positives, got.negatives) == (200, 400) and seen.value == 600
+
+
+def test_ranks_read_their_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", 40)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def x(i):
+        seen.add(1)
+        return 1 / (1 + i // 2)
+
+    ranks = prefix.average_ranks(spark.range(600).select(x("id").alias("x")).repartition(3), "x").collect()
+    assert len(ranks) == 300 and {r.n for r in ranks} == {2} and seen.value <= 1200  # the null filter and the value
