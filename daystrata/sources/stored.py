@@ -12,6 +12,8 @@ from daystrata.spec import PanelSpec
 
 #: Rows of a stored range that one window may see.
 RANGE_ROWS = 100_000
+#: Rows of a task, about: tasks grow in number with the table, not in size.
+TASK_ROWS = 500_000
 
 
 def with_place(scan: DataFrame) -> DataFrame:
@@ -26,15 +28,21 @@ def stored_order(scan: DataFrame, spec: PanelSpec, entity=None, date=None, range
     then the last date of a range with the first one of the entity's next range, by one row for a range and entity. So a hot entity
     is never in one window. ``scan`` must be a plain Parquet scan; null dates are skipped.
     """
+    tasks = max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // TASK_ROWS))
     placed = with_place(scan).select((F.col(spec.entity) if entity is None else entity).alias(spec.entity),
                                      (F.col(spec.date) if date is None else date).alias("_date"), "_file", "_row",
-                                     F.floor(F.col("_row") / range_rows).alias("_range")).filter("_date IS NOT NULL")
-    own = Window.partitionBy(spec.entity, "_file", "_range").orderBy("_row")
-    steps = placed.withColumn("_before", F.lag("_date").over(own)).groupBy(spec.entity, "_file", "_range").agg(
+                                     F.floor(F.col("_row") / range_rows).cast("int").alias("_range")).filter("_date IS NOT NULL")
+    # a path is far longer than a row: a number for each file, in the order of the paths
+    files = scan.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    numbers = files.select("_file", F.row_number().over(Window.orderBy("_file")).alias("_part"))  # one row a file
+    cell = [spec.entity, "_part", "_range"]
+    placed = placed.join(F.broadcast(numbers), "_file").select(*cell, "_row", "_date").repartition(tasks, *cell)
+    own = Window.partitionBy(*cell).orderBy("_row")
+    steps = placed.withColumn("_before", F.lag("_date").over(own)).groupBy(*cell).agg(
         F.count_if(F.col("_date") < F.col("_before")).alias("_down"), F.count_if(F.col("_date") == F.col("_before")).alias("_same"),
         F.count(F.lit(1)).alias("_n"), F.min_by("_date", "_row").alias("_first"), F.max_by("_date", "_row").alias("_last"))
-    across = Window.partitionBy(spec.entity).orderBy("_file", "_range")  # a row for each range of an entity
-    joint = steps.withColumn("_end", F.lag("_last").over(across))
+    across = Window.partitionBy(spec.entity).orderBy("_part", "_range")  # a row for each range of an entity
+    joint = steps.repartition(tasks, spec.entity).withColumn("_end", F.lag("_last").over(across))
     out = joint.groupBy(spec.entity).agg(
         F.sum("_n").alias("n"), (F.sum("_down") + F.count_if(F.col("_first") < F.col("_end"))).alias("descents"),
         (F.sum("_same") + F.count_if(F.col("_first") == F.col("_end"))).alias("repeats"))

@@ -56,3 +56,12 @@ def test_parts_of_few_values_are_not_broadcast(spark, tmp_path):
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin [_position" in plan
     assert both.count() == 5000
+
+
+def test_tasks_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "TASK_ROWS", 10)
+    rows = [(f"e{i % 20}", d, i) for i, d in enumerate(days(300))]
+    out = st.stored_order(write(spark, tmp_path / "t", [rows[:100], rows[100:]]), SPEC, range_rows=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 30), REPARTITION_BY_NUM") == 2
+    assert all(r.ok and r.n == 15 for r in out.collect())
