@@ -25,16 +25,13 @@ def long_rows(df: DataFrame, spec: PanelSpec, features: list[str]) -> DataFrame:
     return complete.unpivot([spec.entity, spec.date, "month"], features, "feature", "value")
 
 
-def _bin_shares(placed: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """Shares per bin, empty bins included; out-of-range values count for no bin."""
-    kept = [F.first(c).alias(c) for c in carry]
-    cells = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"), *kept)
+def _bin_counts(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` and the counts of the bins; out-of-range values count for no bin."""
+    cells = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"))
     inside = F.when(F.col("bin") > 0, F.struct("bin", "_n"))
-    grouped = cells.groupBy(*keys).agg(
-        *kept, F.sum("_n").alias("rows"), F.sum(F.when(F.col("bin") > 0, F.col("_n")).otherwise(0)).alias("_in"),
+    return cells.groupBy(*keys).agg(
+        F.sum("_n").alias("rows"), F.sum(F.when(F.col("bin") > 0, F.col("_n")).otherwise(0)).alias("_in"),
         F.map_from_entries(F.collect_list(inside)).alias("_c"))  # at most one entry per bin
-    share = lambda i: F.coalesce(F.try_element_at("_c", i), F.lit(0)) / F.greatest(F.col("_in"), F.lit(1))
-    return grouped.select(*keys, *carry, "rows", F.transform(F.sequence(F.lit(1), F.size("edges") - 1), share).alias("shares"))
 
 
 def baseline(df: DataFrame, spec: PanelSpec, features: list[str], bins: int = 10) -> DataFrame:
@@ -77,11 +74,16 @@ def psi(observed: Column, expected: Column) -> Column:
 
 
 def month_psi(recent: DataFrame, base: DataFrame, spec: PanelSpec, features: list[str]) -> DataFrame:
-    """PSI per entity, month and feature, with the baseline's own number of bins; NULL where it lacks the month."""
+    """PSI per entity, month and feature, with the baseline's own number of bins; NULL where it lacks the month.
+
+    Rows meet the edges to find their bin, counts meet the baseline again for its shares: no arrays are carried with the counts.
+    """
     keys = [spec.entity, *KEYS]
-    placed = (long_rows(recent, spec, features).join(base.select(*keys, "edges", "proportions"), keys, "left")
-              .withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("edges")), F.lit(0))))
-    shares = _bin_shares(placed, keys, ["edges", "proportions"])
+    placed = (long_rows(recent, spec, features).join(base.select(*keys, "edges"), keys, "left")
+              .select(*keys, F.coalesce(bin_of(F.col("value"), F.col("edges")), F.lit(0)).alias("bin")))
+    share = lambda i: F.coalesce(F.try_element_at("_c", i), F.lit(0)) / F.greatest(F.col("_in"), F.lit(1))
+    counted = _bin_counts(placed, keys).join(base.select(*keys, "edges", "proportions"), keys, "left")
+    shares = counted.withColumn("shares", F.transform(F.sequence(F.lit(1), F.size("edges") - 1), share))
     return shares.select(*keys, "rows", F.when(F.col("proportions").isNotNull(), psi(F.col("shares"), F.col("proportions"))).alias("psi"))
 
 

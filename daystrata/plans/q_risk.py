@@ -10,7 +10,7 @@ from daystrata.plans import panels
 from daystrata.plans.analysis import analyse, as_document
 from daystrata.plans.bindings import CTES, NEEDS, SUPPLIER, scored, supplier_daily, supplier_dim, table
 from daystrata.plans.registry import query
-from daystrata.sources.files import scratch_folder
+from daystrata.sources.files import materialise, scratch_folder
 from daystrata.streaming import alerts as al
 from daystrata.streaming import live
 from daystrata.streaming import outbox as ob
@@ -107,7 +107,8 @@ def _assessed_sql(today, features):
 @query("k4_k6_drift_assessment", "today:d entity:i status:s sample_size:i overall_psi:f level:s drifting:i",
        f"{_assessed_sql(TODAY, 'drift_features')} UNION ALL {_assessed_sql(UNTIL, 'drift_features_short')}", ("drift_features", "drift_features_short"))
 def _(spark, sf):
-    recent, reference = _recent(spark, sf), _reference(spark, sf)
+    # both days look at the same rows and the same reference: write them once
+    recent, reference = materialise(_recent(spark, sf).select("entity", "date", *FEATS), "recent"), materialise(_reference(spark, sf), "reference")
     both = [dr.assess(recent, reference, SUPPLIER, FEATS, today=t).withColumn("today", F.lit(t).cast("date")) for t in (TODAY, UNTIL)]
     return both[0].unionByName(both[1])
 

@@ -174,3 +174,11 @@ def test_all_bad_fields_are_named(spark):
     df = spark.createDataFrame([("delhi", "2020-01-01", *[None] * 14)], "c string, d string, " + ", ".join(f"{f} string" for f in fields))
     errors = vd.validate(df, "c", "d", fields).first().errors
     assert errors == ["missing_value:" + ",".join(fields)]
+
+
+def test_bins_are_counted_without_their_edges(spark):
+    ref, new = _drift_panel(spark, 1500), _drift_panel(spark, 31, start="2005-01-01")
+    out = dr.month_psi(new, dr.baseline(ref, SPEC, ["v", "w"]), SPEC, ["v", "w"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "first(edges" not in plan
+    assert out.count() == 2 and out.filter("psi IS NULL").count() == 0
