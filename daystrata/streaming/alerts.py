@@ -54,9 +54,13 @@ def candidates(forecasts: DataFrame, subscriptions: DataFrame, salts: int = 16)
 
     Equi-join on the entity and a salt with the rank comparison as residual condition: a popular entity has many
     subscribers, which are dealt over ``salts`` tasks, and only a forecast horizon of days, which are repeated for each.
+    The number of tasks and the kind of join are given: subscriptions are small beside what is made of them, and Spark would
+    put them into one task or send them all to it.
     """
+    tasks = int(subscriptions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = forecasts.withColumns({"_rank": risk_rank(F.col("level")), "_salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
     wanted = subscriptions.withColumns({"_least": risk_rank(F.col("minimum_level")), "_salt": F.pmod(F.hash("id", "email"), F.lit(salts))})
+    wanted = wanted.repartition(tasks, "entity", "_salt").hint("merge")
     on = (ranked.entity == wanted.entity) & (ranked._salt == wanted._salt) & (ranked._rank >= wanted._least)
     return ranked.join(wanted, on).select(
         F.col("id").alias("subscription_id"), wanted.entity, "email", "language", "date", "level", "probability")

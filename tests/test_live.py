@@ -154,3 +154,11 @@ def test_only_folders_of_the_touched_entities_are_read(spark, tmp_path):
     assert {r.entity for r in log.collect()} == {"a"} and log.count() == 3
     plan = log._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "_folder" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_subscribers_of_an_entity_are_dealt_over_the_tasks(spark):
+    f = spark.createDataFrame([("x", days(1)[0], "HIGH", 0.7)], "entity string, date date, level string, probability double")
+    s = spark.range(4000).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") >= 0, "x").alias("entity"), F.lit("a@b.c").alias("email"),
+                                 F.lit("LOW").alias("minimum_level"), F.lit("en").alias("language"))
+    used = {r[0] for r in al.candidates(f, s).select(F.spark_partition_id()).distinct().collect()}
+    assert len(used) == int(spark.conf.get("spark.sql.shuffle.partitions"))
