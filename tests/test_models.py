@@ -45,3 +45,12 @@ def test_permutation(rows):
     model = ml.train(rows, ["a", "b", "c"], ml.forest(10, 4))
     drop = {r.feature: r.drop for r in ml.permutation_importance(model, rows, F.col("id"), ["a", "b"], repeats=1).collect()}
     assert drop["a"] > 0.2 > abs(drop["b"])
+
+
+def test_grid_scores_each_model_once(rows, monkeypatch):
+    from daystrata.sources import files
+    made, plans = files.materialise, []
+    monkeypatch.setattr(files, "materialise", lambda df, name="table": plans.append(name) or made(df, name))
+    grid = ml.experiment_grid(rows, rows, {"ab": ["a", "b"]}, {"m": lambda: ml.logistic(1 / 400)}, {"s": lambda d: d}).collect()
+    assert len(grid) == 1 and grid[0].tp + grid[0].fp + grid[0].tn + grid[0].fn == 400 and grid[0].average_precision > 0.8
+    assert plans == ["scores"]
