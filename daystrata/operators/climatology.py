@@ -53,9 +53,39 @@ def circular_mean(dense: DataFrame, spec: PanelSpec, half: int = 15) -> DataFram
             .filter(F.col("doy").between(1, DAYS)))
 
 
+def curves(df: DataFrame, spec: PanelSpec, start: str, end: str, half: int = 15) -> DataFrame:
+    """``fill_days`` and ``circular_mean`` of the baseline as one row per entity: its normals of the days 1..366 as an array.
+
+    Rows meet once, at their entity; the same sums are taken in the same order as by the row-wise forms.
+    """
+    means = doy_means(df.repartition(spec.entity), spec, start, end)
+    known = means.groupBy(spec.entity).agg(F.sort_array(F.collect_list(F.struct("doy", "mean"))).alias("_known"))
+
+    def let(value, body):  # evaluated once, however often the body names it
+        return F.transform(F.array(value), body)[0]
+
+    def fill(days):
+        def stretch(day, i):
+            after = F.get(days, i + 1)
+            first = F.when(i == 0, 1).otherwise(day["doy"])
+            step = lambda d: (after["mean"] - day["mean"]) * (d - day["doy"]) / (after["doy"] - day["doy"])
+            return F.transform(F.sequence(first, F.coalesce(after["doy"] - 1, F.lit(DAYS))), lambda d: F.when(
+                (d > day["doy"]) & after["doy"].isNotNull(), day["mean"] + step(d)).otherwise(day["mean"]))
+        return F.flatten(F.transform(days, stretch))
+
+    def smooth(ring):
+        width = 2 * half + 1
+        return F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda d: F.aggregate(
+            F.slice(ring, d, width), F.lit(0.0), lambda a, x: a + x) / width)
+
+    wrap = lambda dense: F.concat(F.slice(dense, DAYS - half + 1, half), dense, F.slice(dense, 1, half))
+    dense = let(F.col("_known"), fill)
+    return known.select(spec.entity, let(let(dense, wrap), smooth).alias("curve"))
+
+
 def normals(df: DataFrame, spec: PanelSpec, start: str, end: str, half: int = 15) -> DataFrame:
     """Smoothed normals table (entity, doy, normal)."""
-    return circular_mean(fill_days(doy_means(df, spec, start, end), spec), spec, half)
+    return curves(df, spec, start, end, half).select(spec.entity, F.posexplode("curve").alias("doy", spec.normal)).withColumn("doy", F.col("doy") + 1)
 
 
 def pooled_normals(df: DataFrame, spec: PanelSpec, start: str, end: str, half: int = 15) -> DataFrame:
@@ -107,6 +137,12 @@ def attach(df: DataFrame, table: DataFrame, spec: PanelSpec) -> DataFrame:
     return joined.withColumn(spec.departure, F.col(spec.value) - F.col(spec.normal))
 
 
+def attach_curves(df: DataFrame, table: DataFrame, spec: PanelSpec) -> DataFrame:
+    """As ``attach``, from the ``curves``: the join is by entity, as all that follows, so the panel is not dealt out by day first."""
+    joined = df.join(table, spec.entity, "left").withColumn(spec.normal, F.get("curve", F.dayofyear(spec.date) - 1)).drop("curve")
+    return joined.withColumn(spec.departure, F.col(spec.value) - F.col(spec.normal))
+
+
 def qualifying_absolute(df: DataFrame, spec: PanelSpec, zone: str = "region_type") -> DataFrame:
     """0/1 flag by fixed thresholds; coastal entities have their own and no override."""
     v, dep, rule = F.col(spec.value), F.col(spec.departure), spec.rule

@@ -12,8 +12,8 @@ from daystrata.spec import PanelSpec
 
 def departed(spark, sf, spec: PanelSpec = SUPPLIER) -> DataFrame:
     panel = supplier_daily(spark, sf)
-    table = climatology.normals(panel, spec, BASE_START, BASE_END)
-    return climatology.attach(panel, table, spec).join(
+    table = climatology.curves(panel, spec, BASE_START, BASE_END)
+    return climatology.attach_curves(panel, table, spec).join(
         supplier_dim(spark, sf).select("entity", "region_type", "latitude", "longitude"), "entity", "left")
 
 

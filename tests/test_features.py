@@ -185,3 +185,21 @@ def test_heat_configuration_builds_the_whole_contract(spark):
     out = project(f, HEAT.contract(), ["city_key", "date"])
     assert len(out.columns) == 112 and out.count() == 2 * (400 - 11)
     assert check(out, HEAT.contract()).count() == 0
+
+
+def test_curves_are_the_row_wise_normals(spark):
+    rows = [(e, d, float((i * 37 + len(e)) % 101) / 3) for e, n in (("a", 700), ("bb", 40), ("ccc", 1)) for i, d in enumerate(days(n, "2000-03-05")) if i % 7 != 3]
+    df = spark.createDataFrame(rows, "entity string, date date, v double").repartition(3)
+    slow = cl.circular_mean(cl.fill_days(cl.doy_means(df, SPEC, "2000-01-01", "2001-12-31"), SPEC), SPEC)
+    fast = cl.normals(df, SPEC, "2000-01-01", "2001-12-31")
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.select("entity", "doy", "normal").collect()))
+    curves = cl.curves(df, SPEC, "2000-01-01", "2001-12-31")
+    key = ["entity", "date", "v", "normal", "departure"]
+    assert sorted(map(tuple, cl.attach_curves(df, curves, SPEC).select(key).collect())) == sorted(map(tuple, cl.attach(df, slow, SPEC).select(key).collect()))
+
+
+def test_the_panel_is_not_dealt_out_by_day_of_year(spark):
+    from daystrata.plans import panels
+    plan = panels.departed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # entity and date for the daily rows (twice), entity for all that follows
+    assert "_doy" not in plan and plan.count("Generate") == 0

@@ -69,3 +69,18 @@ def test_leakage_audit_finds_the_lagged_label_only(spark):
     out = {r.column: r for r in quality.leakage(p, spec, audit, compute, columns).collect()}
     assert out["label_lag1"].differences > 0
     assert all(out[c].differences == 0 and out[c].audited == 15 for c in columns if c != "label_lag1")
+
+
+def test_labels_need_one_sort(panel):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    labelled = runs.label_runs(panel, SPEC, 3)
+    assert plan(labelled.select("entity", "date", "label", "event_id", "event_start", "label_known")).count("Sort [") == 1
+    assert plan(labelled).count("Sort [") == 2
+
+
+def test_a_null_flag_ends_a_run(spark):
+    flags = [1, None, 1, 1, None, None, 1]
+    rows = [("a", d, 0.0, f, 0.0) for d, f in zip(days(7), flags)]
+    df = spark.createDataFrame(rows, "entity string, date date, v double, qualifying int, departure double")
+    out = runs.label_runs(df, SPEC, 2).orderBy("date").collect()
+    assert [(r.label, r.event_id, r.event_length) for r in out] == [(0, 0, 0), (0, 0, 0), (1, 1, 2), (1, 1, 2), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
