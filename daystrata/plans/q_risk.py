@@ -219,18 +219,20 @@ def _(spark, sf):
                           "triggered": F.array_join("triggered_ids", ","), "n_warnings": F.size("warnings")})
 
 
+_DOCUMENT = ("valid string, risk_level string, risk_score string, prediction string, errors array<string>,"
+             " recommendations array<struct<category: string>>, rules array<struct<triggered: boolean>>")
+
+
 @query("r14_documents", "entity:i date:d valid:s risk_level:s risk_score:s prediction:s n_errors:i n_advice:i n_fired:i", f"""
     SELECT entity, date, CASE WHEN broken THEN 'false' ELSE 'true' END AS valid, CASE WHEN NOT broken THEN {_RISK.format('p')} END AS risk_level,
            CASE WHEN NOT broken THEN CAST(round(p * 100, 1) AS VARCHAR) END AS risk_score, CASE WHEN NOT broken THEN CAST((p >= 0.7)::INT AS VARCHAR) END AS prediction,
            broken::INT AS n_errors, CASE WHEN broken THEN NULL WHEN p >= 0.8 THEN 7 WHEN p >= 0.6 THEN 6 WHEN p >= 0.3 THEN 5 ELSE 3 END AS n_advice,
            CASE WHEN NOT broken THEN {' + '.join(f'{r}::INT' for r in _RULES)} END AS n_fired FROM ruled""", ("ruled",))
 def _(spark, sf):
-    d = as_document(_analysed(spark, sf), ["entity", "date"])
-    at = lambda path: F.get_json_object("document", f"$.{path}")
-    size = lambda path: F.json_array_length(at(path))
-    fired = F.size(F.filter(F.from_json(at("rules"), "array<struct<triggered:boolean>>"), lambda r: r["triggered"]))
-    return d.select("entity", "date", *[at(c).alias(c) for c in ("valid", "risk_level", "risk_score", "prediction")], size("errors").alias("n_errors"),
-                    size("recommendations").alias("n_advice"), F.when(at("rules").isNotNull(), fired).alias("n_fired"))
+    # the text is read back once, whole; a field by its own path would parse it again
+    d = as_document(_analysed(spark, sf), ["entity", "date"]).select("entity", "date", F.from_json("document", _DOCUMENT).alias("d"))
+    return d.select("entity", "date", "d.valid", "d.risk_level", "d.risk_score", "d.prediction", F.array_size("d.errors").alias("n_errors"),
+                    F.array_size("d.recommendations").alias("n_advice"), F.array_size(F.filter("d.rules", lambda r: r["triggered"])).alias("n_fired"))
 
 
 # Alerts: nations as entities, customers as subscribers, orders as delivery history.

@@ -31,3 +31,9 @@ def test_query_matches_sql(spark, con, name):
 def test_entry_and_keys(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_documents_are_read_back_once(spark):
+    df = entry.queries()["r14_documents"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "get_json_object" not in plan
