@@ -308,13 +308,14 @@ def _(spark, sf):
     told = ob.events(al.candidates(_forecasts(spark, sf), _subscriptions(spark, sf)).limit(0), _deliveries(spark, sf), now)
     asked = ob.events(al.candidates(_forecasts(spark, sf), _subscriptions(spark, sf)), _deliveries(spark, sf).limit(0), now)
     schema = asked.schema.fields
+    blocks = _subscriptions(spark, sf).count() // 64 + 1
     beat = spark.range(1).select(*[(F.timestamp_seconds(F.lit(_NOW + 3 * 86400 + 1)) if f.name == "at" else F.lit(None).cast(f.dataType)).alias(f.name)
                                    for f in schema])
     for arriving in (told, asked.unionByName(beat)):
         arriving.write.mode("append").parquet(f"{folder}/in")
         # the second run goes on from the checkpoint
         stream = live.file_stream(spark, f"{folder}/in", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
-        ob.run_outbox(stream, f"{folder}/out", f"{folder}/state")
+        ob.run_outbox(stream, f"{folder}/out", f"{folder}/state", blocks=blocks)
     return spark.read.schema(ob.DUE).parquet(f"{folder}/out")
 
 

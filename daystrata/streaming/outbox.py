@@ -6,7 +6,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import pickle
+from collections import namedtuple
 from collections.abc import Iterator
+from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, Row
@@ -16,9 +19,10 @@ from pyspark.sql.streaming import StatefulProcessor
 from daystrata.spec import ALERT_ZONE, DAILY_CAP, QUIET_FROM, QUIET_UNTIL, RISK_RANK
 from daystrata.streaming.live import rocksdb
 
-EVENT = "at bigint, kind string, date date, level string, probability double, attempts int"
+EVENT = "subscription_id bigint, at bigint, kind string, date date, level string, probability double, attempts int"
 ALERT = "date date, level string, wanted boolean, probability double, sent boolean, attempts int, failed bigint, handed bigint"
-CLOCK = "day date, used int, wake bigint"
+#: What the state holds: Python tuples packed into one value, since each value costs a call and two conversions in Spark.
+PACKED = "packed binary"
 DUE = "subscription_id bigint, date date, level string, probability double, slot int, due_at timestamp"
 
 
@@ -27,7 +31,14 @@ def _names(schema: str) -> list[str]:
 
 
 ALERT_NAMES = _names(ALERT)
-EventRow, DueRow = Row(*_names(EVENT)), Row(*_names(DUE))
+EventRow, DueRow = namedtuple("EventRow", _names(EVENT)), Row(*_names(DUE))
+#: Groups that share their calls to the state store. Part of a checkpoint; about one for 64 subscriptions does well.
+BLOCKS = 4096
+
+
+@lru_cache(1 << 16)
+def _local(t: int, zone: str) -> dt.datetime:
+    return dt.datetime.fromtimestamp(t / 1000, dt.timezone.utc).astimezone(ZoneInfo(zone))
 
 
 class Book:
@@ -39,7 +50,7 @@ class Book:
         self.cap, self.zone = cap, ZoneInfo(zone)
 
     def local(self, t: int) -> dt.datetime:
-        return dt.datetime.fromtimestamp(t / 1000, dt.timezone.utc).astimezone(self.zone)
+        return _local(t, self.zone.key)
 
     def waking(self, t: int) -> bool:
         return QUIET_UNTIL <= self.local(t).hour < QUIET_FROM
@@ -60,7 +71,7 @@ class Book:
             self.day, self.used = today, 0
             self.alerts = {k: a for k, a in self.alerts.items() if k[0] >= today}
 
-    def apply(self, e: Row) -> None:
+    def apply(self, e: EventRow) -> None:
         self.turn(e.at)
         key = (e.date, e.level)
         a = self.alerts.get(key) or {"date": e.date, "level": e.level, "wanted": False, "probability": None, "sent": False, "attempts": 0,
@@ -104,10 +115,11 @@ class Book:
 
 
 class Outbox(StatefulProcessor):
-    """Per subscription: an inbox of events ahead of the watermark, the open alerts, and the day's allowance.
+    """Per block of subscriptions: an inbox of events ahead of the watermark, the open alerts, and each one's allowance of the day.
 
     Events wait until the watermark has passed them and are then applied in the order of their times, so what comes out does
-    not depend on how the input was cut into micro-batches. One timer a subscription stands at the next event or retry.
+    not depend on how the input was cut into micro-batches. A subscription has a ``Book`` of its own; a block only shares the
+    calls to the state store, which cost more than the work. One timer a block stands at the next event or retry in it.
     """
 
     def __init__(self, cap: int, zone: str):
@@ -115,38 +127,43 @@ class Outbox(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.inbox = handle.getListState("inbox", EVENT)
-        self.open = handle.getListState("alerts", ALERT)
-        self.clock = handle.getValueState("clock", CLOCK)
+        self.inbox = handle.getListState("inbox", PACKED)  # the events of each micro-batch
+        self.books = handle.getValueState("books", PACKED)  # by subscription: day, used, wake and the open alerts
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        events = [(r.at_ms, r.kind, r.date, r.level, r.probability, r.attempts) for r in rows]
-        self.inbox.appendList(events)
-        self.handle.registerTimer(min(e[0] for e in events))
+        events = [(r.subscription_id, r.at_ms, r.kind, r.date, r.level, r.probability, r.attempts) for r in rows]
+        self.inbox.appendValue((pickle.dumps(events),))
+        self.handle.registerTimer(min(e[1] for e in events))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs()
-        events = [EventRow(*e) for e in self.inbox.get()] if self.inbox.exists() else []
-        alerts = [dict(zip(ALERT_NAMES, a)) for a in self.open.get()] if self.open.exists() else []
-        day, used, wake = self.clock.get() if self.clock.exists() else (None, 0, None)
-        book = Book(alerts, day, used, wake, self.cap, self.zone)
-        # at one instant, reports come before decisions; equal instants in a fixed order
-        now = sorted((e for e in events if e.at <= until), key=lambda e: (e.at, e.kind, e.date, e.level, e.attempts or 0, e.probability or 0.0))
-        later = [e for e in events if e.at > until]
-        i, made = 0, []
-        while True:
-            t = min((x for x in (now[i].at if i < len(now) else None, book.wake) if x is not None), default=None)
-            if t is None or t > until:
-                break
-            while i < len(now) and now[i].at == t:
-                book.apply(now[i])
-                i += 1
-            made += [DueRow(key[0], *a, dt.datetime.fromtimestamp(t / 1000, dt.timezone.utc)) for a in book.due(t)]
-        for state, values in ((self.inbox, [tuple(e) for e in later]), (self.open, [tuple(a.values()) for a in book.alerts.values()])):
-            state.put(values) if values else state.clear()
-        self.clock.update((book.day, book.used, book.wake))
-        ahead = min((x for x in (*(e.at for e in later), book.wake) if x is not None), default=None)
+        arrived = [EventRow(*e) for (part,) in (self.inbox.get() if self.inbox.exists() else ()) for e in pickle.loads(part)]
+        books = pickle.loads(self.books.get()[0]) if self.books.exists() else {}
+        events, made = {}, []
+        for e in arrived:
+            events.setdefault(e.subscription_id, []).append(e)
+        for who in events.keys() | books.keys():
+            # at one instant, reports come before decisions; equal instants in a fixed order
+            now = sorted((e for e in events.get(who, ()) if e.at <= until),
+                         key=lambda e: (e.at, e.kind, e.date, e.level, e.attempts or 0, e.probability or 0.0))
+            day, used, wake, alerts = books.get(who, (None, 0, None, ()))
+            if not now and (wake is None or wake > until):
+                continue
+            book, i = Book([dict(zip(ALERT_NAMES, a)) for a in alerts], day, used, wake, self.cap, self.zone), 0
+            while True:
+                t = min((x for x in (now[i].at if i < len(now) else None, book.wake) if x is not None), default=None)
+                if t is None or t > until:
+                    break
+                while i < len(now) and now[i].at == t:
+                    book.apply(now[i])
+                    i += 1
+                made += [DueRow(who, *a, dt.datetime.fromtimestamp(t / 1000, dt.timezone.utc)) for a in book.due(t)]
+            books[who] = (book.day, book.used, book.wake, [tuple(a.values()) for a in book.alerts.values()])
+        later = [tuple(e) for e in arrived if e.at > until]
+        self.inbox.put([(pickle.dumps(later),)]) if later else self.inbox.clear()
+        self.books.update((pickle.dumps(books),))
+        ahead = min((x for x in (*(e[1] for e in later), *(b[2] for b in books.values())) if x is not None), default=None)
         if ahead is not None:
             self.handle.registerTimer(ahead)
         return iter(made)
@@ -164,18 +181,20 @@ def events(candidates: DataFrame, deliveries: DataFrame, issued) -> DataFrame:
     return asked.unionByName(told)
 
 
-def due_alerts(stream: DataFrame, delay: str = "3 days", cap: int = DAILY_CAP, zone: str = ALERT_ZONE) -> DataFrame:
+def due_alerts(stream: DataFrame, delay: str = "3 days", cap: int = DAILY_CAP, zone: str = ALERT_ZONE, blocks: int = BLOCKS) -> DataFrame:
     """Alerts to send, each when it is due, from a stream of ``events`` that are late by ``delay`` at most.
 
     An alert is handed out once; after a report of failure it comes again when its back-off is over. Quiet hours and the
-    daily cap (reports of success and alerts handed out) put it off; past days are dropped. Rows without a subscription, time or
+    daily cap (reports of success and alerts handed out) put it off; past days are dropped. State is kept by ``blocks`` of
+    subscriptions; a checkpoint goes on with the number that it began with. Rows without a subscription, time or
     date and rows of an unknown level or kind only move the watermark on. Equal events count once a report, as in the batch form.
     """
     known = (F.col("subscription_id").isNotNull() & F.col("date").isNotNull() & F.col("level").isin(*RISK_RANK)
              & F.col("kind").isin("candidate", "sent", "failed"))
     # The condition is on the time itself: the optimizer moves others below the watermark, which then would not see the rows.
     rows = stream.withWatermark("at", delay).withColumn("at_ms", F.when(known, F.unix_millis("at"))).filter("at_ms IS NOT NULL")
-    return rows.groupBy("subscription_id").transformWithState(
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("subscription_id"), F.lit(blocks)))
+    return rows.groupBy("block").transformWithState(
         statefulProcessor=Outbox(cap, zone), outputStructType=DUE, outputMode="Append", timeMode="EventTime")
 
 

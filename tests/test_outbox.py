@@ -118,3 +118,19 @@ def test_outcomes_of_two_streams(spark, tmp_path):
     feed([("y", d[20], 0)], [("y", d[20], 50.0)])
     final = feed([("y", d[29], 0)], [("y", d[29], 50.0)])
     assert final[1] == [("a", d[6], 1), ("b", d[5], 0)] and len(final[0]) == 5
+
+
+def test_a_block_keeps_its_subscriptions_apart(spark, tmp_path):
+    """All in one group of the state: the same alerts as with a group each, and one timer for all."""
+    rows = []
+    for s in range(6):
+        rows += [(s, minutes(s), "candidate", DAY[1], "HIGH", 0.7, None), (s, minutes(10 + s), "candidate", DAY[1 + s % 2], "EXTREME", 0.9, None)]
+        rows += [(s, minutes(30), "failed", DAY[1], "HIGH", None, s)]
+    outs = []
+    for blocks in (1, 997):
+        src, out, ck = (str(tmp_path / f"{n}{blocks}") for n in ("in", "out", "ck"))
+        for part in (rows, [beat(NOW + dt.timedelta(days=3, minutes=12))], [beat(NOW + dt.timedelta(days=8))]):
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+            ob.run_outbox(lv.file_stream(spark, src, SCHEMA, files_per_trigger=1), out, ck, blocks=blocks)
+        outs.append(sorted(tuple(r) for r in spark.read.parquet(out).collect()))
+    assert outs[0] == outs[1] and len(outs[0]) > 12
