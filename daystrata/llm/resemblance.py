@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daystrata.llm.common import components, fresh, written
-from daystrata.llm.simhash import BKTree, keep_first
+from daystrata.llm.simhash import keep_first
 from daystrata.llm.words import SOLID, grams, mixed, slices, whole, words
 
 SHINGLE = 5
@@ -33,7 +33,7 @@ AGREE = 56
 SLICE = 1024
 #: Members that one of a block is compared with in the first pass, the nearest ones.
 NEAREST = 4
-#: Members of a cell above which a BK-tree is built, and pairs of smaller cells that are compared at once.
+#: Members of a cell above which its BK-tree is grown by itself, and nodes that the searches of one step may visit.
 TREE, PAIRS = 64, 1 << 16
 #: Members that a task takes at a time, in whole cells: most cells hold two or three.
 PACK = 256
@@ -149,38 +149,53 @@ class Brief:
         return i[ok], j[ok], agree[ok]
 
 
-class Tree:
-    """BK-tree over the bits of some members.
+class Forest:
+    """BK-trees over the bits of members, one for each of many cells: a node's children are keyed by their distance to it.
 
-    It is searched level by level: the distances of all nodes that a search has reached are taken at once, and it goes on
-    along the edges that the radius allows.
+    All trees grow and are searched level by level: the distances of all members (or searches) that have come to a node are
+    taken at once, and each goes on along its own edge (or the edges that the radius allows). It is the tree that inserting
+    the members one after the other gives; equal bits share a node.
     """
 
-    def __init__(self, brief: Brief, members: np.ndarray) -> None:
+    def __init__(self, brief: Brief, cell: np.ndarray, members: np.ndarray) -> None:
         self.brief = brief
-        tree, at = BKTree(), {}
-        for i in members.tolist():
-            value = int.from_bytes(brief.bits[i].tobytes(), "big")
-            if value not in at:
-                at[value] = []
-                tree.add(value)
-            at[value].append(i)
-        held = [at[v] for v in tree.values]
-        self.first = np.cumsum([0] + [len(h) for h in held])
-        self.held = np.array([i for h in held for i in h], np.int64)
-        self.edge = np.cumsum([0] + [len(c) for c in tree.children])
-        self.child = np.array([c for own in tree.children for c in own.values()], np.int64)
-        self.apart = np.array([d for own in tree.children for d in own], np.int64)
-
-    def within(self, i: int) -> np.ndarray:
-        """Members of the tree within the radius of member i."""
-        out, front = [], np.zeros(min(1, len(self.held)), np.int64)
-        while len(front):
-            far = self.brief.far(i, self.held[self.first[front]])
-            out.append(_runs(self.held, self.first, front[far <= RADIUS])[0])
-            e, owner = _runs(np.arange(len(self.child)), self.edge, front)
-            front = self.child[e[np.abs(self.apart[e] - far[owner]) <= RADIUS]]
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+        self.cells, first, node = np.unique(cell[members], return_index=True, return_inverse=True)
+        self.lead, parent, apart, settled = [members[first]], [], [], []
+        count, left = len(first), members
+        while len(left):
+            far = brief.far(left, np.concatenate(self.lead)[node] if len(self.lead) > 1 else self.lead[0][node])
+            here = far == 0
+            settled.append((left[here], node[here]))
+            left, node, far = left[~here], node[~here], far[~here]
+            edge, first, child = np.unique(node * 129 + far, return_index=True, return_inverse=True)
+            self.lead.append(left[first])
+            parent.append(edge // 129)
+            apart.append(edge % 129)
+            node, count = child + count, count + len(edge)
+        self.lead, parent, self.apart = np.concatenate(self.lead), np.concatenate(parent or [members[:0]]), np.concatenate(apart or [members[:0]])
+        order = np.argsort(parent, kind="stable")
+        self.child, self.apart = order + len(self.cells), self.apart[order]  # nodes are numbered as their edges were met
+        self.edge = np.searchsorted(parent[order], np.arange(count + 1))
+        held, node = (np.concatenate(x) for x in zip(*settled, (members[:0], members[:0])))
+        order = np.argsort(node, kind="stable")
+        self.held, self.first = held[order], np.searchsorted(node[order], np.arange(count + 1))
+
+    def within(self, asks: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a member that asks and a member of its cell's tree within the radius, all pairs of one that asks together."""
+        node = np.searchsorted(self.cells, cell[asks])
+        who = np.flatnonzero(np.append(self.cells, -1)[node] == cell[asks])  # a cell without members has no tree
+        node, found = node[who], []
+        while len(node):
+            far = self.brief.far(asks[who], self.lead[node])
+            hit = far <= RADIUS
+            j, owner = _runs(self.held, self.first, node[hit])
+            found.append((who[hit][owner], j))
+            e, owner = _runs(np.arange(len(self.child)), self.edge, node)
+            near = np.abs(self.apart[e] - far[owner]) <= RADIUS
+            who, node = who[owner[near]], self.child[e[near]]
+        i, j = (np.concatenate(x) for x in zip(*found, (asks[:0], asks[:0])))
+        order = np.argsort(i, kind="stable")
+        return asks[i[order]], j[order]
 
 
 def _runs(values: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,25 +207,19 @@ def _runs(values: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> tuple[np.n
 
 def close(brief: Brief, cell: np.ndarray, asks: np.ndarray, inside: np.ndarray,
           tree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of a member that asks and a member inside the same cell, all pairs of one i together.
+    """Pairs (i, j) of a member that asks and a member inside the same cell within the radius, all pairs of one i together.
 
-    A cell of more than ``tree`` members inside is searched by a BK-tree. Of a smaller one the radius would visit nearly all
-    nodes, so the pairs of many small cells are taken at once, ``PAIRS`` at a time.
+    Every cell is searched by a BK-tree of its own. Those of cells of at most ``tree`` members grow and are searched together,
+    as many searches at a time as could visit ``PAIRS`` nodes.
     """
-    held = np.flatnonzero(inside)
-    held = held[np.argsort(cell[held], kind="stable")]
-    cuts = np.searchsorted(cell[held], np.arange(cell.max() + 2))
-    asking = np.flatnonzero(asks)
-    n = (cuts[1:] - cuts[:-1])[cell[asking]]
-    small, large, n = asking[n <= tree], asking[n > tree], n[n <= tree]
-    for part in np.split(small, np.flatnonzero(np.diff((np.cumsum(n) - n) // PAIRS)) + 1):
-        j, owner = _runs(held, cuts, cell[part])
-        yield part[owner], j
-    for c in np.unique(cell[large]).tolist():
-        own = Tree(brief, held[cuts[c]:cuts[c + 1]])
-        for i in large[cell[large] == c].tolist():
-            j = own.within(i)
-            yield np.full(len(j), i), j
+    held, asking = np.flatnonzero(inside), np.flatnonzero(asks)
+    n = np.bincount(cell[held], minlength=cell.max() + 1 if len(cell) else 0)
+    forests = [(held[n[cell[held]] <= tree], asking[n[cell[asking]] <= tree])]
+    forests += [(held[cell[held] == c], asking[cell[asking] == c]) for c in np.unique(cell[held]) if n[c] > tree]
+    for members, searches in forests:
+        forest, visits = Forest(brief, cell, members), np.cumsum(n[cell[searches]])
+        for part in np.split(searches, np.flatnonzero(np.diff(visits // PAIRS)) + 1):
+            yield forest.within(part, cell)
 
 
 def _cell(rows: pd.DataFrame, by: list[str]) -> np.ndarray:

@@ -114,3 +114,33 @@ def test_trees_and_small_cells_find_the_same():
 
     assert pairs(0) == pairs(8) == pairs(rs.TREE) and len(pairs(0)) > 200
     assert all(cell[i] == cell[j] and table["asks"][i] and table["inside"][j] for i, j in pairs(0))
+
+
+def test_small_cells_are_searched_by_trees(monkeypatch):
+    """Every cell has a BK-tree, the one that insertion gives; pairs beyond the radius are not handed on."""
+    from daystrata.llm.simhash import BKTree
+    draw = rs.np.random.default_rng(3)
+    base = draw.integers(0, 256, (9, 16), dtype=rs.np.uint8)
+    bits = base[draw.integers(0, 9, 300)] ^ (rs.np.uint8(1) << draw.integers(0, 8, (300, 16), dtype=rs.np.uint8)) * (draw.random((300, 16)) < 0.5)
+    cell = rs.np.sort(draw.integers(0, 40, 300))
+    rows = rs.pd.DataFrame({"node": range(300), "size": 10, "bits": [b.tobytes() for b in bits.astype(rs.np.uint8)], "least": [bytes(rs.BANDS * rs.ROWS)] * 300})
+    brief, every = rs.Brief(rows), rs.np.ones(300, bool)
+    forest = rs.Forest(brief, cell, rs.np.arange(300))
+    for c, own in enumerate(forest.cells.tolist()):
+        tree = BKTree()
+        for i in rs.np.flatnonzero(cell == own).tolist():
+            value = int.from_bytes(rows["bits"][i], "big")
+            if not tree.values or 0 not in [(v ^ value).bit_count() for v in tree.values]:
+                tree.add(value)
+        todo = [(0, c)]
+        while todo:
+            a, b = todo.pop()
+            assert int.from_bytes(rows["bits"][forest.lead[b]], "big") == tree.values[a]
+            edges = range(forest.edge[b], forest.edge[b + 1])
+            assert sorted(tree.children[a]) == forest.apart[forest.edge[b]:forest.edge[b + 1]].tolist()
+            todo += [(tree.children[a][int(forest.apart[e])], int(forest.child[e])) for e in edges]
+    assert sorted(forest.held.tolist()) == list(range(300))
+    got = [(int(x), int(y)) for i, j in rs.close(brief, cell, every, every, rs.TREE) for x, y in zip(i, j)]
+    far = rs.np.bitwise_count(brief.bits[:, None] ^ brief.bits[None]).sum(-1)
+    want = [(x, y) for x in range(300) for y in range(300) if cell[x] == cell[y] and far[x, y] <= rs.RADIUS]
+    assert sorted(got) == want and len(want) > 400 and rs.np.bincount(cell).max() < rs.TREE
