@@ -161,8 +161,8 @@ def _(spark, sf):
     f AS (SELECT target, least(3, CASE WHEN pos < n - 3 * (n // 4) THEN 0 ELSE (pos - (n - 3 * (n // 4))) // (n // 4) + 1 END) AS fold FROM x)
     SELECT fold, count(*) AS rows, count(*) FILTER (target = 1) AS positives FROM f WHERE fold > 0 GROUP BY 1""", ("trimmed",))
 def _(spark, sf):
-    rows = fs.materialise(sp.time_folds(_model_rows(spark, sf), SUPPLIER), "folds")
-    report = ml.folds_report(rows, 3, INPUTS, lambda: ml.forest(REPORT_TREES // 2, 10), 0.5)
+    rows = sp.time_folds(_model_rows(spark, sf), SUPPLIER)
+    report = ml.folds_report(rows, 3, INPUTS, lambda: ml.forest(REPORT_TREES // 2, 10, keep_nodes=True), 0.5)
     return report.withColumns({"rows": F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"), "positives": F.col("tp") + F.col("fn")})
 
 

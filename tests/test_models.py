@@ -54,3 +54,28 @@ def test_grid_scores_each_model_once(rows, monkeypatch):
     grid = ml.experiment_grid(rows, rows, {"ab": ["a", "b"]}, {"m": lambda: ml.logistic(1 / 400)}, {"s": lambda d: d}).collect()
     assert len(grid) == 1 and grid[0].tp + grid[0].fp + grid[0].tn + grid[0].fn == 400 and grid[0].average_precision > 0.8
     assert plans == ["scores"]
+
+
+def test_folds_are_trained_by_all_tasks(spark, monkeypatch):
+    """Rows stored in order of time: an early block lies in one file, but every core trains on it, on all rows before the block."""
+    stored = spark.range(0, 4000, 1, 4).select(
+        F.col("id").alias("key"), (F.col("id") / 1000).cast("int").alias("fold"), (F.col("id") * 7 % 50).cast("double").alias("x"),
+        F.when(F.col("id") % 11 == 0, None).otherwise((F.col("id") * 7 % 50 > 30).cast("int")).alias("target"))
+    sizes, inner = [], ml.train
+
+    def watched(df, features, estimator):
+        sizes.append([n for n in (len(p) for p in df.rdd.glom().collect()) if n])
+        return inner(df, features, estimator)
+
+    monkeypatch.setattr(ml, "train", watched)
+    report = ml.folds_report(stored, 3, ["x"], lambda: ml.forest(5, 4, keep_nodes=True), 0.5).collect()
+    assert [sum(s) for s in sizes] == [1000, 2000, 3000]
+    assert all(len(s) >= 4 and max(s) < sum(s) / 2 for s in sizes)
+    known = {r.fold: r.n for r in stored.filter("target IS NOT NULL").groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    assert {r.fold: r.tp + r.fp + r.tn + r.fn for r in report} == {k: known[k] for k in (1, 2, 3)}
+    assert all(r.fp == r.fn == 0 for r in report)
+
+
+def test_kept_nodes_grow_the_same_forest(rows):
+    grown = [ml.train(rows, ["a", "b", "c"], ml.forest(5, 5, keep_nodes=kept)).stages[-1].toDebugString for kept in (False, True)]
+    assert grown[0].split("\n")[1:] == grown[1].split("\n")[1:]
