@@ -102,3 +102,27 @@ def test_smote_balances_between_neighbours(spark):
     lone = frame.filter("label = 0 or key = 3")
     assert smote(lone, "label", F.col("key"), ["f", "g"]).count() == 51
     assert smote(frame.limit(0), "label", F.col("key"), ["f", "g"]).count() == 0
+
+
+def test_work_of_a_visit_does_not_grow_with_the_cell(monkeypatch):
+    """Inside a cell most boxes are left out, whatever the cell's size, and the entries are those of a full comparison."""
+    import pandas as pd
+    compared, inner = [], nb._squares
+    monkeypatch.setattr(nb, "_squares", lambda q, x: compared.append(len(q) * len(x)) or inner(q, x))
+    rng = np.random.default_rng(3)
+    work = {}
+    for n in (1000, 8000):
+        x = np.unique(np.round(rng.uniform(0, 40, (n, 3)) * 4) / 4, axis=0)
+        ids = [list(range(6 * i, 6 * i + 1 + i % 6)) for i in range(len(x))]
+        held = pd.DataFrame({"x": list(x), "ids": ids})
+        pick = rng.permutation(len(x))
+        for reach in (np.inf, 4.0):
+            compared.clear()
+            got = nb._best(6)(pd.DataFrame({"visitor": pick, "vx": list(x[pick]), "reach": reach}), held).set_index("point")
+            work[n, reach] = sum(compared) / len(x)
+            for i in pick[::n // 100]:
+                d = ((x - x[i]) ** 2).sum(1)
+                want = sorted((d[j], key) for j in np.flatnonzero(d <= reach) for key in ids[j])[:6]
+                assert list(zip(got.distances[i], got["keys"][i])) == want
+                assert [list(v) for v in got.vectors[i]] == [list(x[key // 6]) for _, key in want]
+    assert work[8000, np.inf] < 4 * work[1000, np.inf] and work[8000, np.inf] < 8000 / 2
