@@ -139,18 +139,24 @@ def file_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parqu
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: For many small keys: no look-up before each write only to count the keys, and a batch stores its changes, not the tables' files.
+SMALL_KEYS = {"trackTotalNumberOfRows": "false", "changelogCheckpointing.enabled": "true"}
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state on disk beside the executors, not in their memory."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKSDB)
+def rocksdb(spark: SparkSession, **options: str) -> Iterator[None]:
+    """Streams started inside keep their state on disk beside the executors, not in their memory. ``options`` are those of the
+    state store (spark.sql.streaming.stateStore.rocksdb...)."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+                **{f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in options.items()}}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def outcome_stream(log: DataFrame, observed: DataFrame, thresholds: DataFrame, delay: str = "2 days", grace: str = "1 day",
@@ -173,7 +179,7 @@ def outcome_stream(log: DataFrame, observed: DataFrame, thresholds: DataFrame, d
 
 def run_outcomes(log: DataFrame, observed: DataFrame, thresholds: DataFrame, path: str, checkpoint: str, **options) -> None:
     """Process what is there; outcomes and expired forecasts are appended to ``path``, each once."""
-    with rocksdb(log.sparkSession):
+    with rocksdb(log.sparkSession, **SMALL_KEYS):
         (outcome_stream(log, observed, thresholds, **options).writeStream.outputMode("append").format("parquet").option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 

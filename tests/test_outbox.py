@@ -120,6 +120,21 @@ def test_outcomes_of_two_streams(spark, tmp_path):
     assert final[1] == [("a", d[6], 1), ("b", d[5], 0)] and len(final[0]) == 5
 
 
+def test_state_of_outcomes_is_written_as_changes(spark, tmp_path, monkeypatch):
+    """The store neither counts its keys by look-ups nor uploads its tables each batch; the session's settings come back."""
+    seen, inner, d = [], lv.outcome_stream, days(3, "2024-05-01")
+    names = [f"spark.sql.streaming.stateStore.rocksdb.{k}" for k in lv.SMALL_KEYS]
+    monkeypatch.setattr(lv, "outcome_stream", lambda *a, **o: seen.append([spark.conf.get(n, None) for n in names]) or inner(*a, **o))
+    src = {n: str(tmp_path / n) for n in ("log", "seen")}
+    spark.createDataFrame([("a", d[0], 1), ("b", d[0], 0)], LOG).write.parquet(src["log"])
+    spark.createDataFrame([("a", d[0], 41.0)], SEEN).write.parquet(src["seen"])
+    lv.run_outcomes(*(lv.file_stream(spark, src[n], s) for n, s in (("log", LOG), ("seen", SEEN))),
+                    spark.createDataFrame([], "entity string, threshold double"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert seen == [list(lv.SMALL_KEYS.values())] and [spark.conf.get(n, None) for n in names] == [None] * len(names)
+    assert list((tmp_path / "ck" / "state").rglob("*.changelog"))
+    assert [(r.entity, r.observed, r.observed_signal) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 41.0, 1)]
+
+
 def test_a_block_keeps_its_subscriptions_apart(spark, tmp_path):
     """All in one group of the state: the same alerts as with a group each, and one timer for all."""
     rows = []
