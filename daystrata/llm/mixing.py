@@ -123,4 +123,5 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     listed = listing(docs, **settings).withColumnsRenamed(dict(zip(("epoch", "block", "place"), made)))
     same = [F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), F.col("d.source").eqNullSafe(F.col("m.source")),
             F.xxhash64("d.text") == F.col("m.text_hash")]
-    return docs.alias("d").join(listed.alias("m"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], *made)
+    # no broadcast: Spark takes a text for 20 bytes
+    return docs.alias("d").join(listed.hint("merge").alias("m"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], *made)

@@ -330,11 +330,12 @@ def edges(nodes: DataFrame, docs: DataFrame, size: int = SLICE, nearest: int = N
     """
     keyed = nodes.select(F.col("fingerprint").alias("node"), F.posexplode("keys").alias("band", "key"))
     shards = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
-    members = written(keyed.join(shards, "key"))
+    # Spark takes an array for one element and a text for 20 bytes, and would broadcast the keys or the texts of all documents
+    members = written(keyed.join(shards.hint("merge"), "key"))
     wanted = members.groupBy("node").agg(F.min("hub").alias("home")).join(nodes.withColumnRenamed("fingerprint", "node"), "node")
     wanted = wanted.select("node", "home", "bits", "least", "size", F.col("best.doc_id").alias("doc_id"), F.col("best.hash").alias("hash"))
     same = [F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("d.hash") == F.col("w.hash")]
-    texts = docs.alias("d").join(wanted.alias("w"), same).select("node", "home", "bits", "least", "size", "text").dropDuplicates(["node"])
+    texts = docs.alias("d").join(wanted.hint("merge").alias("w"), same).select("node", "home", "bits", "least", "size", "text").dropDuplicates(["node"])
     sets = written(texts.mapInPandas(_sets, "node bigint, home bigint, bits binary, least binary, size bigint, s binary"))
 
     homes = sets.groupBy("home").agg(F.count("*").alias("n")).filter("n > 1").select("home", F.ceil(F.col("n") / size).alias("parts"))

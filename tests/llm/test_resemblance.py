@@ -144,3 +144,18 @@ def test_small_cells_are_searched_by_trees(monkeypatch):
     far = rs.np.bitwise_count(brief.bits[:, None] ^ brief.bits[None]).sum(-1)
     want = [(x, y) for x in range(300) for y in range(300) if cell[x] == cell[y] and far[x, y] <= rs.RADIUS]
     assert sorted(got) == want and len(want) > 400 and rs.np.bincount(cell).max() < rs.TREE
+
+
+def test_keys_and_texts_of_all_documents_are_not_broadcast(spark, monkeypatch):
+    plans, written = [], rs.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(rs, "written", noted)
+    rs.deduplicate(documents(spark, [(i, f"one two three four five {i % 3}") for i in range(9)])).collect()
+    for made in ("Generate posexplode", "MapInPandas"):  # the keys of the bands, and the texts that give the sets
+        plan, = [p for p in plans if made in p and "hub" in p and "FlatMapGroupsInPandas" not in p]
+        first, = [line for line in plan.splitlines() if "Join" in line][:1]
+        assert "SortMergeJoin" in first
