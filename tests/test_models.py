@@ -79,3 +79,22 @@ def test_folds_are_trained_by_all_tasks(spark, monkeypatch):
 def test_kept_nodes_grow_the_same_forest(rows):
     grown = [ml.train(rows, ["a", "b", "c"], ml.forest(5, 5, keep_nodes=kept)).stages[-1].toDebugString for kept in (False, True)]
     assert grown[0].split("\n")[1:] == grown[1].split("\n")[1:]
+
+
+@pytest.mark.parametrize("name", ["h1_h4_logistic", "h6_experiment_grid", "h11_permutation_importance"])
+def test_queries_train_on_all_rows_of_the_training_years(spark, monkeypatch, name):
+    from daystrata.operators import features as ft
+    from daystrata.plans import catalog, panels
+
+    class Seen(Exception):
+        pass
+
+    def watched(df, features, estimator):
+        raise Seen(df.count())
+
+    monkeypatch.setattr(ml, "train", watched)
+    sf = "/root/testdata/sf0.01"
+    with pytest.raises(Seen) as seen:
+        catalog.QUERIES[name](spark, sf).collect()
+    whole = ft.trim(panels.featured(spark, sf)).filter("year(date) <= 1999").count()
+    assert seen.value.args[0] == whole > 20_000
