@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daystrata.operators import forests
 from daystrata.operators import metrics as mt
 from daystrata.operators.splits import hash_index
 from daystrata.spec import DECISION_THRESHOLD
@@ -27,8 +28,8 @@ def logistic(strength: float, weight: str | None = None) -> LogisticRegression:
 
 
 def forest(trees: int = 300, depth: int = 10, leaf: int = 10, weight: str | None = None, keep_nodes: bool = False) -> RandomForestClassifier:
-    """``keep_nodes``: every row keeps its node of each tree (4 bytes a tree, on disk where memory ends) instead of being sent
-    down all trees again at each level; the same trees, for many rows."""
+    """``keep_nodes`` is for a fit by Spark ML itself: every row keeps its node of each tree (4 bytes a tree, on disk where memory
+    ends). ``train`` grows a forest by ``forests``, the same trees with it and without."""
     m = RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=42)
     if keep_nodes:
         m = m.setCacheNodeIds(True).setCheckpointInterval(-1)  # the lineage is as long as the trees are deep
@@ -44,6 +45,8 @@ def train(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
     """Fit on complete rows; the assembler is part of the saved model."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     rows = assembler.transform(df.na.drop(subset=[*features, "target"]))
+    if isinstance(estimator, RandomForestClassifier):
+        return PipelineModel([assembler, forests.fit(rows, features, estimator)])
     return PipelineModel([assembler, estimator.fit(rows)])
 
 
@@ -160,10 +163,10 @@ def folds_report(df: DataFrame, folds: int, features: Sequence[str], make: Calla
     """Train on everything before each test block and measure on the block.
 
     Stored rows are often in order of time, where an early block fills few tasks and the other cores wait. So the rows are dealt
-    once over all cores, in order of their features: neighbours go to the same nodes of a tree, whose sums are then at hand.
+    once over all cores.
     """
     from daystrata.sources.files import materialise
-    df = materialise(df.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns).sortWithinPartitions(*features), "dealt")
+    df = materialise(df.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns), "dealt")
     parts = []
     for k in range(1, folds + 1):
         model = train(df.filter(F.col("fold") < k), features, make())
