@@ -259,3 +259,87 @@ def fit(df: DataFrame, features: Sequence[str], estimator: RandomForestClassifie
         return estimator.fit(df)
     grown = grow(df, features, label, weight, estimator.getNumTrees(), estimator.getMaxDepth(), estimator.getMinInstancesPerNode(), estimator.getSeed())
     return as_model(df.sparkSession, *grown, estimator, len(features))
+
+
+class Scorer:
+    """The probability of class 1 by a forest, for many rows at once: one bit a row.
+
+    What a row answers to every condition of the forest is a bit, so a node is reached by the bits of its parent and its condition,
+    64 rows an operation. The turns of a row, one bit a level, are the number of its leaf. Sums are taken in Spark ML's order, so
+    the scores are the same doubles.
+    """
+
+    #: Deeper trees would need too long a table of leaves.
+    DEEPEST = 16
+
+    def __init__(self, model: RandomForestClassificationModel) -> None:
+        spark, path = SparkSession.active(), scratch_folder(SparkSession.active(), "forest")
+        model.write().save(path)
+        n = F.col("nodeData")
+        nodes = spark.read.parquet(f"{path}/data").select("treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["split"]["featureIndex"].alias(
+            "feature"), F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"), n["impurityStats"][0].alias("w0"), n["impurityStats"][1].alias("w1")).collect()
+        self.conditions = sorted({(r.feature, r.cut) for r in nodes if r.left >= 0})
+        number = {c: i for i, c in enumerate(self.conditions)}
+        of_tree: dict[int, dict[int, tuple]] = {}
+        for r in nodes:
+            of_tree.setdefault(r.treeID, {})[r.id] = r
+        self.trees = [self._levels(of_tree[t], number) for t in sorted(of_tree)]
+
+    @staticmethod
+    def _levels(nodes: dict, number: dict) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For each level the conditions of its nodes and the places of the next level's among their left and right children; and
+        the shares of both classes in each leaf."""
+        levels, found, here = [], [], [(nodes[0], 0)]
+        if nodes[0].left < 0:
+            found, here = [(0, nodes[0])], []
+        while here:
+            after, places = [], []
+            for side in (0, 1):
+                for i, (r, code) in enumerate(here):
+                    child = nodes[r.right if side else r.left]
+                    reached = code | side << len(levels)
+                    if child.left < 0:
+                        found.append((reached, child))
+                    else:
+                        after.append((child, reached))
+                        places.append(side * len(here) + i)
+            levels.append((np.array([number[r.feature, r.cut] for r, _ in here], np.intp), np.array(places, np.intp)))
+            here = after
+        shares = np.zeros((2, 1 << len(levels)))
+        for code, leaf in found:
+            total = leaf.w0 + leaf.w1
+            if total:
+                shares[:, code] = leaf.w0 / total, leaf.w1 / total
+        return levels, shares
+
+    def answers(self, x: np.ndarray, only: int | None = None) -> np.ndarray:
+        """Bits of the rows for each condition (those of one feature only, where given); a set bit goes right."""
+        own = [(f, c) for f, c in self.conditions if only is None or f == only]
+        size = -(-len(x) // 64) * 8
+        out = np.zeros((len(own), size), np.uint8)
+        for i, (f, c) in enumerate(own):
+            b = np.packbits(x[:, f] > c, bitorder="little")
+            out[i, :len(b)] = b
+        return out.view(np.uint64)
+
+    def score(self, bits: np.ndarray, n: int) -> np.ndarray:
+        votes = np.zeros((2, bits.shape[1] * 64))
+        for levels, shares in self.trees:
+            reach, turns = np.full((1, bits.shape[1]), ~np.uint64(0)), []
+            for conditions, places in levels:
+                k = len(conditions)
+                both = np.empty((2 * k, bits.shape[1]), np.uint64)
+                np.bitwise_and(reach, bits.take(conditions, axis=0), out=both[k:])
+                np.bitwise_xor(reach, both[k:], out=both[:k])
+                turns.append(np.bitwise_or.reduce(both[k:], axis=0))
+                reach = both.take(places, axis=0)
+            code = np.zeros(votes.shape[1], np.intp)
+            for at in range(0, len(turns), 8):
+                byte = np.zeros(votes.shape[1], np.uint8)
+                for i, turn in enumerate(turns[at:at + 8]):
+                    byte |= np.unpackbits(turn.view(np.uint8), bitorder="little") << np.uint8(i)
+                code += byte.astype(np.intp) << at
+            votes[0] += shares[0].take(code)
+            votes[1] += shares[1].take(code)
+        total = votes.sum(0)
+        return (votes[1] / np.where(total == 0, 1, total))[:n]

@@ -6,9 +6,12 @@ and then use bucketed running sums, so a group of any size stays distributed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daystrata.functions.scalar import ratio
@@ -73,6 +76,42 @@ def rank_metrics(df: DataFrame, by: list[str] | None = None, weight: str | None
                               F.when(both, wins / F.when(both, p * n)).alias("roc_auc"))
 
 
+#: Scores that are packed together: of positive and of negative rows, between two cuts.
+PACKED = "bucket int, positives bigint, negatives bigint, pos binary, neg binary"
+
+
+def pack_scores(label: np.ndarray, p: np.ndarray, cuts: np.ndarray) -> Iterator[tuple]:
+    """Rows of ``PACKED``: the scores cut into buckets from low to high."""
+    sides = [np.sort(p[label == 1]), np.sort(p[label == 0])]
+    at = [np.concatenate([[0], np.searchsorted(s, cuts, side="right"), [len(s)]]) for s in sides]
+    for b in range(len(cuts) + 1):
+        pos, neg = (s[i[b]:i[b + 1]] for s, i in zip(sides, at))
+        if len(pos) or len(neg):
+            yield b, len(pos), len(neg), pos.tobytes(), neg.tobytes()
+
+
+def packed_precision(df: DataFrame, by: list[str]) -> DataFrame:
+    """Average precision (as in ``rank_metrics``) of each group of ``by`` (integers) from packed scores, which are read twice: for
+    the totals of the buckets, and for the sums inside them."""
+    totals = df.groupBy(*by, "bucket").agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
+    above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "bucket", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("fp"))
+
+    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        pos, neg = (np.frombuffer(b"".join(rows[c]), np.float64) for c in ("pos", "neg"))
+        score, n = np.unique(pos, return_counts=True)
+        score, n = score[::-1], n[::-1]  # from high to low; only scores of positives count
+        tp = rows["tp"].iloc[0] + n.cumsum()
+        fp = rows["fp"].iloc[0] + len(neg) - np.searchsorted(np.sort(neg), score, side="left")
+        return pd.DataFrame([(*key[:-1], float((n * (tp / (tp + fp))).sum()))], columns=[*by, "_part"])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    parts = df.join(offsets, [*by, "bucket"]).groupBy(*by, "bucket").applyInPandas(part, ", ".join([*(f"{c} {types[c]}" for c in by), "_part double"]))
+    sizes = totals.groupBy(*by).agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    ap = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_sum") / F.col("_p"))
+    return parts.groupBy(*by).agg(F.sum("_part").alias("_sum")).join(sizes, by).select(*by, ap.alias("average_precision"))
+
+
 def curve_points(df: DataFrame, keep: int = 200, by: list[str] | None = None) -> DataFrame:
     """ROC and precision-recall points, one per distinct score, thinned to every
     max(1, n // keep)-th point in descending score order."""

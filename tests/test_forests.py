@@ -58,3 +58,28 @@ def test_nodes_hold_the_drawn_rows(rows, weight, monkeypatch):
     monkeypatch.setattr(fo, "HELD", 1)  # one tree a job: the same trees
     again, _ = fo.grow(rows, ["a", "b", "c"], "target", weight, 4, 5, 10, 42)
     assert all(np.allclose(a, b) for a, b in zip(trees, again))
+
+
+def test_scorer_gives_the_scores_of_the_model(rows, spark):
+    model = ml.train(rows, ["a", "b", "c"], ml.forest(7, 9, leaf=1))
+    x = ml.score(model, rows).toPandas()
+    scorer = fo.Scorer(model.stages[-1])
+    values = x[["a", "b", "c"]].to_numpy(float)
+    assert (scorer.score(scorer.answers(values), len(x)) == x["p"].to_numpy()).all() and x["p"].nunique() > 50
+
+
+def test_permutations_are_scored_without_a_row_for_each_variant(rows, monkeypatch):
+    """Every row is scored once by the model; the variants (features x repeats) come packed, and rank as they did one by one."""
+    monkeypatch.setattr(ml, "RANKED", 400)
+    monkeypatch.setattr(ml, "PACK", 700)
+    monkeypatch.setattr(ml, "SCORED", 300)
+    f, sizes, inner = ["a", "b", "c"], [], ml.score
+    monkeypatch.setattr(ml, "score", lambda model, df, *more: sizes.append(df.count()) or inner(model, df, *more))
+    model = ml.train(rows, f, ml.forest(6, 5))
+    some = rows.withColumn("target", F.when(F.col("id") % 10 > 0, F.col("target")))  # a null label ranks nowhere but lends its values
+    fast = {r.feature: r.drop for r in ml.permutation_importance(model, some, F.col("id"), f, 2).collect()}
+    assert sizes == [3000]
+    monkeypatch.setattr(fo.Scorer, "DEEPEST", 0)  # one by one
+    slow = {r.feature: r.drop for r in ml.permutation_importance(model, some, F.col("id"), f, 2).collect()}
+    assert sizes == [3000, 3000, 18000] and fast.keys() == slow.keys() == set(f)
+    assert all(np.isclose(fast[k], slow[k], rtol=0, atol=1e-12) for k in f) and fast["a"] > 0.1
