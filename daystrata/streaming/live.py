@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from daystrata.operators import features as ft
 from daystrata.spec import PanelSpec
 from daystrata.streaming.log import FOLDERS, CompactedLog
+from daystrata.streaming.outcomes import left_outer
 
 # Fixed value: the observed signal starts here where an entity has no threshold of its own.
 DEFAULT_THRESHOLD = 40.0
@@ -163,16 +164,11 @@ def outcome_stream(log: DataFrame, observed: DataFrame, thresholds: DataFrame, d
                    default: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Forecasts (entity, date, ...) with what was observed (entity, date, observed), both as streams.
 
-    A stream-stream left outer join: both sides are late by ``delay`` at most and wait for each other in the state store. A
+    A left outer join: both sides are late by ``delay`` at most and wait for each other in the state, kept by blocks of entities. A
     forecast whose day, ``grace`` and delay have passed without an observation comes out once, as pending (NULL); later rows of
     either side are dropped. The day bounds how long a row is kept. The output has the columns of ``match_outcomes``.
     """
-    asked = log.withColumn("_due", F.col("date").cast("timestamp")).withWatermark("_due", delay)
-    seen = observed.select(F.col("entity").alias("_entity"), F.col("date").alias("_date"), "observed",
-                           F.col("date").cast("timestamp").alias("_at")).withWatermark("_at", delay)
-    same = ((F.col("entity") == F.col("_entity")) & (F.col("date") == F.col("_date")) & (F.col("_at") >= F.col("_due"))
-            & (F.col("_at") <= F.col("_due") + F.expr(f"INTERVAL {grace}")))
-    x = asked.join(seen, same, "leftOuter").drop("_entity", "_date", "_due", "_at").join(thresholds, "entity", "left")
+    x = left_outer(log, observed, delay, grace).join(thresholds, "entity", "left")
     x = x.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
     return x.withColumn("observed_signal", (F.col("observed") >= F.col("threshold")).cast("int"))
 

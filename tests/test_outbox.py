@@ -149,3 +149,23 @@ def test_a_block_keeps_its_subscriptions_apart(spark, tmp_path):
             ob.run_outbox(lv.file_stream(spark, src, SCHEMA, files_per_trigger=1), out, ck, blocks=blocks)
         outs.append(sorted(tuple(r) for r in spark.read.parquet(out).collect()))
     assert outs[0] == outs[1] and len(outs[0]) > 12
+
+
+def test_state_of_outcomes_has_a_value_for_a_block(spark, tmp_path):
+    """Not two entries of the store for each row; nulls, NaN and repeated rows come through as in a join of the tables."""
+    d, nan = days(4, "2024-05-01"), float("nan")
+    log, seen = LOG + ", share double, note string, sure boolean", SEEN
+    asked = [(e, d[i % 3], None if i % 5 == 0 else i, (None, nan, 0.5 + i)[i % 3], None if i % 4 else f"n{i}", (None, True, False)[i % 3])
+             for i in range(200) for e in ("a", "b", None)[:1 + i % 3]] + [("a", None, 1, 1.0, "never", None)]
+    known = [("a", d[0], 41.0), ("a", d[0], 12.0), ("b", d[1], nan), ("b", d[2], None), (None, d[0], 50.0)]
+    src, beat = {n: str(tmp_path / n) for n in ("log", "seen")}, d[3] + dt.timedelta(days=9)
+    limits = spark.createDataFrame([("b", 1.0)], "entity string, threshold double")
+    for rows, others in ((asked, known), ([("z", beat, 0, 0.0, "", True)], [("y", beat, 0.0)])):
+        spark.createDataFrame(rows, log).write.mode("append").parquet(src["log"])
+        spark.createDataFrame(others, seen).write.mode("append").parquet(src["seen"])
+        lv.run_outcomes(*(lv.file_stream(spark, src[n], s) for n, s in (("log", log), ("seen", seen))), limits, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = lv.match_outcomes(spark.createDataFrame(asked, log), spark.createDataFrame(known, seen), str(d[3]), limits).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 400
+    plan = lv.outcome_stream(*(lv.file_stream(spark, src[n], s) for n, s in (("log", log), ("seen", seen))), limits)._jdf.queryExecution().toString()
+    assert "TransformWithState" in plan and plan.count("Join LeftOuter") == plan.count("Join LeftOuter, (entity")  # the thresholds only
